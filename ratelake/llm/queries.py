@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from . import packing, secrets
+from . import packing, quality, secrets
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op3_packing": packing.op3_packing,
+    "op10_quality": quality.op10_quality,
 }
 
 ORACLE_SQL: dict[str, str] = {}
