@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets
+from . import packing, quality, secrets, simhash
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
+    "op2_simhash": simhash.op2_simhash,
     "op3_packing": packing.op3_packing,
     "op10_quality": quality.op10_quality,
 }
