@@ -2,13 +2,23 @@
 
 from __future__ import annotations
 
-from . import packing, quality, secrets, simhash
+from . import packing, quality, secrets, simhash, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_simhash": simhash.op2_simhash,
     "op3_packing": packing.op3_packing,
+    "op7_warc": warc.op7_warc,
     "op10_quality": quality.op10_quality,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op7_warc": """
+        WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
+        d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
+                     max(page_id) OVER (PARTITION BY html) AS last FROM p)
+        SELECT page_id, payload_bytes, payload_digest,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
+               CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
+        FROM d""",
+}
