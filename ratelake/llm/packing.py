@@ -10,9 +10,13 @@ again and their documents cut to fill the room that the others leave, so that no
 from __future__ import annotations
 
 import bisect
+import functools
 import heapq
+import json
 import os
+import string
 import zlib
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -28,14 +32,15 @@ from . import common
 MAX_LEN = 2048
 END_ID = 1
 #: Chunks of text whose ids a worker remembers at most.
-CACHE = 600_000
+CACHE = 1_500_000
 
 
 class ChunkTokenizer:
     """Token ids of whole texts as little-endian 32-bit bytes, with the ids of space-free chunks remembered.
 
     Pre-tokens never cross a space or newline, so the ids of a text are the ids of its chunks, joined.
-    A chunk of letters and one closing mark is the ids of the letters, then those of the mark.
+    A chunk of letters and one closing mark is the ids of the letters, then those of the mark. Case is folded
+    before the look-up where that is the tokenizer's own folding, character by character.
     """
 
     def __init__(self, path: str) -> None:
@@ -43,33 +48,80 @@ class ChunkTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        made = json.loads(self.tokenizer.to_str())
+        self.folds = '"Lowercase"' in json.dumps(made["normalizer"])
+        suffix = made["model"].get("end_of_word_suffix")
+        vocabulary = self.tokenizer.get_vocab()
+        self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
         self.known: dict[str, bytes] = {"": b""}
 
     def _look_up(self, chunks: list[str]) -> None:
-        for c, e in zip(chunks, self.tokenizer.encode_batch(chunks, add_special_tokens=False), strict=True):
-            self.known[c] = np.asarray(e.ids, "<u4").tobytes()
-
-    def learn(self, chunks: set[str]) -> None:
-        new = [c for c in chunks if c not in self.known]
-        if not new:
-            return
-        if len(self.known) + len(new) > CACHE:
-            self.known = {"": b""}
-            new = list(chunks)
-        split = {}
-        for c in new:
-            if c.isascii() and (stem := c[:-1] if c[-1] in ".,!?" and c[:-1].isalpha() else c).isalpha():
-                split[c] = (stem.lower(), c[len(stem) :])
-        parts = {p for s in split.values() for p in s} | {c for c in new if c not in split}
-        self._look_up([p for p in parts if p not in self.known])
-        for c, (stem, mark) in split.items():
-            self.known[c] = self.known[stem] + self.known[mark]
+        for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
+            self.known[c] = array("I", e.ids).tobytes()
+
+    def _look_up_words(self, words: list[str]) -> None:
+        """Many words of letters in one text each time; the ids with an end-of-word mark tell them apart."""
+        for at in range(0, len(words), 64):
+            some = words[at : at + 64]
+            ids = array("I", self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids)
+            cuts = (np.flatnonzero(self.ends[np.frombuffer(ids, np.uint32)]) + 1).tolist()
+            if len(cuts) != len(some) or cuts[-1] != len(ids):
+                self._look_up(some)
+                continue
+            raw, a = ids.tobytes(), 0
+            for w, b in zip(some, cuts, strict=True):
+                self.known[w] = raw[a * 4 : b * 4]
+                a = b
+
+    def _learn(self, chunks: set[str]) -> None:
+        known, split, words, rest = self.known, [], set(), set()
+        for c in chunks:
+            stem = c.rstrip(string.punctuation)
+            if stem.isalpha():
+                words.add(stem)
+                if len(stem) < len(c):
+                    split.append((c, stem, c[len(stem) :]))
+                    rest.add(c[len(stem) :])
+            else:
+                rest.add(c)
+        self._look_up_words([w for w in words if w not in known])
+        self._look_up([c for c in rest if c not in known])
+        for c, stem, marks in split:
+            known[c] = known[stem] + known[marks]
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
-        for text in texts:
-            chunks = text.replace("\n", " ").split(" ")
-            self.learn(set(chunks))
-            yield b"".join(map(self.known.__getitem__, chunks))
+        for at in range(0, len(texts), 64):
+            lists = []
+            for text in texts[at : at + 64]:
+                if self.folds and "<|" not in text and is_latin(text):
+                    text = text.lower()
+                lists.append(text.replace("\n", " ").split(" "))
+            every = set().union(*lists)
+            new = every.difference(self.known)
+            if len(self.known) + len(new) > CACHE:
+                self.known, new = {"": b""}, every - {""}
+            if new:
+                self._learn(new)
+            for chunks in lists:
+                yield b"".join(map(self.known.__getitem__, chunks))
+
+
+def is_latin(text: str) -> bool:
+    """Only characters up to U+00FF, which lower-case one by one and are composed already."""
+    if text.isascii():
+        return True
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return False
+    return True
+
+
+@functools.cache
+def tokenizer(path: str) -> ChunkTokenizer:
+    """One a worker process, so that tasks that follow each other share what it remembers."""
+    return ChunkTokenizer(path)
 
 
 @dataclass
@@ -208,7 +260,7 @@ def tokenized(docs: DataFrame, tokenizer_path: str, max_len: int, id_col: str, t
     schema = common.pa_schema(docs.sparkSession, TOKENS)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokens = ChunkTokenizer(tokenizer_path)
+        tokens = tokenizer(tokenizer_path)
         part = TaskContext.get().partitionId()
         seen = np.zeros(max_len, np.int64)
         row = sequence = 0
