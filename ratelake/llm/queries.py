@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chunks, packing, quality, secrets, simhash, suffixes, warc
+from . import chunks, neighbours, packing, quality, secrets, simhash, suffixes, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_simhash": simhash.op2_simhash,
     "op3_packing": packing.op3_packing,
     "op4_substring_dedup": chunks.op4_substring_dedup,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op7_warc": warc.op7_warc,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_quality": quality.op10_quality,
@@ -16,6 +17,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": chunks.op4_substring_dedup,
+    "op6_neighbours": neighbours.op6_neighbours,
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
