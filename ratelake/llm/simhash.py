@@ -65,14 +65,14 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _variants(fps: DataFrame) -> DataFrame:
+def _variants(fps: DataFrame, *more: str) -> DataFrame:
     """(key, fp): for each half and each of its bits, the half without that bit, with half and bit in the key."""
     bit = F.col("bit")
     pos = (bit % HALF).cast("int")
     half = F.when(bit >= HALF, _half(F.col("fp"), 1)).otherwise(_half(F.col("fp"), 0))
     masked = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, cast(bit % 32 as int))")))
-    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit")).select(
-        F.expr("shiftleft(cast(bit as bigint), 32)").bitwiseOR(masked).alias("key"), "fp"
+    return fps.select("fp", *more, F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit")).select(
+        F.expr("shiftleft(cast(bit as bigint), 32)").bitwiseOR(masked).alias("key"), "fp", *more
     )
 
 
@@ -101,6 +101,16 @@ def _ties(members: DataFrame) -> DataFrame:
     return fine.join(least.drop("n"), ["key", "rest"]).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
+def _crowded_keys(fps: DataFrame) -> DataFrame:
+    """Keys of all variants of halves that more than DENSE / 2 fingerprints have; any other key has DENSE members at most."""
+    halves = fps.select(F.explode(F.array(*(F.struct(F.lit(i).alias("side"), _half(F.col("fp"), i).alias("half")) for i in (0, 1)))).alias("h"))
+    hot = halves.groupBy("h.side", "h.half").agg(F.count("*").alias("n")).where(F.col("n") > DENSE // 2)
+    # A fingerprint that has the half on its side stands for it: its variants on that side are the keys.
+    whole = F.when(F.col("side") == 1, F.expr("shiftleft(half, 32)")).otherwise(F.col("half"))
+    keys = _variants(hot.select("side", whole.alias("fp")), "side")
+    return keys.where(F.expr("shiftrightunsigned(key, 37) = side")).select("key").distinct()
+
+
 def links(fps: DataFrame, within: int = 2) -> DataFrame:
     """Links (a, b) that connect exactly the distinct fingerprints ``fps.fp`` within two bits of each other.
 
@@ -109,18 +119,13 @@ def links(fps: DataFrame, within: int = 2) -> DataFrame:
     if within != 2:
         raise ValueError("the variants are made for a distance of two")
     variants = _variants(fps)
-    keys = variants.groupBy("key").agg(F.count("*").alias("n"), F.min("fp").alias("a"), F.max("fp").alias("b")).where("n > 1")
-    keys = common.materialize(keys, "variants")
-    two = keys.where("n = 2").where(_apart("a", "b") <= within).select("a", "b")
-    some = variants.join(keys.where((F.col("n") > 2) & (F.col("n") <= DENSE)).select("key"), "key")
-    some = common.materialize(some, "shared")
-    left, right = some.select("key", F.col("fp").alias("a")), some.select("key", F.col("fp").alias("b"))
-    few = left.join(right, "key").where("a < b").where(_apart("a", "b") <= within).select("a", "b")
-    out = two.unionByName(few)
-    crowded = keys.where(F.col("n") > DENSE).select("key")
-    if not crowded.isEmpty():
-        members = common.materialize(variants.join(crowded, "key"), "crowded")
-        out = out.unionByName(_ties(members))
+    crowded = common.materialize(_crowded_keys(fps), "crowded")
+    some = not crowded.isEmpty()
+    sparse = variants.join(crowded, "key", "left_anti") if some else variants
+    left, right = sparse.select("key", F.col("fp").alias("a")), sparse.select("key", F.col("fp").alias("b"))
+    out = left.join(right, "key").where("a < b").where(_apart("a", "b") <= within).select("a", "b")
+    if some:
+        out = out.unionByName(_ties(common.materialize(variants.join(crowded, "key"), "members")))
     return out
 
 
