@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import chunks, neighbours, packing, quality, secrets, simhash, suffixes, warc
+from . import chunks, decontaminate, neighbours, packing, quality, secrets, simhash, suffixes, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_substring_dedup": chunks.op4_substring_dedup,
     "op6_neighbours": neighbours.op6_neighbours,
     "op7_warc": warc.op7_warc,
+    "op8_decontaminate": decontaminate.op8_decontaminate,
     "op9_suffix_dedup": suffixes.op9_suffix_dedup,
     "op10_quality": quality.op10_quality,
 }
