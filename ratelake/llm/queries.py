@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from . import chunks, decontaminate, neighbours, packing, quality, secrets, simhash, suffixes, warc
+from . import chunks, decontaminate, neighbours, packing, quality, secrets, simhash, suffixes, toxicity, warc
 
 QUERIES = {
     "op1_secrets": secrets.op1_secrets,
     "op2_simhash": simhash.op2_simhash,
     "op3_packing": packing.op3_packing,
     "op4_substring_dedup": chunks.op4_substring_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_neighbours": neighbours.op6_neighbours,
     "op7_warc": warc.op7_warc,
     "op8_decontaminate": decontaminate.op8_decontaminate,
@@ -18,6 +19,7 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op4_substring_dedup": chunks.op4_substring_dedup,
+    "op5_toxicity": toxicity.op5_toxicity,
     "op6_neighbours": neighbours.op6_neighbours,
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
