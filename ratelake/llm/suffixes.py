@@ -8,7 +8,8 @@ The first digit is one that neighbouring suffixes share: the least hash among th
 ``depth`` bytes. Equal windows have the same least gram at the same place, so a stretch of suffixes moves
 through the first passes as one row, and stretches whose bytes are equal as a whole are settled in one group.
 Only stretches that share their gram but not all bytes are sorted suffix by suffix, in passes over digits
-of 50 bytes; groups too large for one task are sorted by their whole windows in one shuffle instead.
+of 50 bytes. Where a group is too large for one task, Spark passes come first: stretches are cut into shorter ones
+by where their suffixes hold the gram, and the bytes that all suffixes of such a piece share are the next digit.
 """
 
 from __future__ import annotations
@@ -22,12 +23,12 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
-from .rolling import PIECE, Digests, as_bytes, sliding_min
+from .rolling import PIECE, Digests, as_bytes, mix, sliding_min
 
 DEPTH, GRAM, DIGIT = 400, 32, 50
-#: Different stretches of one gram that a task sorts in memory; beyond that, Spark groups their windows.
-IN_TASK = 256
 _PLACE = np.uint64(0xFFFFFF)
+#: Different stretches of one digit that a task sorts in memory, and how short larger groups cut theirs, pass by pass.
+IN_TASK, WIDTHS = 512, (64, 8, 1)
 RUNS = "gram bigint, u1 bigint, u2 bigint, row bigint, first int, n int, at int"
 
 
@@ -159,39 +160,62 @@ def _sort_in_task(contexts: DataFrame, depth: int) -> DataFrame:
     return few.repartition("gram").sortWithinPartitions("gram").mapInArrow(run, SPANS)
 
 
-def _sort_by_shuffle(contexts: DataFrame, depth: int) -> DataFrame:
-    """The same for grams with very many different stretches: one row for each suffix, grouped by its window."""
+PIECES = RUNS + ", bytes binary"
+
+
+def _cut(contexts: DataFrame, width: int, depth: int) -> DataFrame:
+    """Stretches cut where the place of their gram crosses a multiple of ``width``; their digit is what all suffixes
+    with such places have in common, so that equal suffixes are in pieces with equal digits."""
 
     def work(batch: dict[str, list]) -> dict[str, list]:
-        out: dict[str, list] = {"d1": [], "d2": [], "row": [], "first": []}
-        for row, first, n, data in zip(*(batch[k] for k in ("row", "first", "n", "bytes")), strict=True):
-            at = np.arange(n)
-            for k, seed in (("d1", 1), ("d2", 2)):
-                out[k] += Digests(np.frombuffer(data, np.uint8), seed).of(at, at + depth).view(np.int64).tolist()
-            out["row"] += [row] * n
-            out["first"] += (first + at).tolist()
+        out: dict[str, list] = {f.split()[0]: [] for f in PIECES.split(", ")}
+        for gram, row, first, n, at, raw in zip(*(batch[k] for k in ("gram", "row", "first", "n", "at", "bytes")), strict=True):
+            data = np.frombuffer(raw, np.uint8)
+            one, two = Digests(data, 1), Digests(data, 2)
+            block = np.arange((at - n + 1) // width, at // width + 1)
+            begin, end = np.maximum(0, at - block * width - width + 1), np.minimum(n, at - block * width + 1)
+            core = one.of(at - block * width, at - block * width - width + 1 + depth)
+            digit = mix(core ^ mix(block.astype(np.uint64) + np.uint64(gram & 0xFFFFFFFFFFFFFFFF)))
+            out["gram"] += digit.view(np.int64).tolist()
+            for k, d in (("u1", one), ("u2", two)):
+                out[k] += d.of(begin, end - 1 + depth).view(np.int64).tolist()
+            out["row"] += [row] * len(block)
+            out["first"] += (first + begin).tolist()
+            out["n"] += (end - begin).tolist()
+            out["at"] += (at - begin).tolist()
+            out["bytes"] += [raw[a : b - 1 + depth] for a, b in zip(begin.tolist(), end.tolist(), strict=True)]
         return out
 
-    many = contexts.where(F.col("classes") > IN_TASK)
-    windows = common.map_arrow(many, work, "d1 bigint, d2 bigint, row bigint, first int", 256)
-    again = windows.groupBy("d1", "d2").agg(F.count("*").alias("n")).where("n > 1").select("d1", "d2")
-    return windows.join(again, ["d1", "d2"]).select("row", "first", (F.col("first") + 1).alias("last"))
+    return common.map_arrow(contexts, work, PIECES, 256)
 
 
-def repeated_suffixes(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
-    """(row, first, last): suffixes first..last-1 of ``rows`` (row, text; row unique) whose first ``depth`` bytes
-    stand elsewhere too. Spans may repeat and touch. Grams that stand once are dropped before anything is joined."""
-    runs = common.materialize(_stretch_rows(rows, depth), "stretches")
-    shared = runs.groupBy("gram").agg(F.count("*").alias("n")).where("n > 1").select("gram")
+def _settle(runs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
+    """One pass over stretches by their digit: spans of those equal to another as a whole, and one of each kind of
+    the others that share their digit (gram, classes, row, first, n, at and ``more``)."""
+    shared = runs.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
     again = common.materialize(runs.join(shared, "gram", "left_semi"), "again")
-    classes = again.groupBy("gram", "u1", "u2").agg(F.count("*").alias("members"), F.min(F.struct("row", "first", "n", "at")).alias("one"))
+    classes = again.groupBy("gram", "u1", "u2").agg(F.count("*").alias("members"), F.min(F.struct("row", "first", "n", "at", *more)).alias("one"))
     classes = common.materialize(classes, "classes")
     equal = again.join(classes.where("members > 1").select("gram", "u1", "u2"), ["gram", "u1", "u2"], "left_semi")
-    equal = equal.select("row", "first", (F.col("first") + F.col("n")).alias("last"))
     several = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
-    unlike = classes.join(several, "gram").select("gram", "classes", "one.*")
+    spans = equal.select("row", "first", (F.col("first") + F.col("n")).alias("last"))
+    return spans, classes.join(several, "gram").select("gram", "classes", "one.*")
+
+
+def repeated_suffixes(rows: DataFrame, depth: int = DEPTH) -> DataFrame:
+    """(row, first, last): suffixes first..last-1 of ``rows`` (row, text; row unique) whose first ``depth`` bytes
+    stand elsewhere too. Spans may repeat and touch. Digits that stand once are dropped before anything is joined."""
+    out, unlike = _settle(common.materialize(_stretch_rows(rows, depth), "stretches"))
     contexts = common.materialize(_contexts(rows, unlike, depth), "contexts")
-    return equal.unionByName(_sort_in_task(contexts, depth)).unionByName(_sort_by_shuffle(contexts, depth))
+    out = out.unionByName(_sort_in_task(contexts, depth))
+    for width in (w for w in WIDTHS if w == 1 or 2 * w <= depth):
+        many = contexts.where(F.col("classes") > IN_TASK)
+        if many.isEmpty():
+            break
+        spans, unlike = _settle(common.materialize(_cut(many, width, depth), "pieces"), "bytes")
+        contexts = common.materialize(unlike, "contexts")
+        out = out.unionByName(spans).unionByName(_sort_in_task(contexts, depth))
+    return out
 
 
 def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

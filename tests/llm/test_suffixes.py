@@ -41,10 +41,11 @@ def corpus(seed):
     return texts
 
 
-@pytest.mark.parametrize(("seed", "in_task"), [(1, 256), (2, 3)])
+@pytest.mark.parametrize(("seed", "in_task"), [(1, 512), (2, 3), (3, 1)])
 def test_equals_brute_force(spark, monkeypatch, seed, in_task):
     monkeypatch.setattr(suffixes, "IN_TASK", in_task)
     monkeypatch.setattr(suffixes, "DIGIT", 17)
+    monkeypatch.setattr(suffixes, "WIDTHS", (16, 4, 1))
     texts = corpus(seed)
     docs = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").withColumn("row", docs_row())
     got = {r["doc_id"]: (r["n_bytes"], r["n_removed"], r["n_spans"], r["kept_sha256"]) for r in suffixes.remove_repeats(docs, 50).collect()}
