@@ -1,7 +1,7 @@
 """Bills for any number of usage rows in one plan.
 
 Usage rows meet the version of their tariff family in effect, the version's charges become line items, dated
-riders add theirs, and line items add up to bills. Amounts are rounded line by line, then summed. Charges of one
+riders add theirs, and line items add up to bills. Amounts are rounded line by line (to ``places``), then summed. Charges of one
 usage row are read together after a single shuffle by usage row; families, versions, charges and links are
 joined by key, so Spark broadcasts them while they are small.
 
@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ratelake.functions.calendar import engine_season
-from ratelake.functions.rates import cents, class_matches, in_dollars, is_demand_unit, label_class
+from ratelake.functions.rates import class_matches, in_dollars, is_demand_unit, label_class
 from ratelake.operators.asof import select_version
 from ratelake.operators.latest import first_of
 
@@ -65,7 +65,7 @@ def resolve_versions(requests: DataFrame, versions: DataFrame, as_of: str) -> Da
     return out.drop("__status")
 
 
-def base_lines(usage: DataFrame, versions: DataFrame, charges: DataFrame, as_of: str = "service_date") -> DataFrame:
+def base_lines(usage: DataFrame, versions: DataFrame, charges: DataFrame, as_of: str = "service_date", places: int = 2) -> DataFrame:
     """Line items of each usage row's own schedule: usage_id, source, charge fields, quantity and amount.
 
     Minimum charges stay in as rows without an amount, for ``bills``.
@@ -75,10 +75,10 @@ def base_lines(usage: DataFrame, versions: DataFrame, charges: DataFrame, as_of:
     season = engine_season(F.col("service_date"))
     own_class = F.coalesce(F.when(F.col("customer_class_c") != "", F.col("customer_class_c")), label_class(F.col("charge_label")))
     in_season = F.coalesce((F.col("season") == "all_year") | (F.col("season") == "") | (F.col("season") == season), F.lit(True))
-    return _amounts(rows.where(in_season & class_matches(own_class, F.col("customer_class"))))
+    return _amounts(rows.where(in_season & class_matches(own_class, F.col("customer_class"))), places)
 
 
-def _amounts(rows: DataFrame) -> DataFrame:
+def _amounts(rows: DataFrame, places: int) -> DataFrame:
     bill = Window.partitionBy(KEY)
     kind, rate = F.col("charge_type"), F.coalesce("rate_value", F.lit(0.0))
     is_kind = lambda name: kind == name
@@ -132,7 +132,7 @@ def _amounts(rows: DataFrame) -> DataFrame:
     keep = F.col("quantity").isNotNull() & ~(is_kind("energy_block") & F.col("__has_tiers") & (F.col("quantity") <= 0))
     return rows.where(keep).select(
         KEY, F.col("family_key").alias("source"), "charge_id", "charge_type", "charge_label", F.col("rate_value"), "rate_unit",
-        "quantity", cents(amount).alias("amount"), "confidence_score",
+        "quantity", F.round(amount, places).alias("amount"), "confidence_score",
     )
 
 
@@ -154,13 +154,13 @@ def active_riders(usage: DataFrame, links: DataFrame, as_of: str = "service_date
     return first_of(met.where(live), [KEY, "rider"], [F.col("__start").desc_nulls_last(), "enrollment_type"]).select(KEY, "rider", "mandatory", as_of)
 
 
-def rider_lines(usage: DataFrame, versions: DataFrame, charges: DataFrame, links: DataFrame, base: DataFrame, as_of: str = "service_date", opted: tuple[str, ...] = ()) -> DataFrame:
+def rider_lines(usage: DataFrame, versions: DataFrame, charges: DataFrame, links: DataFrame, base: DataFrame, as_of: str = "service_date", opted: tuple[str, ...] = (), places: int = 2) -> DataFrame:
     """Line items of the riders in force; a rider with unit %_energy takes its share of the schedule's energy lines."""
     riders = active_riders(usage, links, as_of, opted).withColumnRenamed("rider", "family_key")
     chosen = resolve_versions(riders, versions, as_of).select(KEY, "family_key", "version_id")
     own = charges.drop("family_key").where("charge_type = 'adjustment'")
     rows = usage.drop("family_key").join(chosen, KEY).join(own, "version_id")
-    energy = base.where("charge_type IN ('energy_block', 'tou_energy')").groupBy(KEY).agg(cents(F.sum("amount")).alias("energy_subtotal"))
+    energy = base.where("charge_type IN ('energy_block', 'tou_energy')").groupBy(KEY).agg(F.round(F.sum("amount"), places).alias("energy_subtotal"))
     rows = rows.join(energy, KEY, "left").withColumn("energy_subtotal", F.coalesce("energy_subtotal", F.lit(0.0)))
     share = F.lower(F.coalesce("rate_unit", F.lit(""))) == "%_energy"
     own_class = F.coalesce(F.when(F.col("customer_class_c") != "", F.col("customer_class_c")), F.when(~share, label_class(F.col("charge_label"))))
@@ -173,25 +173,25 @@ def rider_lines(usage: DataFrame, versions: DataFrame, charges: DataFrame, links
     out = rows.where(class_matches(own_class, F.col("customer_class"))).withColumn("quantity", quantity).where("quantity IS NOT NULL")
     return out.select(
         KEY, F.col("family_key").alias("source"), "charge_id", "charge_type", "charge_label", "rate_value", "rate_unit", "quantity",
-        cents(F.col("quantity") * money).alias("amount"), "confidence_score",
+        F.round(F.col("quantity") * money, places).alias("amount"), "confidence_score",
     )
 
 
-def bills(usage: DataFrame, versions: DataFrame, charges: DataFrame, links: DataFrame | None = None, as_of: str = "service_date", opted: tuple[str, ...] = ()) -> DataFrame:
+def bills(usage: DataFrame, versions: DataFrame, charges: DataFrame, links: DataFrame | None = None, as_of: str = "service_date", opted: tuple[str, ...] = (), places: int = 2) -> DataFrame:
     """One bill per usage row: base_subtotal, energy_subtotal, rider_subtotal, minimum_adjustment, total,
     source_confidence (least of the schedule's charges, 0.5 at most with unmatched time-of-use kWh), n_lines and warnings.
 
     Usage rows without a version or charges get zero amounts and a warning.
     """
     full, charges = complete_usage(usage), with_class_column(charges)
-    base = base_lines(full, versions, charges, as_of)
+    base = base_lines(full, versions, charges, as_of, places)
     if links is not None:
-        riders = rider_lines(full, versions, charges, links, base, as_of, opted)
+        riders = rider_lines(full, versions, charges, links, base, as_of, opted, places)
     else:
         riders = base.limit(0)
     lines = base.withColumn("rider", F.lit(False)).unionByName(riders.withColumn("rider", F.lit(True)))
     own, extra = ~F.col("rider"), F.col("rider")
-    summed = lambda cond: F.coalesce(cents(F.sum(F.when(cond, F.col("amount")))), F.lit(0.0))
+    summed = lambda cond: F.coalesce(F.round(F.sum(F.when(cond, F.col("amount"))), places), F.lit(0.0))
     is_minimum = own & (F.col("charge_type") == "minimum")
     totals = lines.groupBy(KEY).agg(
         summed(own).alias("base_subtotal"), summed(own & F.col("charge_type").isin("energy_block", "tou_energy")).alias("energy_subtotal"),
@@ -204,8 +204,8 @@ def bills(usage: DataFrame, versions: DataFrame, charges: DataFrame, links: Data
     out = full.join(chosen, KEY, "left").join(totals, KEY, "left").withColumn("unmatched_kwh", F.coalesce(unmatched, F.lit(0.0)))
     for c in ("base_subtotal", "energy_subtotal", "rider_subtotal", "n_lines"):
         out = out.withColumn(c, F.coalesce(c, F.lit(0).cast("double" if c != "n_lines" else "bigint")))
-    before = F.round(F.col("base_subtotal") + F.col("rider_subtotal"), 2)
-    short = F.coalesce(F.greatest(cents(F.col("__minimum") - before), F.lit(0.0)), F.lit(0.0))
+    before = F.round(F.col("base_subtotal") + F.col("rider_subtotal"), places)
+    short = F.coalesce(F.greatest(F.round(F.col("__minimum") - before, places), F.lit(0.0)), F.lit(0.0))
     confidence = F.coalesce("__confidence", F.lit(1.0))
     warnings = F.array_compact(
         F.array(
@@ -214,7 +214,7 @@ def bills(usage: DataFrame, versions: DataFrame, charges: DataFrame, links: Data
         )
     )
     return out.select(
-        KEY, "family_key", "version_id", "base_subtotal", "energy_subtotal", "rider_subtotal", short.alias("minimum_adjustment"), F.round(before + short, 2).alias("total"),
+        KEY, "family_key", "version_id", "base_subtotal", "energy_subtotal", "rider_subtotal", short.alias("minimum_adjustment"), F.round(before + short, places).alias("total"),
         F.round(F.when(F.col("unmatched_kwh") > 0, F.least(confidence, F.lit(0.5))).otherwise(confidence), 3).alias("source_confidence"), "n_lines", "unmatched_kwh", warnings.alias("warnings"),
     )
 
