@@ -16,24 +16,20 @@ def chains(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     spark = nodes.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
         spark.sparkContext.setCheckpointDir(_local_folder())
-    state = nodes.select("node", F.coalesce("parent", "node").alias("at"), F.when(F.col("parent").isNull() | (F.col("parent") == F.col("node")), 0).otherwise(1).cast("bigint").alias("depth"))
+    root = F.col("parent").isNull() | (F.col("parent") == F.col("node"))
+    state = nodes.select("node", F.when(root, F.col("node")).otherwise(F.col("parent")).alias("at"), F.when(root, 0).otherwise(1).cast("bigint").alias("depth"), root.alias("ended"))
     state = state.checkpoint()
-    nothing = F.lit(None)
-    for done in range(max_rounds):
-        ahead = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"))
-        hop = state.join(ahead, "at", "left")
-        moving = F.coalesce(F.col("next") != F.col("at"), F.lit(False))
-        state = hop.select("node", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), moving.alias("moving")).checkpoint()
-        left = state.where("moving").count()
-        state, seen = state.drop("moving"), state
-        if not left:
+    # No chain among n nodes is longer than n: what has not ended after that many steps is on a cycle, or leads to one.
+    rounds = min(max_rounds, max(1, state.count()).bit_length() + 1)
+    for _ in range(rounds):
+        if state.where("NOT ended").isEmpty():
             break
-        # No chain among n nodes is longer than n: what still moves after that many steps is on a cycle, or leads to one.
-        if 2 ** (done + 1) > state.count():
-            loops = F.col("moving")
-            state = seen.select("node", F.when(~loops, F.col("at")).otherwise(nothing).alias("at"), F.when(~loops, F.col("depth")).otherwise(nothing).alias("depth"))
-            break
-    return state.select("node", F.col("at").alias("root"), "depth")
+        ahead = state.select(F.col("node").alias("at"), F.col("at").alias("next"), F.col("depth").alias("more"), F.col("ended").alias("over"))
+        moved = state.where("NOT ended").join(ahead, "at", "left").select(
+            "node", F.coalesce("next", "at").alias("at"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"), F.coalesce("over", F.lit(True)).alias("ended")
+        )
+        state = state.where("ended").unionByName(moved).checkpoint()
+    return state.select("node", F.when(F.col("ended"), F.col("at")).alias("root"), F.when(F.col("ended"), F.col("depth")).alias("depth"))
 
 
 def _local_folder() -> str:
