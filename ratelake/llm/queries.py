@@ -29,4 +29,38 @@ ORACLE_SQL: dict[str, str] = {
                CASE WHEN payload_bytes >= 1000 AND page_id < last THEN 'revisit' ELSE 'response' END AS record_type,
                CASE WHEN payload_bytes >= 1000 AND page_id < last THEN last END AS refers_to
         FROM d""",
+    "op8_decontaminate": f"""
+        WITH plain AS (
+            SELECT 0 AS side, doc_id AS id, translate(coalesce(text, ''), '#' || chr(1) || chr(2) || chr(3), '    ') AS p FROM documents
+            UNION ALL SELECT 1, min(item_id), translate(text, '#' || chr(1) || chr(2) || chr(3), '    ') FROM benchmark WHERE text IS NOT NULL GROUP BY text),
+        named AS (SELECT side, id, regexp_replace(p, '(\\p{{Ll}}[,;]? |[0-9] )((?:\\p{{Lu}}\\p{{Ll}}+ )*\\p{{Lu}}\\p{{Ll}}+)', '\\1' || chr(1) || '\\2' || chr(3), 'g') AS p FROM plain),
+        marked AS (SELECT side, id, lower(regexp_replace(p, '([0-9]) ?((?i:{"|".join(decontaminate.UNITS)}))([^\\p{{L}}0-9]|$)', '\\1 ' || chr(2) || '\\2' || chr(3) || '\\3', 'g')) AS m FROM named),
+        words AS (
+            SELECT side, id, regexp_extract_all(m, '[\\x01\\x02][^\\x03]*\\x03|[0-9]+(?:[.,:/][0-9]+)*|\\p{{L}}+') AS r, regexp_extract_all(
+                regexp_replace(regexp_replace(regexp_replace(m, '\\x01[^\\x03]*\\x03', '#p', 'g'), '\\x02[^\\x03]*\\x03', '#u', 'g'), '[0-9]+(?:[.,:/][0-9]+)*', '#n', 'g'),
+                '#[pun]|\\p{{L}}+') AS t FROM marked),
+        windows AS (SELECT side, id, i, t[i : i + 4] AS w, r[i : i + 4] AS r FROM (SELECT *, unnest(range(1, len(t) - 3)) AS i FROM words WHERE len(t) >= 5)),
+        items AS (SELECT * FROM windows WHERE side = 1 AND 2 * len(list_filter(w, lambda x: x NOT LIKE '#%')) >= 5),
+        met AS (SELECT DISTINCT d.id AS doc, x.id AS item, w, d.i - x.i AS shift, d.r AS dr, x.r AS xr FROM windows d JOIN items x USING (w) WHERE d.side = 0),
+        slots AS (SELECT DISTINCT doc, item, shift, xr[k] AS a, dr[k] AS b FROM (SELECT *, unnest(range(1, 6)) AS k FROM met) WHERE w[k] LIKE '#%'),
+        torn AS (SELECT doc, item, shift FROM slots GROUP BY 1, 2, 3, a HAVING count(*) > 1 UNION SELECT doc, item, shift FROM slots GROUP BY 1, 2, 3, b HAVING count(*) > 1),
+        kept AS (SELECT * FROM met WHERE NOT EXISTS (SELECT 1 FROM torn WHERE torn.doc = met.doc AND torn.item = met.item AND torn.shift = met.shift)),
+        changed AS (SELECT doc, item, shift, w, count(DISTINCT {{'a': xr[k], 'b': dr[k]}}) AS n FROM (SELECT *, unnest(range(1, 6)) AS k FROM kept) WHERE w[k] LIKE '#%' AND xr[k] <> dr[k] GROUP BY 1, 2, 3, 4),
+        found AS (SELECT doc, item, count(DISTINCT w) AS matched FROM kept GROUP BY 1, 2),
+        total AS (SELECT id AS item, count(DISTINCT w) AS windows FROM items GROUP BY 1)
+        SELECT doc AS doc_id, item AS item_id, matched, windows, round(matched / windows, 6) AS similarity, CAST(coalesce(c, 0) AS INTEGER) AS changed_slots,
+            CASE WHEN c > 0 THEN 'reparameterised' ELSE 'exact' END AS kind
+        FROM found JOIN total USING (item) LEFT JOIN (SELECT doc, item, max(n) AS c FROM changed GROUP BY 1, 2) USING (doc, item) WHERE matched >= 0.8 * windows""",
+    "op9_suffix_dedup": """
+        WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
+        w AS (SELECT doc_id, s, md5(b[s + 1 : s + 400]) AS h FROM (SELECT *, unnest(range(0, octet_length(b) - 399)) AS s FROM d WHERE octet_length(b) >= 400)),
+        r AS (SELECT doc_id, s FROM w QUALIFY count(*) OVER (PARTITION BY h) > 1),
+        g AS (SELECT doc_id, s, CASE WHEN s > lag(s) OVER (PARTITION BY doc_id ORDER BY s) + 400 THEN 1 ELSE 0 END AS new FROM r),
+        k AS (SELECT doc_id, s, sum(new) OVER (PARTITION BY doc_id ORDER BY s) AS run FROM g),
+        p AS (SELECT doc_id, run, min(s) AS a, max(s) + 400 AS z FROM k GROUP BY 1, 2),
+        e AS (SELECT doc_id, a, z, coalesce(lag(z) OVER (PARTITION BY doc_id ORDER BY a), 0) AS before FROM p
+              UNION ALL SELECT d.doc_id, octet_length(b), octet_length(b), coalesce(max(z), 0) FROM d LEFT JOIN p USING (doc_id) GROUP BY d.doc_id, b),
+        c AS (SELECT doc_id, coalesce(string_agg(hex(b[before + 1 : a]), '' ORDER BY a, z), '') AS x FROM e JOIN d USING (doc_id) GROUP BY 1)
+        SELECT d.doc_id, octet_length(b) AS n_bytes, CAST(coalesce(sum(z - a), 0) AS BIGINT) AS n_removed, count(a) AS n_spans, any_value(sha256(unhex(x))) AS kept_sha256
+        FROM d LEFT JOIN p USING (doc_id) JOIN c USING (doc_id) GROUP BY d.doc_id, b""",
 }
