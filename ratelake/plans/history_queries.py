@@ -212,19 +212,19 @@ def charge_signature_dedup(spark: SparkSession, d: str) -> DataFrame:
     return strict.unionByName(loose, allowMissingColumns=True).na.fill(-1, ["l_partkey", "l_suppkey"])
 
 
-@query(f"""WITH p AS (SELECT n_name AS state, year(o_orderdate) AS year, avg(o_totalprice) AS price FROM {_BY_REGION} GROUP BY 1, 2),
+@query(f"""WITH p AS (SELECT n_name AS state, year(o_orderdate) AS year, avg(o_totalprice) AS price, sum(o_totalprice) AS total, count(*) AS n FROM {_BY_REGION} GROUP BY 1, 2),
     u AS (SELECT year(o_orderdate) AS year, avg(o_totalprice) AS us FROM orders GROUP BY 1),
     j AS (SELECT p.*, us, lag(price) OVER (PARTITION BY state ORDER BY p.year) AS was FROM p JOIN u ON u.year = p.year)
-    SELECT state, CAST(year AS INTEGER) AS year, round(price, 3) AS price, round(price - us, 3) AS vs_national, round(100 * (price - us) / us, 4) AS vs_national_pct, round(100 * (price - was) / was, 4) AS yoy_pct FROM j""")
+    SELECT state, CAST(year AS INTEGER) AS year, n, round(total, 2) AS total, round(price - us, 3) AS vs_national, round(100 * (price - us) / us, 4) AS vs_national_pct, round(100 * (price - was) / was, 4) AS yoy_pct FROM j""")
 def state_vs_national(spark: SparkSession, d: str) -> DataFrame:
     """Average price of each place and year against all, and against its year before."""
     rows = _order_regions(spark, d)
-    own = rows.groupBy(F.col("n_name").alias("state"), "year").agg(F.avg("o_totalprice").alias("p"))
+    own = rows.groupBy(F.col("n_name").alias("state"), "year").agg(F.avg("o_totalprice").alias("p"), F.sum("o_totalprice").alias("total"), F.count("*").alias("n"))
     national = _orders(spark, d).groupBy(F.year("day").alias("year")).agg(F.avg("o_totalprice").alias("us"))
     met = own.join(national, "year").withColumn("was", F.lag("p").over(Window.partitionBy("state").orderBy("year")))
     off = F.col("p") - F.col("us")
     return met.select(
-        "state", "year", F.round("p", 3).alias("price"), F.round(off, 3).alias("vs_national"), F.round(100 * off / F.col("us"), 4).alias("vs_national_pct"),
+        "state", "year", "n", F.round("total", 2).alias("total"), F.round(off, 3).alias("vs_national"), F.round(100 * off / F.col("us"), 4).alias("vs_national_pct"),
         F.round(100 * (F.col("p") - F.col("was")) / F.col("was"), 4).alias("yoy_pct"),
     )
 
