@@ -15,6 +15,7 @@ from __future__ import annotations
 
 import math
 import re
+import string
 from dataclasses import dataclass
 
 import numpy as np
@@ -42,6 +43,8 @@ _RUN = re.compile(r"[^\W\d_]+")
 _SPACED = re.compile(r"(?<![^\W\d_])[^\W\d_](?:[ \n][^\W\d_](?![^\W\d_])){3,}")
 #: Signs that stand for letters.
 _SIGNS = str.maketrans("013457@$!|", "oieastasil")
+#: Marks around a word that cannot stand for letters.
+_MARKS = "".join(set(string.punctuation) - set("@$!|"))
 
 
 def segments(token: str) -> list[str]:
@@ -68,30 +71,33 @@ def spaced(text: str) -> list[str]:
 
 def letters(words: list[str]) -> np.ndarray:
     """Letter numbers of words, with end marks; -1 after a word's end."""
-    width = max(map(len, words), default=0) + 2
-    out = np.full((len(words), width), -1, np.int64)
-    for i, w in enumerate(words):
-        codes = np.frombuffer(w.encode("utf-32-le"), np.uint32).astype(np.int64)
-        plain = codes - 96
-        out[i, 1 : len(w) + 1] = np.where((plain >= 1) & (plain <= 26), plain, 27 + codes % 20)
-        out[i, len(w) + 1] = CLOSE
-    out[:, 0] = OPEN
-    return out
+    width = max(map(len, words), default=0) + 1
+    codes = np.frombuffer("".join(w.ljust(width, "\0") for w in words).encode("utf-32-le"), np.uint32).reshape(len(words), width).astype(np.int32)
+    plain = codes - 96
+    own = np.where((plain >= 1) & (plain <= 26), plain, 27 + codes % 20)
+    place = np.arange(width)
+    size = np.fromiter(map(len, words), np.int32, len(words))[:, None]
+    own = np.where(place < size, own, np.where(place == size, CLOSE, -1))
+    return np.hstack((np.full((len(words), 1), OPEN), own))
 
 
 def subsequences(words: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(numbers, weights) of each word's subsequences; weights are scaled to length one, absent ones are 0."""
     x = letters(words)
-    pad = np.pad(x, ((0, 0), (0, SPAN)), constant_values=-1)
     n = x.shape[1]
+    pad = np.pad(x, ((0, 0), (0, SPAN)), constant_values=-1)
     numbers, weights = [], []
     for a, b in GAPS:
-        one, two, three = x, pad[:, a : a + n], pad[:, a + b : a + b + n]
-        numbers.append((one * LETTERS + two) * LETTERS + three)
-        weights.append(np.where(three >= 0, DECAY ** (a + b - 2), 0.0) * (one >= 0))
+        three = pad[:, a + b : a + b + n]
+        there = three >= 0
+        numbers.append(np.where(there, (x * LETTERS + pad[:, a : a + n]) * LETTERS + three, 0))
+        weights.append(there * DECAY ** (a + b - 2))
     number, weight = np.concatenate(numbers, 1), np.concatenate(weights, 1)
-    weight = weight / np.maximum(np.sqrt((weight**2).sum(1, keepdims=True)), 1e-9)
-    return np.where(weight > 0, number, 0), weight
+    return number, weight / np.maximum(np.sqrt((weight**2).sum(1, keepdims=True)), 1e-9)
+
+
+#: Words are scored together with others of about their length.
+LENGTHS = (4, 7, 10, 14, 19, 10_000)
 
 
 def kernel(words: list[str], others: list[str]) -> np.ndarray:
@@ -115,10 +121,15 @@ class Model:
     constant: float | None = None
 
     def raw(self, words: list[str]) -> np.ndarray:
-        if not words:
-            return np.zeros(0)
-        number, weight = subsequences(words)
-        return (self.table[number] * weight).sum(1) + self.bias
+        out, size, low = np.full(len(words), self.bias), np.fromiter(map(len, words), np.int64, len(words)), -1
+        for high in LENGTHS:
+            some = np.flatnonzero((size > low) & (size <= high))
+            for at in range(0, len(some), 4096):
+                part = some[at : at + 4096]
+                number, weight = subsequences([words[i] for i in part])
+                out[part] += (self.table[number] * weight).sum(1)
+            low = high
+        return out
 
     def chance(self, worst_words: np.ndarray) -> np.ndarray:
         """The larger of what the three worst words say together and, with caution, the worst by itself: texts for
@@ -158,33 +169,49 @@ def train_words(words: list[str], target: np.ndarray, weight: np.ndarray) -> Mod
     return Model(table, float(w[-1]))
 
 
-#: Score of each token that this process has seen, and its worst word if that is above 0; for the model it saw last.
+#: What this process knows: score of each word, score of each token, worst word of each token above 0; for one model.
+_scored: dict[str, float] = {}
 _seen: dict[str, float] = {}
 _word: dict[str, str] = {}
 _seen_by: list = [None]
 
 
+def _learn(tokens: list[str], model: Model) -> None:
+    """Score new tokens; a word that several tokens hold is scored once."""
+    single, other, words = [], [], set()
+    for t in tokens:
+        core = t.strip(_MARKS)
+        if core.isalpha() and len(core) <= LONGEST:
+            single.append((t, core))
+            words.add(core)
+        else:
+            other.append((t, parts := segments(t)))
+            words.update(parts)
+    new = [w for w in words if w not in _scored]
+    _scored.update(zip(new, model.raw(new).tolist(), strict=True))
+    for t, word in single:
+        _seen[t] = value = _scored[word]
+        if value > 0:
+            _word[t] = word
+    for t, parts in other:
+        word = max(parts, key=_scored.__getitem__, default=None)
+        _seen[t] = value = _scored[word] if word else 0.0
+        if value > 0:
+            _word[t] = word
+
+
 def worst(texts: list[str | None], model: Model) -> np.ndarray:
     """Scores of the three worst different words of each text, 0 at least."""
     mark = (model.bias, float(model.table.sum()))
     if _seen_by[0] != mark or len(_seen) > CACHE:
-        _seen.clear()
-        _word.clear()
+        for known in (_scored, _seen, _word):
+            known.clear()
         _seen_by[0] = mark
     sets = [tokens_of(t) for t in texts]
-    new = [t for t in set().union(*sets) if t not in _seen]
-    parts = [segments(t) for t in new]
-    scores = model.raw([s for p in parts for s in p])
-    at = 0
-    for t, p in zip(new, parts, strict=True):
-        own = scores[at : at + len(p)]
-        at += len(p)
-        _seen[t] = float(own.max()) if p else 0.0
-        if _seen[t] > 0:
-            _word[t] = p[int(own.argmax())]
+    _learn(list(set().union(*sets).difference(_seen)), model)
     out = np.zeros((len(sets), 3))
     for i, s in enumerate(sets):
-        bad = {_word[t]: v for t in s if (v := _seen[t]) > 0}
+        bad = {_word[t]: _seen[t] for t in s if t in _word}
         if bad:
             top = sorted(bad.values(), reverse=True)[:3]
             out[i, : len(top)] = top
