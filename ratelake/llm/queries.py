@@ -18,9 +18,6 @@ QUERIES = {
 }
 
 ORACLE_SQL: dict[str, str] = {
-    "op4_substring_dedup": chunks.op4_substring_dedup,
-    "op5_toxicity": toxicity.op5_toxicity,
-    "op6_neighbours": neighbours.op6_neighbours,
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
         d AS (SELECT page_id, CAST(strlen(html) AS BIGINT) AS payload_bytes, sha1(html) AS payload_digest,
