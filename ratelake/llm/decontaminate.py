@@ -92,7 +92,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         holds = F.exists(F.array(*names), lambda x: x.startswith("#"))
         found.append(met.select("id", "item", F.col("h").alias("window"), (F.col("pos") - F.col("item_pos")).alias("shift"), F.when(holds, slots).alias("slots")))
     if not found:
-        return _result(docs.sparkSession.createDataFrame([], "id bigint, item bigint, matched bigint, windows bigint, changed int"), id_col, item_col)
+        kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
+        return _result(docs.sparkSession.createDataFrame([], f"id {kind}, item {item_kind}, matched bigint, windows bigint, changed int"), id_col, item_col)
     all_found, all_totals = found[0], totals[0]
     for f, t in zip(found[1:], totals[1:], strict=True):
         all_found, all_totals = all_found.unionByName(f), all_totals.unionByName(t)
@@ -119,10 +120,12 @@ def _result(scored: DataFrame, id_col: str, item_col: str) -> DataFrame:
     )
 
 
-def drop_contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` without the documents that hold a benchmark item, all columns as they are."""
-    bad = contaminated(docs, benchmark, id_col, text_col).select(F.col(id_col).alias("__bad")).distinct()
-    return docs.join(bad, docs[id_col].eqNullSafe(bad["__bad"]), "left_anti")
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
+    """``docs`` without the rows whose text holds a benchmark item, all columns as they are. Rows are known by a hash of
+    their text, so ids may be null or repeated."""
+    keyed = docs.withColumn("__text", F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256))
+    bad = contaminated(keyed, benchmark, "__text", text_col).select("__text").distinct()
+    return keyed.join(bad, "__text", "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

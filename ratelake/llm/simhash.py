@@ -9,10 +9,14 @@ construction, tie them to one of their number. That is exact as well, and linear
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import LongType, StructField, StructType
 
 from . import common
 from .components import components
@@ -151,17 +155,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each group of near-duplicates: one with the smallest id (any one of the rows that
-    share it). A group whose ids are all null keeps one row. All columns stay as they are."""
-    marked = common.materialize(fingerprints(docs, id_col, text_col), "fingerprints")
-    classes = common.materialize(_classes(marked, id_col), "components")
-    first = classes.where("component_id IS NOT NULL").select(F.col("component_id").alias(id_col)).distinct()
-    kept = docs.join(first, id_col, "left_semi").dropDuplicates([id_col])
-    nameless = docs.where(F.col(id_col).isNull())
-    text_fp = fingerprints(nameless.select(F.col(text_col).alias(id_col), text_col), id_col, text_col).dropDuplicates(["fp"])
-    text_fp = text_fp.join(classes.where("component_id IS NULL"), "fp").dropDuplicates(["component"])
-    same_text = nameless.join(text_fp.select(F.col(id_col).alias("__text")), F.col(text_col).eqNullSafe(F.col("__text")), "left_semi")
-    return kept.unionByName(same_text.dropDuplicates([text_col]).select(*docs.columns))
+    """``docs`` with one row of each group of near-duplicates: a row with the group's smallest id (of several such rows
+    the first read), or any row of a group whose ids are all null. All columns stay as they are."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for at in range(0, batch.num_rows, 512):
+                some = batch.slice(at, 512)
+                found = np.array([fingerprint(t or "") for t in some.column(text_col).to_pylist()], np.uint64).view(np.int64)
+                yield some.append_column("__fp", pa.array(found, pa.int64()))
+
+    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
+    marked = docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id())
+    marked = common.materialize(marked, "fingerprints")
+    narrow = marked.select(F.col(id_col).alias("__id"), F.col("__fp").alias("fp"), "__row")
+    named = narrow.join(_classes(narrow.select(F.col("__id").alias(id_col), "fp"), id_col), "fp")
+    kept = named.where("__id <=> component_id").groupBy("component").agg(F.min("__row").alias("__row")).select("__row")
+    return marked.join(kept, "__row", "left_semi").select(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:

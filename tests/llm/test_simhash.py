@@ -67,5 +67,12 @@ def test_odd_rows(spark):
     assert got == sorted([(1, 1), (2, 1), (3, 3), (3, 3), (None, None), (None, None), (None, None)], key=str)
     kept = sorted(((r["doc_id"], r["text"]) for r in simhash.keep_one(docs).collect()), key=str)
     assert kept == sorted([(1, None), (3, "hello there my friend"), (None, "a b c d"), (None, "hello you all here")], key=str)
+    assert simhash.keep_one(docs).columns == docs.columns
     assert simhash.near_duplicates(docs.where("false")).count() == 0
     assert simhash.keep_one(docs.where("false")).count() == 0
+
+
+def test_one_id_with_two_texts_keeps_both_groups(spark):
+    one, two = "hello there my friend", "something else that is entirely different from it"
+    docs = spark.createDataFrame([(3, one), (3, two), (1, two), (4, one)], "doc_id bigint, text string")
+    assert sorted(map(tuple, simhash.keep_one(docs).collect())) == [(1, two), (3, one)]
