@@ -87,6 +87,7 @@ def _repeats(docs: DataFrame, min_passage: int) -> DataFrame:
     chunks = common.materialize(chunk_rows(docs), "chunks")
     place = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("order"), "row", "start")
     known = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    known = common.materialize(known, "repeated")  # then the join can split a hot digest
     again = chunks.join(known, "digest").select(
         "row", "id", "start", "size", F.col("first.order").alias("first_id"),
         ((F.col("first.row") != F.col("row")) | (F.col("first.start") != F.col("start"))).alias("later"),

@@ -192,7 +192,8 @@ def _cut(contexts: DataFrame, width: int, depth: int) -> DataFrame:
 def _settle(runs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
     """One pass over stretches by their digit: spans of those equal to another as a whole, and one of each kind of
     the others that share their digit (gram, classes, row, first, n, at and ``more``)."""
-    shared = runs.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram")
+    # Written first, so that the join meets two plain shuffles and a hot digit's side can be split.
+    shared = common.materialize(runs.groupBy("gram").agg(F.count("*").alias("k")).where("k > 1").select("gram"), "shared")
     again = common.materialize(runs.join(shared, "gram", "left_semi"), "again")
     classes = again.groupBy("gram", "u1", "u2").agg(F.count("*").alias("members"), F.min(F.struct("row", "first", "n", "at", *more)).alias("one"))
     classes = common.materialize(classes, "classes")
