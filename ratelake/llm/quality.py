@@ -169,9 +169,10 @@ def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and label of at most ``most`` labelled rows outside the held-out fold, chosen by a hash of the id."""
+    """id, text and label of at most ``most`` labelled rows outside the held-out fold, chosen by a hash of the id.
+    An id labelled several times counts once, with its largest label; null ids and labels are left out."""
     some = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~common.held_out(id_col))
-    some = some.select(id_col, F.col(label).cast("int").alias("y")).dropDuplicates([id_col])
+    some = some.groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("y"))
     some = some.orderBy(F.xxhash64(id_col), id_col).limit(most)
     return docs.select(id_col, text_col).join(F.broadcast(some), id_col)  # at most ``most`` narrow rows
 

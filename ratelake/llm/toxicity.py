@@ -30,7 +30,7 @@ from .quality import labelled_sample
 LETTERS, OPEN, CLOSE = 48, 0, 47
 SPAN, DECAY = 5, 0.6
 LANDMARKS, ROUNDS = 384, 3
-EPSILON, RIDGE, SHRINK, CAUTION = 0.1, 1e-6, 2.0, 1.25
+EPSILON, RIDGE, SHRINK, CAUTION = 0.1, 1e-6, 2.0, 1.5
 THRESHOLD, SEED = 0.7, 3
 #: Labelled rows to learn from; words that one round learns from (each kind); all at most.
 MAX_TRAIN, MAX_WORDS = 20_000, 3000
