@@ -36,18 +36,19 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: s
     return out.where(F.col(right_at).isNotNull()) if inner else out
 
 
-def select_version(requests: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, start: str, order: Sequence[str | Column], approved: Column | None = None) -> DataFrame:
+def select_version(requests: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, start: str, order: Sequence[str | Column], approved: Column | None = None, unique: Sequence[str] | None = None) -> DataFrame:
     """One version for each request: the latest that began at or before the date, else the earliest of all, else an undated one.
 
     Versions that are not ``approved`` count only where a key has no approved one. Undated versions come first in
-    ``order``. Requests of keys without versions go. Every column of ``requests`` is kept and names one request.
+    ``order``. Requests of keys without versions go. Every column of ``requests`` is kept; ``unique`` names those that
+    tell requests apart (all, unless given; fewer let later steps by the same columns do without a shuffle).
     """
     usable = versions if approved is None else first_rank(versions, keys, F.when(approved, 0).otherwise(1))
     met = requests.join(usable, list(keys))
     began, dated = F.col(start) <= F.col(at), F.col(start).isNotNull()
     bucket = F.when(began, 0).when(dated, 1).otherwise(2)
     days = F.when(began, -F.unix_date(F.col(start).cast("date"))).when(dated, F.unix_date(F.col(start).cast("date")))
-    return first_of(met, requests.columns, [bucket, days.asc_nulls_last(), *order])
+    return first_of(met, unique or requests.columns, [bucket, days.asc_nulls_last(), *order])
 
 
 def first_rank(df: DataFrame, keys: Sequence[str], rank: Column) -> DataFrame:

@@ -58,10 +58,10 @@ def tou_quantity(period: Column) -> Column:
     return reduce(lambda out, p: F.when(period == p, F.col(f"{p}_kwh")).otherwise(out), TOU, F.lit(None).cast("double"))
 
 
-def resolve_versions(requests: DataFrame, versions: DataFrame, as_of: str) -> DataFrame:
-    """The version of ``family_key`` for each request (all columns kept), as the engine selects it."""
+def resolve_versions(requests: DataFrame, versions: DataFrame, as_of: str, unique: tuple[str, ...] = (KEY,)) -> DataFrame:
+    """The version of ``family_key`` for each request (all columns kept, told apart by ``unique``), as the engine selects it."""
     some = versions.select("family_key", "version_id", "effective_start", F.coalesce("status", F.lit("approved")).alias("__status"))
-    out = select_version(requests, some, ["family_key"], as_of, "effective_start", ["version_id"], F.col("__status") == "approved")
+    out = select_version(requests, some, ["family_key"], as_of, "effective_start", ["version_id"], F.col("__status") == "approved", unique)
     return out.drop("__status")
 
 
@@ -70,8 +70,17 @@ def base_lines(usage: DataFrame, versions: DataFrame, charges: DataFrame, as_of:
 
     Minimum charges stay in as rows without an amount, for ``bills``.
     """
-    chosen = resolve_versions(usage.select(KEY, "family_key", as_of), versions, as_of).select(KEY, "version_id", "effective_start")
-    rows = usage.join(chosen, KEY).join(charges.drop("family_key"), "version_id")
+    return _own_lines(_with_version(usage, versions, as_of), charges, places)
+
+
+def _with_version(usage: DataFrame, versions: DataFrame, as_of: str) -> DataFrame:
+    """Usage rows with their version_id, null where the family has none."""
+    chosen = resolve_versions(usage.select(KEY, "family_key", as_of), versions, as_of).select(KEY, "version_id")
+    return usage.join(chosen, KEY, "left")
+
+
+def _own_lines(usage: DataFrame, charges: DataFrame, places: int) -> DataFrame:
+    rows = usage.join(charges.drop("family_key"), "version_id")
     season = engine_season(F.col("service_date"))
     own_class = F.coalesce(F.when(F.col("customer_class_c") != "", F.col("customer_class_c")), label_class(F.col("charge_label")))
     in_season = F.coalesce((F.col("season") == "all_year") | (F.col("season") == "") | (F.col("season") == season), F.lit(True))
@@ -157,7 +166,7 @@ def active_riders(usage: DataFrame, links: DataFrame, as_of: str = "service_date
 def rider_lines(usage: DataFrame, versions: DataFrame, charges: DataFrame, links: DataFrame, base: DataFrame, as_of: str = "service_date", opted: tuple[str, ...] = (), places: int = 2) -> DataFrame:
     """Line items of the riders in force; a rider with unit %_energy takes its share of the schedule's energy lines."""
     riders = active_riders(usage, links, as_of, opted).withColumnRenamed("rider", "family_key")
-    chosen = resolve_versions(riders, versions, as_of).select(KEY, "family_key", "version_id")
+    chosen = resolve_versions(riders, versions, as_of, (KEY, "family_key")).select(KEY, "family_key", "version_id")
     own = charges.drop("family_key").where("charge_type = 'adjustment'")
     rows = usage.drop("family_key").join(chosen, KEY).join(own, "version_id")
     energy = base.where("charge_type IN ('energy_block', 'tou_energy')").groupBy(KEY).agg(F.round(F.sum("amount"), places).alias("energy_subtotal"))
@@ -184,9 +193,10 @@ def bills(usage: DataFrame, versions: DataFrame, charges: DataFrame, links: Data
     Usage rows without a version or charges get zero amounts and a warning.
     """
     full, charges = complete_usage(usage), with_class_column(charges)
-    base = base_lines(full, versions, charges, as_of, places)
+    full = _with_version(full, versions, as_of)
+    base = _own_lines(full, charges, places)
     if links is not None:
-        riders = rider_lines(full, versions, charges, links, base, as_of, opted, places)
+        riders = rider_lines(full.drop("version_id"), versions, charges, links, base, as_of, opted, places)
     else:
         riders = base.limit(0)
     lines = base.withColumn("rider", F.lit(False)).unionByName(riders.withColumn("rider", F.lit(True)))
@@ -199,9 +209,8 @@ def bills(usage: DataFrame, versions: DataFrame, charges: DataFrame, links: Data
         F.min(F.when(own, F.col("confidence_score"))).alias("__confidence"), F.sum(F.when(F.col("amount").isNotNull(), 1).otherwise(0)).alias("n_lines"),
     )
     periods = charges.where("charge_type = 'tou_energy'").groupBy("version_id").agg(F.collect_set("tou_period").alias("periods"))
-    chosen = resolve_versions(full.select(KEY, "family_key", as_of), versions, as_of).select(KEY, "version_id").join(periods, "version_id", "left")
     unmatched = reduce(lambda a, b: a + b, (F.when(~F.array_contains("periods", p), F.coalesce(f"{p}_kwh", F.lit(0.0))).otherwise(0.0) for p in TOU))
-    out = full.join(chosen, KEY, "left").join(totals, KEY, "left").withColumn("unmatched_kwh", F.coalesce(unmatched, F.lit(0.0)))
+    out = full.join(periods, "version_id", "left").join(totals, KEY, "left").withColumn("unmatched_kwh", F.coalesce(unmatched, F.lit(0.0)))
     for c in ("base_subtotal", "energy_subtotal", "rider_subtotal", "n_lines"):
         out = out.withColumn(c, F.coalesce(c, F.lit(0).cast("double" if c != "n_lines" else "bigint")))
     before = F.round(F.col("base_subtotal") + F.col("rider_subtotal"), places)

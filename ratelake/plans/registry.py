@@ -25,3 +25,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def values(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """A short literal table inside the plan itself: its size is known and no task has to be sent rows."""
+    fields = [f.strip().split() for f in schema.split(",")]
+    lit = lambda v: "NULL" if v is None else str(v).lower() if isinstance(v, bool) else f"'{v}'" if isinstance(v, str) else repr(v) + ("D" if isinstance(v, float) else "")
+    body = ", ".join("(" + ", ".join(map(lit, r)) + ")" for r in rows)
+    typed = ", ".join(f"CAST({name} AS {kind}) AS {name}" for name, kind in fields)
+    return spark.sql(f"SELECT {typed} FROM VALUES {body} AS t({', '.join(n for n, _ in fields)})")

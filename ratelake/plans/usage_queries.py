@@ -12,7 +12,7 @@ from ratelake.operators.latest import first_of
 from ratelake.operators.sequences import allocate_tiers
 
 from . import billing
-from .registry import query, table
+from .registry import query, table, values
 
 TIERS = [("first", 0.0, 200.0, 0.125), ("second", 200.0, 500.0, 0.11), ("rest", 500.0, None, 0.1)]
 PLANS = [("basic", 10.0, 0.125), ("plus", 15.0, 0.11), ("flat", 25.0, 0.1), ("metered", 0.0, 0.16)]
@@ -26,7 +26,7 @@ def weekly_usage(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _tier_rows(spark: SparkSession, d: str) -> DataFrame:
-    tiers = spark.createDataFrame(TIERS, "tier string, low double, high double, rate double")
+    tiers = values(spark, TIERS, "tier string, low double, high double, rate double")
     rows = weekly_usage(spark, d).crossJoin(F.broadcast(tiers))
     return allocate_tiers(rows, ["user_id", "week"], "kwh", "low", "high").withColumn("amount", F.col("tier_quantity") * F.col("rate"))
 
@@ -72,11 +72,11 @@ def bill_versions_and_riders(spark: SparkSession, d: str) -> DataFrame:
         F.concat_ws("|", F.col("user_id").cast("string"), F.col("week").cast("string")).alias("usage_id"), "user_id", "week",
         F.col("week").alias("service_date"), F.col("kwh").alias("monthly_kwh"), F.when(F.col("user_id") % 2 == 0, "standard").otherwise("green").alias("family_key"),
     )
-    versions = spark.createDataFrame(_VERSIONS, "version_id bigint, family_key string, effective_start string, status string")
-    charges = spark.createDataFrame(_CHARGES, "charge_id bigint, version_id bigint, charge_type string, charge_label string, rate_value double, rate_unit string, tier_min double, tier_max double")
+    versions = values(spark, _VERSIONS, "version_id bigint, family_key string, effective_start string, status string")
+    charges = values(spark, _CHARGES, "charge_id bigint, version_id bigint, charge_type string, charge_label string, rate_value double, rate_unit string, tier_min double, tier_max double")
     charges = charges.withColumns({c: F.lit(None).cast("string") for c in ("tou_period", "season", "customer_class")}).withColumn("confidence_score", F.lit(0.9))
-    links = spark.createDataFrame(
-        [("rider", "standard", True, None, "2024-01-08", "2024-01-22")],
+    links = values(
+        spark, [("rider", "standard", True, None, "2024-01-08", "2024-01-22")],
         "rider_family_key string, applies_to_family_key string, mandatory boolean, enrollment_type string, effective_start string, effective_end string",
     )
     billed = billing.bills(usage, versions, charges, links, places=6)
@@ -100,7 +100,7 @@ def tou_classify_rollup(spark: SparkSession, d: str) -> DataFrame:
     FROM ({_TOU_SQL}) LEFT JOIN (VALUES ('on_peak', 0.25), ('off_peak', 0.125)) r(p, rate) ON period = p GROUP BY 1, 2""")
 def tou_energy_charge(spark: SparkSession, d: str) -> DataFrame:
     """Priced kWh of each user and period; kWh in periods without a rate are unallocated."""
-    rates = spark.createDataFrame([("on_peak", 0.25), ("off_peak", 0.125)], "p string, rate double")
+    rates = values(spark, [("on_peak", 0.25), ("off_peak", 0.125)], "p string, rate double")
     rows = table(spark, d, "events").select("user_id", "value", tou_period(F.col("ts")).alias("period")).join(F.broadcast(rates), F.col("period") == F.col("p"), "left")
     amount = F.round(F.sum(F.col("value") * F.coalesce("rate", F.lit(0.0))), 6).alias("amount")
     return rows.groupBy("user_id", F.coalesce("p", F.lit("unallocated")).alias("period")).agg(F.round(F.sum("value"), 6).alias("kwh"), amount, F.count("*").alias("n"))
@@ -149,7 +149,7 @@ def minimum_bill_shortfall(spark: SparkSession, d: str) -> DataFrame:
 def compare_schedules_rank(spark: SparkSession, d: str) -> DataFrame:
     """Every user's usage under every schedule, cheapest first."""
     usage = table(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("kwh"))
-    plans = spark.createDataFrame(PLANS, "plan string, fixed double, rate double")
+    plans = values(spark, PLANS, "plan string, fixed double, rate double")
     rows = usage.crossJoin(F.broadcast(plans)).withColumn("t", F.col("fixed") + F.col("kwh") * F.col("rate"))
     return rows.select("user_id", "plan", F.round("t", 6).alias("total"), F.row_number().over(Window.partitionBy("user_id").orderBy("t", "plan")).alias("rank"))
 
@@ -164,8 +164,8 @@ _SUN = [0.12, 0.14, 0.17, 0.2, 0.21, 0.22, 0.21, 0.2, 0.18, 0.16, 0.13, 0.11]
 def solar_sweep(spark: SparkSession, d: str) -> DataFrame:
     """Savings and payback of system sizes over twelve months of output."""
     usage = table(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("kwh"))
-    sizes = spark.createDataFrame([(0.25,), (0.5,), (1.0,), (2.0,)], "size double")
-    months = spark.createDataFrame([(c,) for c in _SUN], "cf double")
+    sizes = values(spark, [(0.25,), (0.5,), (1.0,), (2.0,)], "size double")
+    months = values(spark, [(c,) for c in _SUN], "cf double")
     rows = usage.crossJoin(F.broadcast(sizes.crossJoin(months))).withColumn("made", F.col("size") * F.col("cf") * 730 * 0.86)
     value = F.sum(F.least("made", "kwh")) * 0.125 + F.sum(F.greatest(F.col("made") - F.col("kwh"), F.lit(0.0))) * 0.03
     each = rows.groupBy("user_id", "size").agg(value.alias("worth"))
@@ -180,8 +180,8 @@ _SEGMENTS = "(VALUES (DATE '1995-01-01', DATE '1996-06-30', 0.5), (DATE '1996-07
     SELECT o_orderkey, n AS n_days, count(*) AS n_segments, round(CAST(sum(o_totalprice * rate * days) AS DOUBLE), 4) AS amount_days FROM j GROUP BY 1, 2""")
 def rolling_proration(spark: SparkSession, d: str) -> DataFrame:
     """An amount weighted by the days that each rate segment shares with its period, and the days of the period."""
-    segments = spark.createDataFrame(
-        [("1995-01-01", "1996-06-30", 0.5), ("1996-07-01", "1998-03-31", 0.75), ("1998-04-01", "2001-12-31", 0.25)], "a string, b string, rate double"
+    segments = values(
+        spark, [("1995-01-01", "1996-06-30", 0.5), ("1996-07-01", "1998-03-31", 0.75), ("1998-04-01", "2001-12-31", 0.25)], "a string, b string, rate double"
     ).select(F.col("a").cast("date").alias("a"), F.col("b").cast("date").alias("b"), "rate")
     start = F.to_date("o_orderdate")
     periods = table(spark, d, "orders").select("o_orderkey", "o_totalprice", start.alias("x"), F.date_add(start, (F.col("o_orderkey") % 40).cast("int")).alias("y"))
