@@ -102,7 +102,7 @@ def _ties(members: DataFrame) -> DataFrame:
     )
     fine = one.unionByName(two)
     least = fine.groupBy("key", "rest").agg(F.min("fp").alias("hub"), F.count("*").alias("n")).where("n > 1")
-    return fine.join(least.drop("n"), ["key", "rest"]).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
+    return fine.join(least.drop("n").hint("merge"), ["key", "rest"]).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
 def _crowded_keys(fps: DataFrame) -> DataFrame:
@@ -125,6 +125,7 @@ def links(fps: DataFrame, within: int = 2) -> DataFrame:
     variants = _variants(fps)
     crowded = common.materialize(_crowded_keys(fps), "crowded")
     some = not crowded.isEmpty()
+    crowded = crowded.hint("merge")  # grows with the input; variants are shuffled by key in any case
     sparse = variants.join(crowded, "key", "left_anti") if some else variants
     left, right = sparse.select("key", F.col("fp").alias("a")), sparse.select("key", F.col("fp").alias("b"))
     out = left.join(right, "key").where("a < b").where(_apart("a", "b") <= within).select("a", "b")
