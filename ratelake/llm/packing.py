@@ -32,7 +32,7 @@ from . import common
 MAX_LEN = 2048
 END_ID = 1
 #: Chunks of text whose ids a worker remembers at most.
-CACHE = 1_000_000
+CACHE = 1_250_000
 
 
 class ChunkTokenizer:
