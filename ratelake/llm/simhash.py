@@ -69,14 +69,14 @@ def _apart(a: str, b: str) -> Column:
     return F.bit_count(F.col(a).bitwiseXOR(F.col(b)))
 
 
-def _variants(fps: DataFrame, *more: str) -> DataFrame:
+def _variants(fps: DataFrame) -> DataFrame:
     """(key, fp): for each half and each of its bits, the half without that bit, with half and bit in the key."""
     bit = F.col("bit")
     pos = (bit % HALF).cast("int")
     half = F.when(bit >= HALF, _half(F.col("fp"), 1)).otherwise(_half(F.col("fp"), 0))
     masked = half.bitwiseAND(F.bitwise_not(F.expr("shiftleft(1L, cast(bit % 32 as int))")))
-    return fps.select("fp", *more, F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit")).select(
-        F.expr("shiftleft(cast(bit as bigint), 32)").bitwiseOR(masked).alias("key"), "fp", *more
+    return fps.select("fp", F.explode(F.sequence(F.lit(0), F.lit(BITS - 1))).alias("bit")).select(
+        F.expr("shiftleft(cast(bit as bigint), 32)").bitwiseOR(masked).alias("key"), "fp"
     )
 
 
@@ -105,14 +105,23 @@ def _ties(members: DataFrame) -> DataFrame:
     return fine.join(least.drop("n").hint("merge"), ["key", "rest"]).where("fp <> hub").select(F.col("fp").alias("a"), F.col("hub").alias("b")).distinct()
 
 
-def _crowded_keys(fps: DataFrame) -> DataFrame:
-    """Keys of all variants of halves that more than DENSE / 2 fingerprints have; any other key has DENSE members at most."""
-    halves = fps.select(F.explode(F.array(*(F.struct(F.lit(i).alias("side"), _half(F.col("fp"), i).alias("half")) for i in (0, 1)))).alias("h"))
-    hot = halves.groupBy("h.side", "h.half").agg(F.count("*").alias("n")).where(F.col("n") > DENSE // 2)
-    # A fingerprint that has the half on its side stands for it: its variants on that side are the keys.
-    whole = F.when(F.col("side") == 1, F.expr("shiftleft(half, 32)")).otherwise(F.col("half"))
-    keys = _variants(hot.select("side", whole.alias("fp")), "side")
-    return keys.where(F.expr("shiftrightunsigned(key, 37) = side")).select("key").distinct()
+def _crowded_halves(fps: DataFrame) -> DataFrame:
+    """(side, half, key): crowded keys and the two halves that have each of them as a variant.
+
+    A key is crowded if it is a variant of a half that more than DENSE / 2 fingerprints have; any other key has
+    DENSE members at most.
+    """
+    hot = _halves(fps).groupBy("side", "half").agg(F.count("*").alias("n")).where(F.col("n") > DENSE // 2)
+    bits = hot.select("side", "half", F.explode(F.sequence(F.lit(0), F.lit(HALF - 1))).alias("bit"))
+    key = F.expr("shiftleft(cast(side * 32 + bit as bigint), 32) | (half & ~shiftleft(1L, bit))")
+    both = F.expr("explode(array(half, half ^ shiftleft(1L, bit)))")
+    return bits.select("side", key.alias("key"), both.alias("half")).distinct()
+
+
+def _halves(fps: DataFrame, *more: str) -> DataFrame:
+    """(side, half) and ``more`` for both halves of each fingerprint."""
+    both = F.array(*(F.struct(F.lit(i).alias("side"), _half(F.col("fp"), i).alias("half")) for i in (0, 1)))
+    return fps.select(*more, F.inline(both))
 
 
 def links(fps: DataFrame, within: int = 2) -> DataFrame:
@@ -123,14 +132,16 @@ def links(fps: DataFrame, within: int = 2) -> DataFrame:
     if within != 2:
         raise ValueError("the variants are made for a distance of two")
     variants = _variants(fps)
-    crowded = common.materialize(_crowded_keys(fps), "crowded")
-    some = not crowded.isEmpty()
-    crowded = crowded.hint("merge")  # grows with the input; variants are shuffled by key in any case
+    near = common.materialize(_crowded_halves(fps), "crowded")
+    some = not near.isEmpty()
+    # What is crowded grows with the input: it is never broadcast, and its members are found by half, not by variant.
+    crowded = near.select("key").distinct().hint("merge")
     sparse = variants.join(crowded, "key", "left_anti") if some else variants
     left, right = sparse.select("key", F.col("fp").alias("a")), sparse.select("key", F.col("fp").alias("b"))
     out = left.join(right, "key").where("a < b").where(_apart("a", "b") <= within).select("a", "b")
     if some:
-        out = out.unionByName(_ties(common.materialize(variants.join(crowded, "key"), "members")))
+        members = _halves(fps, "fp").join(near.hint("merge"), ["side", "half"]).select("key", "fp")
+        out = out.unionByName(_ties(common.materialize(members, "members")))
     return out
 
 
