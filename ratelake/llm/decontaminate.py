@@ -4,6 +4,10 @@ Numbers, units and names become typed placeholders, so a question asked again wi
 template of the original. Windows of template words are hash-joined with those of the benchmark; where windows
 hold placeholders, the values of document and item must map onto each other one to one along the passage. All
 of it is DataFrame functions.
+
+A capitalised word inside a sentence is a name. At the start of a text, sentence or line and after quotes, colons
+or brackets it may be either, so texts and items are read twice: with such words as they are, and with every run of
+capitalised words as one name. A first name and a full name there are one placeholder each.
 """
 
 from __future__ import annotations
@@ -23,13 +27,19 @@ UNITS = (
     "w kw mw gw wh kwh mwh gwh v a hz khz mhz ghz b kb mb gb tb usd eur gbp dollar dollars euro euros pound pounds cent cents percent"
 ).split()
 _NUMBER = "[0-9]+(?:[.,:/][0-9]+)*"
+_CAPITALISED = r"(?<!\p{L})\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)*+"
 _OPEN_NAME, _OPEN_UNIT, _CLOSE = "\u0001", "\u0002", "\u0003"
 
 
-def _marked(text: Column) -> Column:
-    """Lower-case text with names and units between marks; characters that have a meaning here are taken out first."""
+def _marked(text: Column, everywhere: bool = False) -> Column:
+    """Lower-case text with names and units between marks; characters that have a meaning here are taken out first.
+
+    Names are capitalised words inside a sentence, or runs of capitalised words ``everywhere``.
+    """
     plain = F.translate(F.coalesce(text, F.lit("")), f"#{_OPEN_NAME}{_OPEN_UNIT}{_CLOSE}", "    ")
     names = F.regexp_replace(plain, r"(\p{Ll}[,;]? |[0-9] )((?:\p{Lu}\p{Ll}+ )*\p{Lu}\p{Ll}+)", f"$1{_OPEN_NAME}$2{_CLOSE}")
+    if everywhere:
+        names = F.regexp_replace(F.regexp_replace(plain, r"[\s\p{Z}]+", " "), _CAPITALISED, f"{_OPEN_NAME}$0{_CLOSE}")
     units = F.regexp_replace(names, rf"([0-9]) ?((?i:{'|'.join(UNITS)}))([^\p{{L}}0-9]|$)", f"$1 {_OPEN_UNIT}$2{_CLOSE}$3")
     return F.lower(units)
 
@@ -39,9 +49,9 @@ def _template(marked: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(names, f"{_OPEN_UNIT}[^{_CLOSE}]*{_CLOSE}", "#u"), _NUMBER, "#n")
 
 
-def words(rows: DataFrame, text_col: str, *keep: str) -> DataFrame:
+def words(rows: DataFrame, text_col: str, *keep: str, everywhere: bool = False) -> DataFrame:
     """``keep``, t (template words) and r (the words they stand for), of one length."""
-    marked = rows.select(*keep, _marked(F.col(text_col)).alias("__m"))
+    marked = rows.select(*keep, _marked(F.col(text_col), everywhere).alias("__m"))
     made = marked.withColumn("__t", _template(F.col("__m")))
     t = F.regexp_extract_all("__t", F.lit(r"#[pun]|\p{L}+"), F.lit(0))
     r = F.regexp_extract_all("__m", F.lit(rf"[{_OPEN_NAME}{_OPEN_UNIT}][^{_CLOSE}]*{_CLOSE}|{_NUMBER}|\p{{L}}+"), F.lit(0))
@@ -64,6 +74,18 @@ def _usable(size: int) -> Column:
     return sum((F.substring(f"w{i}", 1, 1) != "#").cast("int") for i in range(size)) * 2 >= size
 
 
+def _met(texts: DataFrame, size: int, side: DataFrame, reading: int) -> DataFrame:
+    """Windows of texts (id, text) that are windows of items: where, and the values of document and item if they hold placeholders."""
+    names = [f"w{i}" for i in range(size)]
+    own_windows = windows(words(texts, "text", "id", everywhere=bool(reading)), size, "id")
+    met = own_windows.join(side, "h").where(F.struct(*names) == F.col("item_w"))
+    both = F.arrays_zip(F.array(*names).alias("t"), F.col("item_r").alias("item"), F.col("r").alias("doc"))
+    slots = F.transform(F.filter(both, lambda x: x["t"].startswith("#")), lambda x: F.struct(x["item"].alias("item"), x["doc"].alias("doc")))
+    holds = F.exists(F.array(*names), lambda x: x.startswith("#"))
+    shift = (F.col("pos") - F.col("item_pos")).alias("shift")
+    return met.select("id", "item", "version", F.lit(reading).alias("reading"), F.col("h").alias("window"), shift, F.when(holds, slots).alias("slots"))
+
+
 def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_col: str = "item_id", item_text: str = "text", similar: float = SIMILAR) -> DataFrame:
     """Pairs of a document and a benchmark item of which it holds at least ``similar`` of the template windows.
 
@@ -74,42 +96,59 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     one document, rows with null ids as well. Null texts have no words.
     """
     items = benchmark.groupBy(F.col(item_text).alias("text")).agg(F.min(item_col).alias("item")).where("item IS NOT NULL")
-    items = common.materialize(words(items, "text", "item").where(F.size("t") > 0), "items")
+    read = [words(items, "text", "item", everywhere=bool(v)).withColumn("version", F.lit(v)) for v in (0, 1)]
+    items = read[0].unionByName(read[1]).where(F.size("t") > 0).groupBy("item", "t").agg(F.min_by("r", "version").alias("r"), F.min("version").alias("version"))
+    items = common.materialize(items, "items")
+    # Without names in the benchmark the second reading of a text meets nothing that the first does not.
+    readings = (0, 1) if not items.where(F.array_contains("t", "#p")).isEmpty() else (0,)
     sizes = [r[0] for r in items.select(F.least(F.size("t"), F.lit(WINDOW)).alias("s")).distinct().collect()]  # 1 to WINDOW
-    found, totals = [], []
+    texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
+    sides, totals, dense = [], [], False
     for size in sorted(sizes):
         own = items.where(F.least(F.size("t"), F.lit(WINDOW)) == size)
         names = [f"w{i}" for i in range(size)]
-        wanted = common.materialize(windows(own, size, "item").where(_usable(size)), "wanted")
-        totals.append(wanted.groupBy("item").agg(F.countDistinct(*names).alias("windows")))
-        side = wanted.select("item", "h", F.struct(*names).alias("item_w"), F.col("pos").alias("item_pos"), F.col("r").alias("item_r"))
-        if wanted.count() <= BROADCAST_WINDOWS:
-            side = F.broadcast(side)
-        own_windows = windows(words(docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")), "text", "id"), size, "id")
-        met = own_windows.join(side, "h").where(F.struct(*names) == F.col("item_w"))
-        both = F.arrays_zip(F.array(*names).alias("t"), F.col("item_r").alias("item"), F.col("r").alias("doc"))
-        slots = F.transform(F.filter(both, lambda x: x["t"].startswith("#")), lambda x: F.struct(x["item"].alias("item"), x["doc"].alias("doc")))
-        holds = F.exists(F.array(*names), lambda x: x.startswith("#"))
-        found.append(met.select("id", "item", F.col("h").alias("window"), (F.col("pos") - F.col("item_pos")).alias("shift"), F.when(holds, slots).alias("slots")))
+        wanted = common.materialize(windows(own, size, "item", "version").where(_usable(size)), "wanted")
+        totals.append(wanted.groupBy("item", "version").agg(F.countDistinct(*names).alias("windows")))
+        # Windows that the two readings of a text may have in different form.
+        either = F.exists(F.array(*names), lambda x: x.isin("#p", "#u"))
+        share = F.countDistinct(F.when(either, F.col("h"))) >= F.lit(similar) * F.countDistinct("h")
+        dense = dense or not wanted.groupBy("item", "version").agg(share.alias("dense")).where("dense").isEmpty()
+        side = wanted.select("item", "version", "h", F.struct(*names).alias("item_w"), F.col("pos").alias("item_pos"), F.col("r").alias("item_r"))
+        sides.append((size, F.broadcast(side) if wanted.count() <= BROADCAST_WINDOWS else side))
+    found = []
+    for reading in readings if sides else ():
+        if reading and not dense:  # every item found must have a window that the first reading has met
+            ids = found[0].select(F.col("id").alias("met")).distinct()
+            texts = texts.join(ids, texts["id"].eqNullSafe(ids["met"]), "left_semi")
+        met = [_met(texts, size, side, reading) for size, side in sides]
+        some = met[0]
+        for m in met[1:]:
+            some = some.unionByName(m)
+        found.append(common.materialize(some.distinct(), "hits"))
     if not found:
         kind, item_kind = dict(docs.dtypes)[id_col], dict(benchmark.dtypes)[item_col]
         return _result(docs.sparkSession.createDataFrame([], f"id {kind}, item {item_kind}, matched bigint, windows bigint, changed int"), id_col, item_col)
-    all_found, all_totals = found[0], totals[0]
-    for f, t in zip(found[1:], totals[1:], strict=True):
-        all_found, all_totals = all_found.unionByName(f), all_totals.unionByName(t)
-    hits = common.materialize(all_found.distinct(), "hits")
+    hits, all_totals = found[0], totals[0]
+    for f in found[1:]:
+        hits = hits.unionByName(f)
+    for t in totals[1:]:
+        all_totals = all_totals.unionByName(t)
     # One to one: along one alignment no value may stand for two, on either side.
-    pairs = hits.where("slots IS NOT NULL").select("id", "item", "shift", F.explode("slots").alias("s"))
-    pairs = pairs.select("id", "item", "shift", F.col("s.item").alias("of"), F.col("s.doc").alias("to")).distinct()
-    key = ["id", "item", "shift"]
+    key = ["id", "item", "version", "reading", "shift"]
+    pairs = hits.where("slots IS NOT NULL").select(*key, F.explode("slots").alias("s"))
+    pairs = pairs.select(*key, F.col("s.item").alias("of"), F.col("s.doc").alias("to")).distinct()
     torn = pairs.groupBy(*key, "of").count().where("count > 1").select(*key)
     torn = torn.unionByName(pairs.groupBy(*key, "to").count().where("count > 1").select(*key)).distinct()
-    clash = hits["shift"].eqNullSafe(torn["shift"]) & hits["id"].eqNullSafe(torn["id"]) & (hits["item"] == torn["item"])
+    clash = hits["id"].eqNullSafe(torn["id"])
+    for k in key[1:]:
+        clash = clash & (hits[k] == torn[k])
     kept = hits.join(torn, clash, "left_anti")
     changed = F.coalesce(F.size(F.array_distinct(F.filter("slots", lambda s: s["item"] != s["doc"]))), F.lit(0))
-    pairs_found = kept.groupBy("id", "item").agg(F.countDistinct("window").alias("matched"), F.max(changed).alias("changed"))
-    scored = pairs_found.join(all_totals, "item").where(F.col("matched") >= F.lit(similar) * F.col("windows"))
-    return _result(scored, id_col, item_col)
+    pairs_found = kept.groupBy("id", "item", "version").agg(F.countDistinct("window").alias("matched"), F.max(changed).alias("changed"))
+    scored = pairs_found.join(all_totals, ["item", "version"]).where(F.col("matched") >= F.lit(similar) * F.col("windows"))
+    # The second reading of an item counts where the first is not found.
+    best = F.min_by(F.struct("matched", "windows", "changed"), "version")
+    return _result(scored.groupBy("id", "item").agg(best.alias("best")).select("id", "item", "best.*"), id_col, item_col)
 
 
 def _result(scored: DataFrame, id_col: str, item_col: str) -> DataFrame:

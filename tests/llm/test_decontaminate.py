@@ -76,3 +76,22 @@ def test_equals_brute_force_on_plain_words(spark):
         texts.append((d, " ".join(body)))
     got = {k: r["similarity"] for k, r in found(spark, texts, items).items()}
     assert got == brute(texts, items)
+
+
+TOM = "Tom has 5 apples. Tom buys 3 more apples. Tom then eats 2 of them. How many apples are left?"
+
+
+def test_names_at_sentence_starts_and_line_heads(spark):
+    anna = TOM.replace("Tom", "Anna").replace("5", "9").replace("3", "4")
+    torn = "Anna has 9 apples. Eve buys 4 more apples. Paul then eats 2 of them. How many apples are left?"
+    texts = [(1, anna), (2, f'He said: "{anna}"'), (3, anna.replace("Anna", "Anna Lee")), (4, f"List:\n({TOM.lower()})"), (5, torn)]
+    got = found(spark, texts, [(1, TOM)])
+    assert set(got) == {(i, 1) for i in (1, 2, 3, 4)}
+    assert got[1, 1]["similarity"] == 1.0 and got[1, 1]["kind"] == "reparameterised"
+
+
+def test_names_on_a_new_line_and_capitals_without_names(spark):
+    lines = ITEM.replace("with Maria Lopez", "with\nMaria Lopez")
+    got = found(spark, [(1, lines), (2, lines.replace("Maria Lopez", "John\nSmith")), (3, "The " + OTHER[4:].replace("noon on", "noon\nOn"))])
+    assert set(got) == {(1, 1), (2, 1), (3, 2)}
+    assert {r["similarity"] for r in got.values()} == {1.0}
