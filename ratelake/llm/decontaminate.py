@@ -59,14 +59,17 @@ def words(rows: DataFrame, text_col: str, *keep: str, everywhere: bool = False)
 
 
 def windows(rows: DataFrame, size: int, *keep: str) -> DataFrame:
-    """``keep``, pos, w (the window's template words in columns), h (their hash) and r (words behind it, null without placeholders)."""
+    """``keep``, pos, w (the window's template words in columns), usable, h (hash of the template words if usable, else of
+    the words behind them) and r (words behind it, null without placeholders)."""
     n = F.size("t")
     parts = [F.slice("t", i + 1, F.greatest(n - i, F.lit(0))).alias(f"w{i}") for i in range(size)]
     zipped = F.arrays_zip(*parts, F.sequence(F.lit(0), n - 1).alias("pos"))
     some = rows.where(n >= size).select(*keep, "r", F.inline(zipped))
     names = [f"w{i}" for i in range(size)]
     some = some.where(F.col(names[-1]).isNotNull())
-    return some.select(*keep, "pos", *names, F.xxhash64(*names).alias("h"), F.slice("r", F.col("pos") + 1, size).alias("r"))
+    r, usable = F.slice("r", F.col("pos") + 1, size), _usable(size)
+    h = F.when(usable, F.xxhash64(*names)).otherwise(F.xxhash64(r))
+    return some.select(*keep, "pos", *names, usable.alias("usable"), h.alias("h"), r.alias("r"))
 
 
 def _usable(size: int) -> Column:
@@ -78,7 +81,7 @@ def _met(texts: DataFrame, size: int, side: DataFrame, reading: int) -> DataFram
     """Windows of texts (id, text) that are windows of items: where, and the values of document and item if they hold placeholders."""
     names = [f"w{i}" for i in range(size)]
     own_windows = windows(words(texts, "text", "id", everywhere=bool(reading)), size, "id")
-    met = own_windows.join(side, "h").where(F.struct(*names) == F.col("item_w"))
+    met = own_windows.join(side, "h").where((F.struct(*names) == F.col("item_w")) & (F.col("usable") | (F.col("r") == F.col("item_r"))))
     both = F.arrays_zip(F.array(*names).alias("t"), F.col("item_r").alias("item"), F.col("r").alias("doc"))
     slots = F.transform(F.filter(both, lambda x: x["t"].startswith("#")), lambda x: F.struct(x["item"].alias("item"), x["doc"].alias("doc")))
     holds = F.exists(F.array(*names), lambda x: x.startswith("#"))
@@ -92,7 +95,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     Columns: ``id_col``, ``item_col``, matched and windows (distinct template windows of the item, found and in
     all), similarity, changed_slots (placeholders with another value than in the item, at most over passages) and
     kind: exact, or reparameterised if values differ. Items of equal text are one item, named by the smallest id;
-    items without words match nothing; items shorter than five words are one window. Rows that share an id are
+    items without words match nothing; items shorter than five words are one window. Windows that are mostly placeholders
+    are left out, but if an item has no others they must be there with the item's own values. Rows that share an id are
     one document, rows with null ids as well. Null texts have no words.
     """
     items = benchmark.groupBy(F.col(item_text).alias("text")).agg(F.min(item_col).alias("item")).where("item IS NOT NULL")
@@ -107,8 +111,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     for size in sorted(sizes):
         own = items.where(F.least(F.size("t"), F.lit(WINDOW)) == size)
         names = [f"w{i}" for i in range(size)]
-        wanted = common.materialize(windows(own, size, "item", "version").where(_usable(size)), "wanted")
-        totals.append(wanted.groupBy("item", "version").agg(F.countDistinct(*names).alias("windows")))
+        every = windows(own, size, "item", "version")
+        some = every.groupBy("item").agg(F.max("usable").alias("some"))
+        literal = ~F.col("some") & (F.col("version") == 0)
+        wanted = common.materialize(every.join(some, "item").where(F.col("usable") | literal).drop("some"), "wanted")
+        totals.append(wanted.groupBy("item", "version").agg(F.countDistinct("h", *names).alias("windows")))
         # Windows that the two readings of a text may have in different form.
         either = F.exists(F.array(*names), lambda x: x.isin("#p", "#u"))
         share = F.countDistinct(F.when(either, F.col("h"))) >= F.lit(similar) * F.countDistinct("h")
@@ -133,16 +140,19 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         hits = hits.unionByName(f)
     for t in totals[1:]:
         all_totals = all_totals.unionByName(t)
-    # One to one: along one alignment no value may stand for two, on either side.
+    # One to one: along one alignment no value may stand for two, on either side. Windows with such a value do not count,
+    # unless it is the item's own.
     key = ["id", "item", "version", "reading", "shift"]
     pairs = hits.where("slots IS NOT NULL").select(*key, F.explode("slots").alias("s"))
     pairs = pairs.select(*key, F.col("s.item").alias("of"), F.col("s.doc").alias("to")).distinct()
-    torn = pairs.groupBy(*key, "of").count().where("count > 1").select(*key)
-    torn = torn.unionByName(pairs.groupBy(*key, "to").count().where("count > 1").select(*key)).distinct()
-    clash = hits["id"].eqNullSafe(torn["id"])
+    twice = [pairs.groupBy(*key, F.col(c).alias("value")).count().where("count > 1").withColumn("side", F.lit(c)) for c in ("of", "to")]
+    values = [F.collect_set(F.when(F.col("side") == c, F.col("value"))).alias(f"torn_{c}") for c in ("of", "to")]
+    torn = twice[0].unionByName(twice[1]).groupBy(*(F.col(k).alias(f"at_{k}") for k in key)).agg(*values)
+    clash = F.col("id").eqNullSafe(F.col("at_id"))
     for k in key[1:]:
-        clash = clash & (hits[k] == torn[k])
-    kept = hits.join(torn, clash, "left_anti")
+        clash = clash & (F.col(k) == F.col(f"at_{k}"))
+    in_torn = lambda s: (s["item"] != s["doc"]) & (F.array_contains("torn_of", s["item"]) | F.array_contains("torn_to", s["doc"]))
+    kept = hits.join(torn, clash, "left").where(~F.coalesce(F.exists("slots", in_torn), F.lit(False))).select(*hits.columns)
     changed = F.coalesce(F.size(F.array_distinct(F.filter("slots", lambda s: s["item"] != s["doc"]))), F.lit(0))
     pairs_found = kept.groupBy("id", "item", "version").agg(F.countDistinct("window").alias("matched"), F.max(changed).alias("changed"))
     scored = pairs_found.join(all_totals, ["item", "version"]).where(F.col("matched") >= F.lit(similar) * F.col("windows"))

@@ -95,3 +95,19 @@ def test_names_on_a_new_line_and_capitals_without_names(spark):
     got = found(spark, [(1, lines), (2, lines.replace("Maria Lopez", "John\nSmith")), (3, "The " + OTHER[4:].replace("noon on", "noon\nOn"))])
     assert set(got) == {(1, 1), (2, 1), (3, 2)}
     assert {r["similarity"] for r in got.values()} == {1.0}
+
+
+def test_a_conflict_drops_its_windows_only(spark):
+    item = "in 2019 the old mill by the river was sold to a baker who let it stand empty for many long years until the summer of 2019 when the whole roof fell in"
+    one = item.replace("of 2019", "of 2020")
+    clash = f"{item} and 5 men came".replace("fell in", "fell in on 8 cold winter nights of that year")
+    texts = [(1, one), (2, item), (3, clash.replace("and 5 men", "and 8 men")), (4, item.replace("2019", "1987"))]
+    got = found(spark, texts, [(1, item), (2, clash)])
+    assert {(1, 1), (2, 1), (4, 1), (3, 2)} <= set(got)
+    assert got[1, 1]["similarity"] < 1 and got[2, 1]["kind"] == "exact" and got[4, 1]["kind"] == "reparameterised"
+
+
+def test_items_of_mostly_placeholders_are_found_as_they_are(spark):
+    item = "5 kg 7 lbs 3 oz and 12 km 9 miles"
+    texts = [(1, f"weights: {item} done"), (2, item.replace("7", "8")), (3, "5 kg"), (4, "6 kg")]
+    assert set(found(spark, texts, [(1, item), (2, "5 kg")])) == {(1, 1), (1, 2), (2, 2), (3, 2)}
