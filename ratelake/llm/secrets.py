@@ -2,8 +2,9 @@
 
 A plain pattern finds assignments, access keys and long hex runs. On top of that, base64 and hex candidates
 are decoded, and only those that parse are reported: DER keys (every nested length must fit), OpenSSH key
-containers (length-prefixed fields), PEM private keys (armoured body parses), and signed tokens (header
-and payload are JSON objects, the header names an algorithm).
+containers (length-prefixed fields), PEM private keys (armoured body parses; line ends may be escaped), and signed
+tokens (header and payload are JSON objects, the header names an algorithm). The body of a PEM key that its own
+headers call encrypted shows no structure; it must decode to whole cipher blocks.
 """
 
 from __future__ import annotations
@@ -30,7 +31,13 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f][0-9a-f]{23,}")
 _RUN = re.compile(r"[A-Za-z0-9+/_-][A-Za-z0-9+/_-]{23,}")
 _TOKEN = re.compile(r"eyJ[A-Za-z0-9_-]{5,}\.[A-Za-z0-9_-]{4,}\.[A-Za-z0-9_-]*")
-_PEM = re.compile(r"-----BEGIN ([A-Z0-9]+ )?PRIVATE KEY-----([A-Za-z0-9+/=\s]*)-----END \1?PRIVATE KEY-----")
+#: Line ends in an armour, as they are or escaped once or more, as in JSON strings.
+_EOL = r"(?:\s|\\+[nrt])"
+_PEM = re.compile(
+    rf"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:{_EOL}*+[A-Z][A-Za-z-]*+:[^\\\r\n]*+{_EOL})*+)"
+    rf"((?:[A-Za-z0-9+/=]|{_EOL})*+)-----END \1PRIVATE KEY-----"
+)
+_DEK = re.compile(r"DEK-Info:\s*([A-Z0-9-]+),\s*[0-9A-Fa-f]{16,}")
 
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
 _RUN_BYTES = np.zeros(256, bool)
@@ -38,6 +45,10 @@ _RUN_BYTES[list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789
 MIN_ASSIGN, MIN_ACCESS, MIN_RUN = 6, 20, 24
 
 
+#: Object identifiers 1.2.840.113549.1.5 and 1.2.840.113549.1.12.1.
+_PASSWORD_BASED = (bytes.fromhex("2a864886f70d0105"), bytes.fromhex("2a864886f70d010c01"))
+
+
 def _element(data: bytes, at: int, end: int) -> tuple[int, int, int] | None:
     """(tag, start, end) of the DER element at ``at``, or None if its length does not fit."""
     if at + 2 > end:
@@ -70,22 +81,39 @@ def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
 
 
 def is_der_key(data: bytes) -> bool:
-    """A DER private key: PKCS#1 (nine integers), PKCS#8 (version, algorithm, octets) or SEC1 (1, octets)."""
+    """A DER private key: PKCS#1 (nine integers), DSA (six), PKCS#8 (version, algorithm, octets; if encrypted, algorithm with
+    parameters and octets) or SEC1 (1, octets)."""
     top = _element(data, 0, len(data))
     if top is None or top[0] != 0x30 or top[2] != len(data):
         return False
     inner = _elements(data, top[1], top[2])
+    if inner and [x[0] for x in inner] == [0x30, 0x04]:
+        return _is_encrypted_key(data, *inner)
     if not inner or len(inner) < 2 or inner[0][0] != 0x02 or inner[0][2] - inner[0][1] != 1:
         return False
     tags = [x[0] for x in inner]
     if len(inner) >= 9 and all(t == 0x02 for t in tags[:9]):
         return True
+    if len(inner) == 6 and all(t == 0x02 for t in tags):
+        sizes = [x[2] - x[1] for x in inner]  # version 0, p, q, g, y, x
+        return data[inner[0][1]] == 0 and sizes[1] >= 64 and 20 <= sizes[2] <= 33 and 1 <= sizes[5] <= 33
     if len(inner) >= 3 and tags[1] == 0x30 and tags[2] == 0x04:
         algorithm = _elements(data, inner[1][1], inner[1][2])
         return bool(algorithm) and algorithm[0][0] == 0x06
     return tags[1] == 0x04 and data[inner[0][1]] == 1 and inner[1][2] - inner[1][1] >= 16
 
 
+def _is_encrypted_key(data: bytes, algorithm: tuple[int, int, int], octets: tuple[int, int, int]) -> bool:
+    """EncryptedPrivateKeyInfo: a password-based algorithm (PKCS#5 or PKCS#12) with its parameters, and octets.
+
+    A DigestInfo has the same outline, so the algorithm has to be of these families.
+    """
+    parts = _elements(data, algorithm[1], algorithm[2])
+    if not parts or len(parts) != 2 or parts[0][0] != 0x06 or parts[1][0] != 0x30 or octets[2] - octets[1] < 16:
+        return False
+    return data[parts[0][1] : parts[0][2]].startswith(_PASSWORD_BASED)
+
+
 def is_openssh_key(data: bytes) -> bool:
     """The openssh-key-v1 container: cipher, kdf, options, key count, then that many public parts and the private part."""
     magic = b"openssh-key-v1\0"
@@ -124,6 +152,14 @@ def _confirmed(data: bytes) -> str | None:
     return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
 
 
+def _is_cipher_text(headers: str, data: bytes) -> bool:
+    """Whole blocks of the cipher that the headers of a traditional encrypted key name."""
+    dek = _DEK.search(headers)
+    if not dek or "ENCRYPTED" not in headers:
+        return False
+    return len(data) >= 32 and len(data) % (8 if "DES" in dek[1] else 16) == 0
+
+
 def _json_part(part: str) -> dict | None:
     try:
         got = json.loads(base64.urlsafe_b64decode(part + "=" * (-len(part) % 4)))
@@ -143,7 +179,8 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
         spans += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     if b"PRIVATE KEY-----" in raw:
         for m in _PEM.finditer(text):
-            if any(_confirmed(d) for d in _decoded("".join(m[2].split()))):
+            blobs = _decoded(re.sub(_EOL, "", m[3]))
+            if any(_confirmed(d) for d in blobs) or any(_is_cipher_text(m[2], d) for d in blobs):
                 spans.append(("pem", m.start(), m.end()))
     if b"eyJ" in raw:
         for m in _TOKEN.finditer(text):

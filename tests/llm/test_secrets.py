@@ -93,3 +93,39 @@ def test_letters_only_prose_has_no_spans():
     rng = random.Random(1)
     text = " ".join("".join(rng.choice(string.ascii_lowercase) for _ in range(rng.randint(1, 12))) for _ in range(5000))
     assert secrets.find_spans(text) == []
+
+
+def armoured(kind, data, eol="\n", headers=""):
+    lines = re.findall(".{1,64}", base64.b64encode(data).decode())
+    return eol.join([f"-----BEGIN {kind}PRIVATE KEY-----", *([headers.replace("\n", eol), ""] if headers else []), *lines, f"-----END {kind}PRIVATE KEY-----"])
+
+
+def test_armour_with_escaped_line_ends():
+    for eol in ("\\n", "\\r\\n", "\\\\n"):
+        for end in ("", eol):
+            pem = armoured("", PKCS8, eol)
+            text = json.dumps({"type": "service_account", "id": 1})[:-1] + f', "private_key": "{pem}{end}"}}'
+            assert ("pem", pem) in kinds(text), eol
+
+
+def test_traditional_encrypted_keys():
+    for cipher, size in (("AES-128-CBC", 640), ("DES-EDE3-CBC", 648)):
+        iv = "0123456789ABCDEF" * (2 if "AES" in cipher else 1)
+        headers = f"Proc-Type: 4,ENCRYPTED\nDEK-Info: {cipher},{iv}"
+        for eol in ("\n", "\r\n", "\\n"):
+            pem = armoured("RSA ", random.Random(3).randbytes(size), eol, headers)
+            assert ("pem", pem) in kinds(f"key: {pem} end"), (cipher, eol)
+    assert "pem" not in [k for k, _ in kinds(armoured("RSA ", random.Random(3).randbytes(641), "\n", headers))]
+    assert "pem" not in [k for k, _ in kinds(armoured("RSA ", random.Random(3).randbytes(640)))]
+
+
+def test_dsa_and_encrypted_pkcs8_keys():
+    dsa = tlv(0x30, tlv(2, b"\0") + b"".join(tlv(2, b"A" * n) for n in (128, 20, 128, 128, 20)))
+    pbes2 = tlv(0x30, tlv(6, bytes.fromhex("2a864886f70d01050d")) + tlv(0x30, b""))
+    encrypted = tlv(0x30, pbes2 + tlv(4, b"e" * 64))
+    digest_info = tlv(0x30, tlv(0x30, tlv(6, bytes.fromhex("608648016503040201")) + tlv(5, b"")) + tlv(4, b"d" * 32))
+    for data, kind in ((dsa, "DSA "), (encrypted, "ENCRYPTED ")):
+        assert "der" in [k for k, _ in kinds(f"x {base64.b64encode(data).decode()} y")]
+        assert ("pem", armoured(kind, data)) in kinds(f"x {armoured(kind, data)} y")
+    assert not secrets.is_der_key(digest_info)
+    assert not secrets.is_der_key(tlv(0x30, b"".join(tlv(2, b"\1") for _ in range(6))))
