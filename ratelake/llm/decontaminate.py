@@ -8,6 +8,10 @@ of it is DataFrame functions.
 A capitalised word inside a sentence is a name. At the start of a text, sentence or line and after quotes, colons
 or brackets it may be either, so texts and items are read twice: with such words as they are, and with every run of
 capitalised words as one name. A first name and a full name there are one placeholder each.
+
+Reading a text is dear, so a cheap pass comes first: three neighbouring words of an item that are words in both
+readings, with whatever case, must stand in any text that holds a window around them. Texts without any such triple
+cannot hold an item whose windows have them, and are not read further.
 """
 
 from __future__ import annotations
@@ -17,8 +21,8 @@ from pyspark.sql import functions as F
 
 from . import common
 
-WINDOW, SIMILAR = 5, 0.8
-#: Benchmark windows that are broadcast at most (16 bytes each and their words); beyond that, a shuffle join.
+WINDOW, SIMILAR, ANCHOR = 5, 0.8, 3
+#: Benchmark windows or anchors that are broadcast at most (16 bytes each and their words); beyond that, a shuffle join.
 BROADCAST_WINDOWS = 500_000
 #: Unit words that count as such after a number.
 UNITS = (
@@ -26,8 +30,9 @@ UNITS = (
     "ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
     "w kw mw gw wh kwh mwh gwh v a hz khz mhz ghz b kb mb gb tb usd eur gbp dollar dollars euro euros pound pounds cent cents percent"
 ).split()
-_NUMBER = "[0-9]+(?:[.,:/][0-9]+)*"
-_CAPITALISED = r"(?<!\p{L})\p{Lu}\p{Ll}++(?: \p{Lu}\p{Ll}++)*+"
+# Possessive throughout: a run of very many names or numbers must not be kept on the stack.
+_NUMBER = "[0-9]++(?:[.,:/][0-9]++)*+"
+_NAME = r"\p{Lu}\p{Ll}++(?!\p{L})(?: \p{Lu}\p{Ll}++(?!\p{L}))*+"
 _OPEN_NAME, _OPEN_UNIT, _CLOSE = "\u0001", "\u0002", "\u0003"
 
 
@@ -37,9 +42,9 @@ def _marked(text: Column, everywhere: bool = False) -> Column:
     Names are capitalised words inside a sentence, or runs of capitalised words ``everywhere``.
     """
     plain = F.translate(F.coalesce(text, F.lit("")), f"#{_OPEN_NAME}{_OPEN_UNIT}{_CLOSE}", "    ")
-    names = F.regexp_replace(plain, r"(\p{Ll}[,;]? |[0-9] )((?:\p{Lu}\p{Ll}+ )*\p{Lu}\p{Ll}+)", f"$1{_OPEN_NAME}$2{_CLOSE}")
+    names = F.regexp_replace(plain, rf"(\p{{Ll}}[,;]? |[0-9] )({_NAME})", f"$1{_OPEN_NAME}$2{_CLOSE}")
     if everywhere:
-        names = F.regexp_replace(F.regexp_replace(plain, r"[\s\p{Z}]+", " "), _CAPITALISED, f"{_OPEN_NAME}$0{_CLOSE}")
+        names = F.regexp_replace(F.regexp_replace(plain, r"[\s\p{Z}]+", " "), rf"(?<!\p{{L}}){_NAME}", f"{_OPEN_NAME}$0{_CLOSE}")
     units = F.regexp_replace(names, rf"([0-9]) ?((?i:{'|'.join(UNITS)}))([^\p{{L}}0-9]|$)", f"$1 {_OPEN_UNIT}$2{_CLOSE}$3")
     return F.lower(units)
 
@@ -77,6 +82,39 @@ def _usable(size: int) -> Column:
     return sum((F.substring(f"w{i}", 1, 1) != "#").cast("int") for i in range(size)) * 2 >= size
 
 
+def _plain_triples(texts: DataFrame, size: int) -> DataFrame:
+    """(id, h): hashes of each ``size`` neighbouring runs of letters, in lower case, of texts (id, text)."""
+    runs = texts.select("id", F.split(F.lower("text"), r"\P{L}+").alias("t"))
+    parts = [F.slice("t", i + 1, F.greatest(F.size("t") - i, F.lit(0))).alias(f"w{i}") for i in range(size)]
+    some = runs.where(F.size("t") >= size).select("id", F.inline(F.arrays_zip(*parts)))
+    return some.where(F.col(f"w{size - 1}").isNotNull()).select("id", F.xxhash64(*(f"w{i}" for i in range(size))).alias("h"))
+
+
+def _anchors(wanted: DataFrame, size: int, similar: float) -> tuple[DataFrame, bool]:
+    """Hashes (h) of the anchors of windows, and whether every item has enough windows with one: if so, no text holds
+    ``similar`` of an item's windows without one of its anchors."""
+    names = [f"w{i}" for i in range(size)]
+    few = min(ANCHOR, size)
+    runs = [F.array(*names[i : i + few]) for i in range(size - few + 1)]
+    literal = F.filter(F.array(*runs), lambda x: F.forall(x, lambda w: ~w.startswith("#")))
+    some = wanted.select("item", "version", F.col("h").alias("window"), literal.alias("runs"))
+    bare = F.countDistinct(F.when(F.size("runs") == 0, F.col("window"))) < F.lit(similar) * F.countDistinct("window")
+    held = some.groupBy("item", "version").agg(bare.alias("held")).where(~F.col("held")).isEmpty()
+    anchors = some.select(F.explode("runs").alias("x")).select(F.xxhash64(*(F.col("x")[i] for i in range(few))).alias("h")).distinct()
+    return common.materialize(anchors, "anchors"), held
+
+
+def _with_anchors(texts: DataFrame, anchors: dict[int, DataFrame]) -> DataFrame:
+    """Those of texts (id, text) whose id has an anchor: runs of words by their length."""
+    found = None
+    for size, some in anchors.items():
+        side = F.broadcast(some) if some.count() <= BROADCAST_WINDOWS else some
+        ids = _plain_triples(texts, size).join(side, "h", "left_semi").select(F.col("id").alias("met"))
+        found = ids if found is None else found.unionByName(ids)
+    found = common.materialize(found.distinct(), "candidates")
+    return common.materialize(texts.join(found, texts["id"].eqNullSafe(found["met"]), "left_semi"), "texts")
+
+
 def _met(texts: DataFrame, size: int, side: DataFrame, reading: int) -> DataFrame:
     """Windows of texts (id, text) that are windows of items: where, and the values of document and item if they hold placeholders."""
     names = [f"w{i}" for i in range(size)]
@@ -107,7 +145,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     readings = (0, 1) if not items.where(F.array_contains("t", "#p")).isEmpty() else (0,)
     sizes = [r[0] for r in items.select(F.least(F.size("t"), F.lit(WINDOW)).alias("s")).distinct().collect()]  # 1 to WINDOW
     texts = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text"))
-    sides, totals, dense = [], [], False
+    sides, totals, anchors, held = [], [], {}, True
     for size in sorted(sizes):
         own = items.where(F.least(F.size("t"), F.lit(WINDOW)) == size)
         names = [f"w{i}" for i in range(size)]
@@ -116,17 +154,15 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         literal = ~F.col("some") & (F.col("version") == 0)
         wanted = common.materialize(every.join(some, "item").where(F.col("usable") | literal).drop("some"), "wanted")
         totals.append(wanted.groupBy("item", "version").agg(F.countDistinct("h", *names).alias("windows")))
-        # Windows that the two readings of a text may have in different form.
-        either = F.exists(F.array(*names), lambda x: x.isin("#p", "#u"))
-        share = F.countDistinct(F.when(either, F.col("h"))) >= F.lit(similar) * F.countDistinct("h")
-        dense = dense or not wanted.groupBy("item", "version").agg(share.alias("dense")).where("dense").isEmpty()
+        marks, all_held = _anchors(wanted, size, similar)
+        held, few = held and all_held, min(ANCHOR, size)
+        anchors[few] = anchors[few].unionByName(marks).distinct() if few in anchors else marks
         side = wanted.select("item", "version", "h", F.struct(*names).alias("item_w"), F.col("pos").alias("item_pos"), F.col("r").alias("item_r"))
         sides.append((size, F.broadcast(side) if wanted.count() <= BROADCAST_WINDOWS else side))
+    # An item that is mostly placeholders has no anchors to go by: then every text is read.
+    texts = _with_anchors(texts, anchors) if sides and held else texts
     found = []
     for reading in readings if sides else ():
-        if reading and not dense:  # every item found must have a window that the first reading has met
-            ids = found[0].select(F.col("id").alias("met")).distinct()
-            texts = texts.join(ids, texts["id"].eqNullSafe(ids["met"]), "left_semi")
         met = [_met(texts, size, side, reading) for size, side in sides]
         some = met[0]
         for m in met[1:]:

@@ -111,3 +111,31 @@ def test_items_of_mostly_placeholders_are_found_as_they_are(spark):
     item = "5 kg 7 lbs 3 oz and 12 km 9 miles"
     texts = [(1, f"weights: {item} done"), (2, item.replace("7", "8")), (3, "5 kg"), (4, "6 kg")]
     assert set(found(spark, texts, [(1, item), (2, "5 kg")])) == {(1, 1), (1, 2), (2, 2), (3, 2)}
+
+
+def test_very_long_runs_of_names_and_numbers(spark):
+    names = " ".join(["Abc"] * 100_000)
+    number = ".".join(["12"] * 100_000)
+    texts = [(1, f"so {names} {ITEM} {names}"), (2, f"{names}\n{number} {ITEM}"), (3, f"{number}/{number} with {names}"), (4, "A" * 500_000 + " " + "b" * 500_000)]
+    assert set(found(spark, texts, [(1, ITEM), (2, TOM)])) == {(1, 1), (2, 1)}
+
+
+def test_bob_and_alice_with_other_numbers(spark):
+    item = "Bob has 5 apples. Bob gives 2 to Carol. Carol eats 1 of them and Bob buys 4 more. How many apples does Bob have now?"
+    again = "Alice has 7 apples. Alice gives 3 to Diana. Diana eats 2 of them and Alice buys 6 more. How many apples does Alice have now?"
+    assert set(found(spark, [(1, f"Question: {again} Answer: 8"), (2, "Alice has apples")], [(1, item)])) == {(1, 1)}
+
+
+def test_item_of_numbers_only_is_found_as_it_is(spark):
+    item = "12 + 34 + 56 + 78 + 90 = 270"
+    assert set(found(spark, [(1, f"sum: {item}!"), (2, item.replace("34", "35")), (3, OTHER)], [(1, item), (2, OTHER)])) == {(1, 1), (3, 2)}
+
+
+def test_texts_without_anchors_hold_nothing(spark, monkeypatch):
+    """The cheap pass changes no result: with it and without it, on texts of every case and mark."""
+    items = [(1, ITEM), (2, TOM), (3, OTHER)]
+    shapes = [lambda t, f=f: f(t) for f in (str.upper, str.lower, str.title, lambda t: t.replace(" ", "\n"), lambda t: t.replace(" ", ", "), lambda t: "Now" + t)]
+    texts = [(10 * i + k, shape(t)) for i, t in items for k, shape in enumerate(shapes)]
+    with_it = found(spark, texts, items)
+    monkeypatch.setattr(decontaminate, "_with_anchors", lambda texts, anchors: texts)
+    assert with_it == found(spark, texts, items) and len(with_it) > 9
