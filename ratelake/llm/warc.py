@@ -263,7 +263,8 @@ def look_up(archive: Archive, wanted: DataFrame, with_payload: bool = True) -> D
         return out
 
     routed = common.map_arrow(wanted.select("url", F.col("page_id").cast("bigint").alias("page_id")), route, "part int, surt string, page_id bigint", 8192)
-    routed = routed.repartition("part").sortWithinPartitions("part", F.encode("surt", "UTF-8"), F.coalesce("page_id", F.lit(NULL_PAGE)))
+    # A number, as the keys are small and the reading behind them is not: tasks would be merged by the size of the keys.
+    routed = routed.repartition(len(parts) or 1, "part").sortWithinPartitions("part", F.encode("surt", "UTF-8"), F.coalesce("page_id", F.lit(NULL_PAGE)))
     schema = common.pa_schema(spark, FOUND)
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
