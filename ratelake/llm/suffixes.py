@@ -29,6 +29,8 @@ DEPTH, GRAM, DIGIT = 400, 32, 50
 _PLACE = np.uint64(0xFFFFFF)
 #: Different stretches of one digit that a task sorts in memory, and how short larger groups cut theirs, pass by pass.
 IN_TASK, WIDTHS = 512, (64, 8, 1)
+#: Classes of equal stretches that are broadcast at most (24 bytes each).
+HOT_CLASSES = 20_000
 RUNS = "gram bigint, u1 bigint, u2 bigint, row bigint, first int, n int, at int"
 
 
@@ -197,7 +199,12 @@ def _settle(runs: DataFrame, *more: str) -> tuple[DataFrame, DataFrame]:
     again = common.materialize(runs.join(shared, "gram", "left_semi"), "again")
     classes = again.groupBy("gram", "u1", "u2").agg(F.count("*").alias("members"), F.min(F.struct("row", "first", "n", "at", *more)).alias("one"))
     classes = common.materialize(classes, "classes")
-    equal = again.join(classes.where("members > 1").select("gram", "u1", "u2"), ["gram", "u1", "u2"], "left_semi")
+    key, many = ["gram", "u1", "u2"], classes.where("members > 1")
+    # Stretches of the largest classes stay where they are. By their size they are HOT_CLASSES at most.
+    hot = common.materialize(many.where(F.col("members") > again.count() // HOT_CLASSES).select(*key), "hot")
+    at_once = again.join(F.broadcast(hot), key, "left_semi")
+    others = again.join(F.broadcast(hot), key, "left_anti").join(many.join(F.broadcast(hot), key, "left_anti").select(*key), key, "left_semi")
+    equal = at_once.unionByName(others)
     several = classes.groupBy("gram").agg(F.count("*").alias("classes")).where("classes > 1")
     spans = equal.select("row", "first", (F.col("first") + F.col("n")).alias("last"))
     return spans, classes.join(several, "gram").select("gram", "classes", "one.*")
