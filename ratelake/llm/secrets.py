@@ -4,7 +4,9 @@ A plain pattern finds assignments, access keys and long hex runs. On top of that
 are decoded, and only those that parse are reported: DER keys (every nested length must fit), OpenSSH key
 containers (length-prefixed fields), PEM private keys (armoured body parses; line ends may be escaped), and signed
 tokens (header and payload are JSON objects, the header names an algorithm). The body of a PEM key that its own
-headers call encrypted shows no structure; it must decode to whole cipher blocks.
+headers call encrypted shows no structure; it must decode to whole cipher blocks. Keys are also found as lines of
+base64 without an armour, at the end of a longer run (after a path), as a PEM encoded once more, and as hex bytes
+with colons.
 """
 
 from __future__ import annotations
@@ -37,6 +39,10 @@ _PEM = re.compile(
     rf"-----BEGIN ((?:[A-Z0-9]+ )*)PRIVATE KEY-----((?:{_EOL}*+[A-Z][A-Za-z-]*+:[^\\\r\n]*+{_EOL})*+)"
     rf"((?:[A-Za-z0-9+/=]|{_EOL})*+)-----END \1PRIVATE KEY-----"
 )
+#: Base64 in lines of one length, without an armour; hex bytes with colons between them.
+_WRAPPED = re.compile(rf"(?<![A-Za-z0-9+/])(?:(?:[A-Za-z0-9+/]{{64}}{_EOL}++)++[A-Za-z0-9+/]{{1,64}}|(?:[A-Za-z0-9+/]{{76}}{_EOL}++)++[A-Za-z0-9+/]{{1,76}})(?![A-Za-z0-9+/])={{0,2}}")
+_COLONS = re.compile(r"(?<![0-9A-Fa-f:])[0-9A-Fa-f]{2}(?::\s*+[0-9A-Fa-f]{2}){23,}+")
+_MIN_LINE = 64
 _DEK = re.compile(r"DEK-Info:\s*([A-Z0-9-]+),\s*[0-9A-Fa-f]{16,}")
 
 _WORDS = (b"password", b"passwd", b"secret", b"token", b"apikey", b"api_key")
@@ -73,7 +79,7 @@ def _elements(data: bytes, at: int, end: int) -> list[tuple[int, int, int]] | No
     out = []
     while at < end:
         got = _element(data, at, end)
-        if got is None or len(out) > 64:
+        if got is None:
             return None
         out.append(got)
         at = got[2]
@@ -149,9 +155,29 @@ def _decoded(run: str) -> list[bytes]:
 
 
 def _confirmed(data: bytes) -> str | None:
+    if b"PRIVATE KEY-----" in data and any(_is_pem(m) for m in _PEM.finditer(data.decode("latin-1"))):
+        return "pem"
     return "der" if is_der_key(data) else "openssh" if is_openssh_key(data) else None
 
 
+def _is_pem(m: re.Match) -> bool:
+    blobs = _decoded(re.sub(_EOL, "", m[3]))
+    return any(is_der_key(d) or is_openssh_key(d) for d in blobs) or any(_is_cipher_text(m[2], d) for d in blobs)
+
+
+def _key_at_end(run: str) -> tuple[str, int] | None:
+    """(kind, start) of a DER key that ends where the run does. Only starts whose length header fits are decoded."""
+    for m in re.finditer("M[A-Z]", run):
+        head = run[m.start() : m.start() + 8]
+        if m.start() and len(head) == 8:
+            first = _decoded(head)[-1]
+            n = first[1] & 0x7F if first[1] & 0x80 else 0
+            size = int.from_bytes(first[2 : 2 + n], "big") if n else first[1]
+            if n <= 4 and -(-(2 + n + size) * 4 // 3) == len(run) - m.start() and any(is_der_key(d) for d in _decoded(run[m.start() :])):
+                return "der", m.start()
+    return None
+
+
 def _is_cipher_text(headers: str, data: bytes) -> bool:
     """Whole blocks of the cipher that the headers of a traditional encrypted key name."""
     dek = _DEK.search(headers)
@@ -178,10 +204,12 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
     if b"AKIA" in raw:
         spans += [("access", m.start(), m.end()) for m in _ACCESS.finditer(text) if m.end() - m.start() >= MIN_ACCESS]
     if b"PRIVATE KEY-----" in raw:
-        for m in _PEM.finditer(text):
-            blobs = _decoded(re.sub(_EOL, "", m[3]))
-            if any(_confirmed(d) for d in blobs) or any(_is_cipher_text(m[2], d) for d in blobs):
-                spans.append(("pem", m.start(), m.end()))
+        spans += [("pem", m.start(), m.end()) for m in _PEM.finditer(text) if _is_pem(m)]
+    armoured = [s[1:] for s in spans if s[0] == "pem"]
+    if raw.count(b":") >= MIN_RUN - 1:
+        for m in _COLONS.finditer(text):
+            if kind := _confirmed(bytes.fromhex(re.sub(r"[:\s]", "", m[0]))):
+                spans.append((kind, m.start(), m.end()))
     if b"eyJ" in raw:
         for m in _TOKEN.finditer(text):
             head, body, _ = m[0].split(".", 2)
@@ -198,6 +226,13 @@ def find_spans(text: str) -> list[tuple[str, int, int]]:
                 end = m.end() + len(text[m.end() : m.end() + 2]) - len(text[m.end() : m.end() + 2].lstrip("="))
                 if kind := next((k for d in _decoded(m[0]) if (k := _confirmed(d))), None):
                     spans.append((kind, m.start(), end))
+                elif at := _key_at_end(m[0]):
+                    spans.append((at[0], m.start() + at[1], end))
+        if longest >= _MIN_LINE:
+            for m in _WRAPPED.finditer(text):
+                inside_pem = any(a <= m.start() and m.end() <= b for a, b in armoured)
+                if not inside_pem and (kind := next((k for d in _decoded(re.sub(_EOL, "", m[0])) if (k := _confirmed(d))), None)):
+                    spans.append((kind, m.start(), m.end()))
     return sorted(spans, key=lambda s: (s[1], KINDS.index(s[0])))
 
 

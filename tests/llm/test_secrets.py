@@ -129,3 +129,17 @@ def test_dsa_and_encrypted_pkcs8_keys():
         assert ("pem", armoured(kind, data)) in kinds(f"x {armoured(kind, data)} y")
     assert not secrets.is_der_key(digest_info)
     assert not secrets.is_der_key(tlv(0x30, b"".join(tlv(2, b"\1") for _ in range(6))))
+
+
+def test_other_wrappings_of_keys():
+    text64 = base64.b64encode(PKCS1).decode()
+    wrapped = "\n".join(re.findall(".{1,64}", text64))
+    assert ("der", wrapped) in kinds(f"body:\n{wrapped}\nend") and ("der", wrapped.replace("\n", "\\n")) in kinds(wrapped.replace("\n", "\\n"))
+    assert ("der", text64) in kinds(f"see keys/{text64} there")
+    again = base64.b64encode(armoured("RSA ", PKCS1).encode()).decode()
+    assert ("pem", again) in kinds(f"data: {again}")
+    colons = PKCS8.hex(":")
+    assert ("der", colons) in kinds(f"key = {colons} end") and ("der", colons.upper()) in kinds(colons.upper())
+    many = tlv(0x30, tlv(2, b"\0") + tlv(0x30, tlv(6, b"\x2a") * 70) + tlv(4, b"k" * 40))
+    assert "der" in [k for k, _ in kinds(base64.b64encode(many).decode())]
+    assert kinds("00:" * 50 + "00 " + "MI" * 3000 + "\n".join(["A" * 64] * 50)) == []
