@@ -2,8 +2,8 @@
 
 A gear rolling hash over the last few bytes decides where chunks end, so the cuts move with the text when
 something is inserted before it. Chunks are deduplicated by digest; neighbouring repeated chunks make a repeated
-passage, and passages of a minimum size are reported. The digest of one chunk has 64 bits, and a passage takes
-several chunks in a row, so a chance collision does not make one.
+passage, and passages of a minimum size are reported, or cut from all documents but the first that holds them.
+Digests have 128 bits, so that none are equal by chance at any size of corpus.
 """
 
 from __future__ import annotations
@@ -49,7 +49,7 @@ def cuts(data: np.ndarray) -> np.ndarray:
 
 
 def chunks_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Starts, ends and digests of a text's chunks, over its UTF-8 bytes."""
+    """Starts, ends and digests (two columns of 64 bits) of a text's chunks, over its UTF-8 bytes."""
     data = np.frombuffer(as_bytes(text), np.uint8)
     ends = cuts(data)
     starts = np.concatenate(([0], ends[:-1])) if len(ends) else ends
@@ -57,12 +57,13 @@ def chunks_of(text: str | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     while i < len(ends):
         base = starts[i]
         k = int(np.searchsorted(ends, base + PIECE, "right"))
-        digests.append(Digests(data[base : ends[k - 1]]).of(starts[i:k] - base, ends[i:k] - base))
+        some = data[base : ends[k - 1]]
+        digests.append(np.stack([Digests(some, seed).of(starts[i:k] - base, ends[i:k] - base) for seed in (1, 2)], 1))
         i = k
-    return starts, ends, np.concatenate(digests).view(np.int64) if digests else np.zeros(0, np.int64)
+    return starts, ends, np.concatenate(digests).view(np.int64) if digests else np.zeros((0, 2), np.int64)
 
 
-CHUNKS = "row bigint, id bigint, start int, size int, digest bigint"
+CHUNKS = "row bigint, id bigint, start int, size int, digest bigint, more bigint"
 
 
 def chunk_rows(docs: DataFrame) -> DataFrame:
@@ -76,19 +77,20 @@ def chunk_rows(docs: DataFrame) -> DataFrame:
                 some = [chunks_of(t.as_py()) for t in batch.column(2).slice(at, 256)]
                 which = np.repeat(np.arange(at, at + len(some)), [len(s[0]) for s in some])
                 start, end, digest = (np.concatenate(x) for x in zip(*some, strict=True))
-                arrays = [row[which], doc.take(pa.array(which)), start.astype(np.int32), (end - start).astype(np.int32), digest]
+                arrays = [row[which], doc.take(pa.array(which)), start.astype(np.int32), (end - start).astype(np.int32), digest[:, 0], digest[:, 1]]
                 yield pa.RecordBatch.from_arrays([pa.array(a, f.type) if isinstance(a, np.ndarray) else a for a, f in zip(arrays, schema, strict=True)], schema=schema)
 
     return docs.select("row", "id", "text").mapInArrow(run, CHUNKS)
 
 
 def _repeats(docs: DataFrame, min_passage: int) -> DataFrame:
-    """row, id, start, end, removed_bytes, first_id of each passage of repeated chunks, for docs (row, id, text)."""
+    """row, id, start, end, removed_bytes, first_id and later (chunks that are not the first of their kind) of each
+    passage of repeated chunks, for docs (row, id, text)."""
     chunks = common.materialize(chunk_rows(docs), "chunks")
     place = F.struct(F.coalesce("id", F.lit(2**63 - 1)).alias("order"), "row", "start")
-    known = chunks.groupBy("digest").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
+    known = chunks.groupBy("digest", "more").agg(F.count("*").alias("n"), F.min(place).alias("first")).where("n > 1").drop("n")
     known = common.materialize(known, "repeated")  # then the join can split a hot digest
-    again = chunks.join(known, "digest").select(
+    again = chunks.join(known, ["digest", "more"]).select(
         "row", "id", "start", "size", F.col("first.order").alias("first_id"),
         ((F.col("first.row") != F.col("row")) | (F.col("first.start") != F.col("start"))).alias("later"),
     )
@@ -98,6 +100,7 @@ def _repeats(docs: DataFrame, min_passage: int) -> DataFrame:
     passages = runs.groupBy("row", "run").agg(
         F.first("id").alias("id"), F.min("start").alias("start"), F.max(F.col("start") + F.col("size")).alias("end"),
         F.sum(F.when(F.col("later"), F.col("size")).otherwise(0)).alias("removed_bytes"), F.min("first_id").alias("first_id"),
+        F.sort_array(F.collect_list(F.when(F.col("later"), F.struct("start", (F.col("start") + F.col("size")).alias("end"))))).alias("later"),
     )
     return passages.where(F.col("end") - F.col("start") >= min_passage).drop("run")
 
@@ -126,5 +129,27 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     return out.drop("row")
 
 
+def remove_later_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_passage: int = MIN_PASSAGE) -> DataFrame:
+    """``docs`` with repeated passages cut from all texts but the first that holds them, in order of id; null ids come
+    last. All columns stay, rows too, and null texts stay null. What is cut are whole chunks, down to whole characters."""
+    rows = common.materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
+    found = _repeats(rows.select(F.col("__row").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), min_passage)
+    cut = found.where(F.size("later") > 0).groupBy(F.col("row").alias("__row")).agg(F.flatten(F.collect_list("later")).alias("__cut"))
+    schema = rows.join(cut, "__row", "left").drop("__row")
+
+    def work(batch: dict[str, list]) -> dict[str, list]:
+        for i, spans in enumerate(batch.pop("__cut")):
+            if spans:
+                data, kept, at = as_bytes(batch[text_col][i]), [], 0
+                for s in sorted(spans, key=lambda s: s["start"]):
+                    kept.append(data[at : s["start"]])
+                    at = s["end"]
+                # A chunk may end inside a character; a part of one that is left over goes as well.
+                batch[text_col][i] = b"".join([*kept, data[at:]]).decode("utf-8", "ignore")
+        return batch
+
+    return common.map_arrow(schema, work, ", ".join(f"`{c}` {t}" for c, t in docs.dtypes))
+
+
 def op4_substring_dedup(spark, sf_dir: str) -> DataFrame:
     return repeated_passages(spark.read.parquet(f"{sf_dir}/documents.parquet"))

@@ -12,8 +12,8 @@ def prose(rng, n):
 def test_cuts_move_with_the_text():
     rng = random.Random(1)
     text = prose(rng, 400)
-    plain = set(chunks.chunks_of(text)[2].tolist())
-    shifted = set(chunks.chunks_of("an insertion at the front, " + text)[2].tolist())
+    plain = set(map(tuple, chunks.chunks_of(text)[2].tolist()))
+    shifted = set(map(tuple, chunks.chunks_of("an insertion at the front, " + text)[2].tolist()))
     assert len(plain - shifted) <= 2
 
 
@@ -72,3 +72,17 @@ def test_first_holder_keeps_its_passage(spark):
     got = {r["doc_id"]: (r["removed_bytes"], r["passages"][0]["first_id"]) for r in chunks.repeated_passages(docs).collect()}
     assert got[2] == (0, 2) and got[5] == (len(text), 2) and got[None] == (len(text), 2)
     assert chunks.repeated_passages(docs.where("false")).count() == 0
+
+
+def test_later_passages_are_cut(spark):
+    rng = random.Random(4)
+    passage, own = prose(rng, 80), [prose(rng, 60) for _ in range(3)]
+    rows = [(i, f"{own[i]} {passage} {own[i][::-1]}", "x") for i in range(3)] + [(9, None, "n"), (None, own[0][:300] + "é" * 40, "y")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, later string")
+    out = chunks.remove_later_passages(docs)
+    assert out.columns == docs.columns
+    got = {r["doc_id"]: r["text"] for r in out.collect()}
+    assert got[0] == rows[0][1] and got[9] is None and len(got[None]) < len(rows[4][1])
+    for i in (1, 2):
+        assert len(rows[i][1]) - len(got[i]) > 0.8 * len(passage) and got[i].startswith(own[i][:300]) and got[i].endswith(own[i][::-1][-300:])
+    assert chunks.remove_later_passages(docs.where("false")).count() == 0
