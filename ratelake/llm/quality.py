@@ -91,7 +91,8 @@ def forward(layers: tuple[np.ndarray, ...], x: np.ndarray) -> tuple[np.ndarray,
 
 
 def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
-    """Vectors of all buckets, from every document. Each task adds up one small table; Spark adds the tables."""
+    """Vectors of all buckets, from every document. Each task adds up one small table of whole numbers; Spark adds the
+    tables, so the sums do not depend on how rows are dealt."""
     at, sign = index_vectors()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -117,10 +118,10 @@ def word_vectors(docs: DataFrame, text_col: str = "text") -> np.ndarray:
             flush(pairs)
         table = total.reshape(BUCKETS, DIM)
         used = np.flatnonzero(np.abs(table).sum(1))
-        yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "v": pa.array(table[used].astype(np.float32).tolist(), pa.list_(pa.float32()))})
+        yield pa.RecordBatch.from_pydict({"bucket": pa.array(used, pa.int32()), "v": pa.array(table[used].astype(np.int64).tolist(), pa.list_(pa.int64()))})
 
-    parts = docs.select(F.col(text_col)).mapInArrow(run, "bucket int, v array<float>")
-    sums = parts.groupBy("bucket").agg(F.array(*(F.sum(F.col("v")[i].cast("double")) for i in range(DIM))).alias("v"))
+    parts = docs.select(F.col(text_col)).mapInArrow(run, "bucket int, v array<bigint>")
+    sums = parts.groupBy("bucket").agg(F.array(*(F.sum(F.col("v")[i]) for i in range(DIM))).alias("v"))
     out = np.zeros((BUCKETS, DIM))
     for r in sums.collect():  # at most one row for each bucket
         out[r["bucket"]] = r["v"]
@@ -146,9 +147,11 @@ def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray) -> Model:
     model.mean, model.scale = x.mean(0), x.std(0) + 1e-6
     x = (x - model.mean) / model.scale
     rng = np.random.default_rng(SEED)
-    own = rng.random(len(y)) >= 0.2
-    if len(set(y[own].tolist())) < 2 or len(set(y[~own].tolist())) < 2:
-        own[:] = True
+    # A fifth of each class, one row at least where it has two.
+    own = np.ones(len(y), bool)
+    for k in (0, 1):
+        some = rng.permutation(np.flatnonzero(y == k))
+        own[some[: max(len(some) // 5, int(len(some) > 1))]] = False
     layers = [rng.normal(0, 1 / np.sqrt(2 * DIM), (2 * DIM, HIDDEN)), np.zeros(HIDDEN), rng.normal(0, 1 / np.sqrt(HIDDEN), HIDDEN), np.zeros(())]
     m, v = [np.zeros_like(p) for p in layers], [np.zeros_like(p) for p in layers]
     for step in range(1, 301):
@@ -160,7 +163,7 @@ def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray) -> Model:
             m[i], v[i] = 0.9 * m[i] + 0.1 * g, 0.999 * v[i] + 0.001 * g * g
             layers[i] = layers[i] - 0.02 * (m[i] / (1 - 0.9**step)) / (np.sqrt(v[i] / (1 - 0.999**step)) + 1e-8)
     model.layers = tuple(layers)
-    rest = ~own if (~own).any() else own
+    rest = ~own
     logit = forward(model.layers, x[rest])[1]
     grid = np.geomspace(0.25, 8, 41)
     loss = [np.logaddexp(0, -np.where(y[rest] == 1, 1, -1) * logit / t).mean() for t in grid]
@@ -169,12 +172,14 @@ def train(vectors: np.ndarray, x: np.ndarray, y: np.ndarray) -> Model:
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """id, text and label of at most ``most`` labelled rows outside the held-out fold, chosen by a hash of the id.
-    An id labelled several times counts once, with its largest label; null ids and labels are left out."""
+    """id, text and label of at most ``most`` labelled documents outside the held-out fold, chosen by a hash of the id.
+    Labels of ids that ``docs`` does not have are left out before the choice, null ids and labels too. One row an id: an
+    id labelled several times has its largest label, one of several rows its smallest text."""
     some = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull() & ~common.held_out(id_col))
-    some = some.groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("y"))
+    some = some.groupBy(id_col).agg(F.max(F.col(label).cast("int")).alias("y")).join(docs.select(id_col), id_col, "left_semi")
     some = some.orderBy(F.xxhash64(id_col), id_col).limit(most)
-    return docs.select(id_col, text_col).join(F.broadcast(some), id_col)  # at most ``most`` narrow rows
+    rows = docs.select(id_col, text_col).join(F.broadcast(some), id_col)  # at most ``most`` narrow rows
+    return rows.groupBy(id_col).agg(F.min(text_col).alias(text_col), F.max("y").alias("y"))
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> Model:
@@ -186,7 +191,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", id_col: str
         return {"id": rows[id_col], "y": rows["y"], "x": [pool(vectors, words, t or "").tolist() for t in rows[text_col]]}
 
     rows = common.map_arrow(labelled_sample(docs, labels, label, most, id_col, text_col), work, "id bigint, y int, x array<double>").toArrow()
-    rows = rows.sort_by([("id", "ascending"), ("y", "ascending")])[: 2 * most]
+    rows = rows.sort_by("id")
     x = np.asarray(rows.column("x").to_pylist(), float).reshape(-1, 2 * DIM)
     return train(vectors, x, np.asarray(rows.column("y").to_pylist(), float))
 

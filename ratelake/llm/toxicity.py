@@ -293,11 +293,9 @@ def copy_keys(text: str | None) -> list[int]:
 
 
 def _copies(each: DataFrame) -> DataFrame:
-    """row, id for ``each`` (row, keys): documents that share a key with many others take the most frequent one as
-    their id, so that a group of copies counts as one document."""
-    keys = each.select("row", F.posexplode("keys").alias("which", "key")).select("row", F.xxhash64("which", "key").alias("key"))
-    often = keys.groupBy("key").agg(F.count("*").alias("n"))
-    return keys.join(often, "key").groupBy("row").agg(F.max(F.struct("n", "key")).alias("top")).select("row", F.col("top.key").alias("id"))
+    """row, id for ``each`` (row, keys): documents with all keys in common are copies and count as one. A shared
+    passage may give two documents one key, hardly all of them."""
+    return each.select("row", F.xxhash64("keys").alias("id"))
 
 
 def platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:

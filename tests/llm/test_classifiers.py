@@ -93,3 +93,37 @@ def test_labels_of_the_held_out_fold_do_not_matter(spark):
     flipped = labels.withColumn("quality", F.when(common.held_out("doc_id"), 1 - F.col("quality")).otherwise(F.col("quality")))
     one, two = (quality.score_quality(docs, quality.fit(docs, x)).where("doc_id IS NOT NULL").orderBy("doc_id").toPandas()["score"] for x in (labels, flipped))
     assert np.allclose(one, two)
+
+
+def test_foreign_labels_and_a_hot_id_take_no_part(spark):
+    docs = spark.createDataFrame([(i, f"text {i}") for i in range(60)] + [(2, "copy")] * 5000, "doc_id bigint, text string").repartition(4)
+    labels = spark.createDataFrame([(i, i % 2) for i in range(5000)], "doc_id bigint, quality int")
+    got = quality.labelled_sample(docs, labels, "quality", 30).collect()
+    ids = [r["doc_id"] for r in got]
+    assert len(ids) == len(set(ids)) == 30 and all(0 <= i < 60 and zlib.crc32(str(i).encode()) % 3 != 1 for i in ids)
+    every = {r["doc_id"]: r["text"] for r in quality.labelled_sample(docs, labels, "quality", 5000).collect()}
+    assert every.get(2, "copy") == "copy" and len(every) <= 60
+
+
+def test_word_vectors_do_not_depend_on_partitions(spark):
+    docs = spark.createDataFrame([(i, prose(random.Random(i), 50)) for i in range(100)], "doc_id bigint, text string")
+    assert np.array_equal(quality.word_vectors(docs.repartition(1)), quality.word_vectors(docs.repartition(7)))
+
+
+def test_kernel_equals_counting_by_hand():
+    def by_hand(a, b):
+        def count(word):
+            x, out = [toxicity.OPEN, *(ord(c) - 96 for c in word), toxicity.CLOSE], {}
+            for i in range(len(x)):
+                for j in range(i + 1, len(x)):
+                    for k in range(j + 1, min(len(x), i + toxicity.SPAN + 1)):
+                        out.setdefault((x[i], x[j], x[k]), []).append(toxicity.DECAY ** (k - i - 2))
+            return out
+
+        one, two = count(a), count(b)
+        size = lambda c: sum(w * w for ws in c.values() for w in ws) ** 0.5
+        return sum(sum(one[s]) * sum(two[s]) for s in one.keys() & two.keys()) / size(one) / size(two)
+
+    words = ["blockhead", "bloxckhead", "dim", "dimwit", "a", "carpenter"]
+    got = toxicity.kernel(words, words)
+    assert np.allclose(got, [[by_hand(a, b) for b in words] for a in words])
