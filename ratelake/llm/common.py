@@ -15,11 +15,13 @@ HELD_OUT = 1
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder all machines share: spark.checkpoint.dir, or a new local one where that is unset (tests)."""
+    """The folder all machines share: spark.checkpoint.dir, or a new local one where that is unset and so is the master."""
     where = spark.conf.get("spark.checkpoint.dir", None)
     if where is None:
         kept = spark.sparkContext.getCheckpointDir()
         if kept is None:
+            if not spark.sparkContext.master.startswith("local"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
             spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="ratelake-"))
             kept = spark.sparkContext.getCheckpointDir()
         where = kept
