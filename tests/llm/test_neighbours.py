@@ -53,3 +53,37 @@ def test_few_rows_and_none(spark):
     rows = [(0, [1.0] * 16), (1, [2.0] * 16), (2, [-1.0] * 16)]
     assert run(spark, rows) == {0: [(1, 32.0), (2, -16.0)]}
     assert run(spark, []) == {}
+
+
+def test_stretches_are_what_a_prefix_holds():
+    rng = np.random.default_rng(3)
+    keys = np.sort(np.concatenate((rng.integers(0, 1 << 40, 300), rng.integers(0, 1 << 12, 50), [0, (1 << 40) - 1])))
+    of = np.concatenate((keys[::7], rng.integers(0, 1 << 40, 20)))
+    for length in range(neighbours.BITS + 2):
+        first, last = neighbours.stretch(keys, of, np.full(len(of), length))
+        for q, a, b in zip(of, first, last):
+            want = [] if length > 40 else [int(x) for x in keys if x >> (40 - length) == q >> (40 - length)]
+            assert keys[a:b].tolist() == want
+
+
+def test_clustered_vectors_need_not_meet_all_rows(spark, monkeypatch):
+    """In blocks of a short array and in several steps, with no query left to the plain search."""
+    rng = np.random.default_rng(4)
+    centres = rng.standard_normal((60, 16))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = [(i, c / np.linalg.norm(c)) for i, c in ((i, centres[i % 60] + 0.03 * rng.standard_normal(16)) for i in range(3000))]
+    monkeypatch.setattr(neighbours, "BLOCK", 256)
+    monkeypatch.setattr(neighbours, "ENOUGH", 16)
+    left = []
+    plain = neighbours._all_rows
+    monkeypatch.setattr(neighbours, "_all_rows", lambda data, asked, dim, most: left.append(asked.count()) or plain(data, asked, dim, most))
+    want, got = brute(rows), run(spark, rows)
+    assert sum(left) == 0 and len(left) > 1
+    assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.9
+
+
+def test_doubles_are_scored_as_they_are(spark):
+    rows = [(i, [0.1 + i * 1e-9, 1.0]) for i in range(40)]
+    got = neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
+    assert [r["vec_id"] for r in got] == list(range(39, 19, -1))
+    assert got[0]["score"] == 0.1 * (0.1 + 39e-9) + 1.0
