@@ -9,9 +9,9 @@ A capitalised word inside a sentence is a name. At the start of a text, sentence
 or brackets it may be either, so texts and items are read twice: with such words as they are, and with every run of
 capitalised words as one name. A first name and a full name there are one placeholder each.
 
-Reading a text is dear, so a cheap pass comes first: three neighbouring words of an item that are words in both
-readings, with whatever case, must stand in any text that holds a window around them. Texts without any such triple
-cannot hold an item whose windows have them, and are not read further.
+Reading a text is dear, so a cheap pass comes first. Three neighbouring words inside a window of an item, none of them
+a placeholder, stand side by side in any text that holds the window, in whatever case. Texts that lack them for more
+windows than an item may miss cannot hold it and are not read further.
 """
 
 from __future__ import annotations
@@ -91,25 +91,28 @@ def _plain_triples(texts: DataFrame, size: int) -> DataFrame:
 
 
 def _anchors(wanted: DataFrame, size: int, similar: float) -> tuple[DataFrame, bool]:
-    """Hashes (h) of the anchors of windows, and whether every item has enough windows with one: if so, no text holds
-    ``similar`` of an item's windows without one of its anchors."""
+    """(h, item, version, weight, required) for the anchors of items: each window is told by its first run of words that
+    are words, if it has one. A text that holds ``similar`` of an item's windows has anchors of ``required`` windows at
+    least. And whether that is above zero for all items."""
     names = [f"w{i}" for i in range(size)]
     few = min(ANCHOR, size)
     runs = [F.array(*names[i : i + few]) for i in range(size - few + 1)]
-    literal = F.filter(F.array(*runs), lambda x: F.forall(x, lambda w: ~w.startswith("#")))
-    some = wanted.select("item", "version", F.col("h").alias("window"), literal.alias("runs"))
-    bare = F.countDistinct(F.when(F.size("runs") == 0, F.col("window"))) < F.lit(similar) * F.countDistinct("window")
-    held = some.groupBy("item", "version").agg(bare.alias("held")).where(~F.col("held")).isEmpty()
-    anchors = some.select(F.explode("runs").alias("x")).select(F.xxhash64(*(F.col("x")[i] for i in range(few))).alias("h")).distinct()
-    return common.materialize(anchors, "anchors"), held
+    first = F.get(F.filter(F.array(*runs), lambda x: F.forall(x, lambda w: ~w.startswith("#"))), F.lit(0))
+    some = wanted.select("item", "version", F.col("h").alias("window"), first.alias("first")).dropDuplicates(["item", "version", "window"])
+    required = some.groupBy("item", "version").agg((F.lit(similar) * F.count("*") - F.count(F.when(F.col("first").isNull(), 1))).alias("required"))
+    marks = some.where("first IS NOT NULL").select("item", "version", F.xxhash64(*(F.col("first")[i] for i in range(few))).alias("h"))
+    marks = marks.groupBy("item", "version", "h").agg(F.count("*").alias("weight")).join(required, ["item", "version"])
+    return common.materialize(marks.select("h", "item", "version", "weight", "required"), "anchors"), required.where("required <= 1e-9").isEmpty()
 
 
 def _with_anchors(texts: DataFrame, anchors: dict[int, DataFrame]) -> DataFrame:
-    """Those of texts (id, text) whose id has an anchor: runs of words by their length."""
+    """Those of texts (id, text) whose id has the anchors that an item requires; anchors by their number of words."""
     found = None
     for size, some in anchors.items():
         side = F.broadcast(some) if some.count() <= BROADCAST_WINDOWS else some
-        ids = _plain_triples(texts, size).join(side, "h", "left_semi").select(F.col("id").alias("met"))
+        met = _plain_triples(texts, size).join(side, "h").select("id", "item", "version", "h", "weight", "required").distinct()
+        ids = met.groupBy("id", "item", "version").agg(F.sum("weight").alias("has"), F.max("required").alias("required"))
+        ids = ids.where("has >= required - 1e-9").select(F.col("id").alias("met"))
         found = ids if found is None else found.unionByName(ids)
     found = common.materialize(found.distinct(), "candidates")
     return common.materialize(texts.join(found, texts["id"].eqNullSafe(found["met"]), "left_semi"), "texts")
@@ -156,7 +159,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
         totals.append(wanted.groupBy("item", "version").agg(F.countDistinct("h", *names).alias("windows")))
         marks, all_held = _anchors(wanted, size, similar)
         held, few = held and all_held, min(ANCHOR, size)
-        anchors[few] = anchors[few].unionByName(marks).distinct() if few in anchors else marks
+        anchors[few] = anchors[few].unionByName(marks) if few in anchors else marks
         side = wanted.select("item", "version", "h", F.struct(*names).alias("item_w"), F.col("pos").alias("item_pos"), F.col("r").alias("item_r"))
         sides.append((size, F.broadcast(side) if wanted.count() <= BROADCAST_WINDOWS else side))
     # An item that is mostly placeholders has no anchors to go by: then every text is read.
