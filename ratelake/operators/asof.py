@@ -36,19 +36,28 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: s
     return out.where(F.col(right_at).isNotNull()) if inner else out
 
 
-def select_version(requests: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, start: str, order: Sequence[str | Column], approved: Column | None = None, unique: Sequence[str] | None = None) -> DataFrame:
-    """One version for each request: the latest that began at or before the date, else the earliest of all, else an undated one.
+def select_version(requests: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, start: str, order: Sequence[str | Column], approved: Column | None = None) -> DataFrame:
+    """The version for each request: the latest that began at or before the date, else the earliest of all, else an undated one.
 
-    Versions that are not ``approved`` count only where a key has no approved one. Undated versions come first in
-    ``order``. Requests of keys without versions go. Every column of ``requests`` is kept; ``unique`` names those that
-    tell requests apart (all, unless given; fewer let later steps by the same columns do without a shuffle).
+    Versions that are not ``approved`` count only where a key has no approved one. Of versions of one start, or without
+    one, the first in ``order`` counts. Requests of keys without versions go; every other row and column of ``requests``
+    is kept, repeated rows too. ``at`` and ``start`` are of one type.
+
+    Versions become stretches of time that do not overlap, so each request meets one row of its key: an equality join
+    with a range, which Spark broadcasts while versions are few and whose hot keys it can split.
     """
     usable = versions if approved is None else first_rank(versions, keys, F.when(approved, 0).otherwise(1))
-    met = requests.join(usable, list(keys))
-    began, dated = F.col(start) <= F.col(at), F.col(start).isNotNull()
-    bucket = F.when(began, 0).when(dated, 1).otherwise(2)
-    days = F.when(began, -F.unix_date(F.col(start).cast("date"))).when(dated, F.unix_date(F.col(start).cast("date")))
-    return first_of(met, unique or requests.columns, [bucket, days.asc_nulls_last(), *order])
+    dated = F.col(start).isNotNull()
+    usable = first_of(first_rank(usable, keys, F.when(dated, 0).otherwise(1)), [*keys, start], order)
+    by_start = Window.partitionBy(*keys).orderBy(start)
+    stretches = usable.withColumns({"__from": F.when(F.lag(start).over(by_start).isNotNull(), F.col(start)), "__until": F.lead(start).over(by_start)})
+    own = [c for c in versions.columns if c not in keys]
+    right = stretches.select(*(F.col(k).alias(f"__{k}") for k in keys), "__from", "__until", *own)
+    day = F.col(at)
+    met = F.coalesce(day >= F.col("__from"), F.col("__from").isNull()) & F.coalesce(day < F.col("__until"), F.col("__until").isNull() | (day.isNull() & F.col("__from").isNull()))
+    for k in keys:
+        met &= F.col(k) == F.col(f"__{k}")
+    return requests.join(right, met).select(*requests.columns, *own)
 
 
 def first_rank(df: DataFrame, keys: Sequence[str], rank: Column) -> DataFrame:

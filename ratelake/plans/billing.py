@@ -58,10 +58,10 @@ def tou_quantity(period: Column) -> Column:
     return reduce(lambda out, p: F.when(period == p, F.col(f"{p}_kwh")).otherwise(out), TOU, F.lit(None).cast("double"))
 
 
-def resolve_versions(requests: DataFrame, versions: DataFrame, as_of: str, unique: tuple[str, ...] = (KEY,)) -> DataFrame:
-    """The version of ``family_key`` for each request (all columns kept, told apart by ``unique``), as the engine selects it."""
+def resolve_versions(requests: DataFrame, versions: DataFrame, as_of: str) -> DataFrame:
+    """The version of ``family_key`` for each request (all rows and columns kept), as the engine selects it."""
     some = versions.select("family_key", "version_id", "effective_start", F.coalesce("status", F.lit("approved")).alias("__status"))
-    out = select_version(requests, some, ["family_key"], as_of, "effective_start", ["version_id"], F.col("__status") == "approved", unique)
+    out = select_version(requests, some, ["family_key"], as_of, "effective_start", ["version_id"], F.col("__status") == "approved")
     return out.drop("__status")
 
 
@@ -75,7 +75,7 @@ def base_lines(usage: DataFrame, versions: DataFrame, charges: DataFrame, as_of:
 
 def _with_version(usage: DataFrame, versions: DataFrame, as_of: str) -> DataFrame:
     """Usage rows with their version_id, null where the family has none."""
-    chosen = resolve_versions(usage.select(KEY, "family_key", as_of), versions, as_of).select(KEY, "version_id")
+    chosen = resolve_versions(usage.select(KEY, "family_key", as_of), versions, as_of).select(KEY, "version_id").dropDuplicates([KEY])
     return usage.join(chosen, KEY, "left")
 
 
@@ -166,7 +166,7 @@ def active_riders(usage: DataFrame, links: DataFrame, as_of: str = "service_date
 def rider_lines(usage: DataFrame, versions: DataFrame, charges: DataFrame, links: DataFrame, base: DataFrame, as_of: str = "service_date", opted: tuple[str, ...] = (), places: int = 2) -> DataFrame:
     """Line items of the riders in force; a rider with unit %_energy takes its share of the schedule's energy lines."""
     riders = active_riders(usage, links, as_of, opted).withColumnRenamed("rider", "family_key")
-    chosen = resolve_versions(riders, versions, as_of, (KEY, "family_key")).select(KEY, "family_key", "version_id")
+    chosen = resolve_versions(riders, versions, as_of).select(KEY, "family_key", "version_id").dropDuplicates([KEY, "family_key"])
     own = charges.drop("family_key").where("charge_type = 'adjustment'")
     rows = usage.drop("family_key").join(chosen, KEY).join(own, "version_id")
     energy = base.where("charge_type IN ('energy_block', 'tou_energy')").groupBy(KEY).agg(F.round(F.sum("amount"), places).alias("energy_subtotal"))
@@ -228,12 +228,12 @@ def bills(usage: DataFrame, versions: DataFrame, charges: DataFrame, links: Data
     )
 
 
-def compare_schedules(usage: DataFrame, family_keys: DataFrame, versions: DataFrame, charges: DataFrame, links: DataFrame | None = None, as_of: str = "service_date") -> DataFrame:
+def compare_schedules(usage: DataFrame, family_keys: DataFrame, versions: DataFrame, charges: DataFrame, links: DataFrame | None = None, as_of: str = "service_date", places: int = 2) -> DataFrame:
     """Each usage row billed under every family of ``family_keys`` (family_key), ranked by total; rows with unmatched
-    time-of-use kWh or no base charge are left out. One row per usage row and family: families are a short list."""
-    every = usage.drop("family_key").withColumnRenamed(KEY, "for_usage").crossJoin(F.broadcast(family_keys.select("family_key").distinct().limit(10_000)))
+    time-of-use kWh or no base charge are left out. One row per usage row and family, so the work is their product."""
+    every = usage.drop("family_key").withColumnRenamed(KEY, "for_usage").crossJoin(family_keys.select("family_key").distinct())
     every = every.withColumn(KEY, F.concat_ws("|", F.col("for_usage").cast("string"), "family_key"))
-    billed = bills(every, versions, charges, links, as_of).where("unmatched_kwh = 0 AND base_subtotal > 0")
+    billed = bills(every, versions, charges, links, as_of, places=places).where("unmatched_kwh = 0 AND base_subtotal > 0")
     owners = every.select(KEY, "for_usage")
     order = Window.partitionBy("for_usage").orderBy("total", "family_key")
     return billed.join(owners, KEY).withColumn("rank", F.row_number().over(order)).drop(KEY)

@@ -99,8 +99,8 @@ _BY_REGION = "orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nat
 
 
 def _order_regions(spark: SparkSession, d: str) -> DataFrame:
-    places = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    people = table(spark, d, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey"))
+    places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    people = table(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey"))
     return _orders(spark, d).join(people, F.col("o_custkey") == F.col("c_custkey")).withColumn("year", F.year("day"))
 
 
@@ -246,7 +246,7 @@ def fuel_mix_pivot(spark: SparkSession, d: str) -> DataFrame:
 @query("""SELECT n_name, round(a, 4) AS price, CAST(row_number() OVER (ORDER BY a DESC, n_name) AS INTEGER) AS rank FROM (SELECT n_name, avg(c_acctbal) AS a FROM customer JOIN nation ON c_nationkey = n_nationkey GROUP BY 1)""")
 def price_rankings(spark: SparkSession, d: str) -> DataFrame:
     """Places by average price; one row for each place, so ranking them takes one small partition."""
-    rows = table(spark, d, "customer").join(F.broadcast(table(spark, d, "nation")), F.col("c_nationkey") == F.col("n_nationkey"))
+    rows = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
     places = rows.groupBy("n_name").agg(F.avg("c_acctbal").alias("a"))
     return places.select("n_name", F.round("a", 4).alias("price"), F.row_number().over(Window.orderBy(F.desc("a"), "n_name")).alias("rank"))
 
@@ -255,8 +255,8 @@ def price_rankings(spark: SparkSession, d: str) -> DataFrame:
     FROM (SELECT r_name, n_name, avg(c_acctbal) AS a FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey GROUP BY 1, 2) GROUP BY 1""")
 def market_structure_median(spark: SparkSession, d: str) -> DataFrame:
     """Median and mean of the places of each group, and their names."""
-    places = table(spark, d, "nation").join(F.broadcast(table(spark, d, "region")), F.col("n_regionkey") == F.col("r_regionkey"))
-    rows = table(spark, d, "customer").join(F.broadcast(places), F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name", "n_name").agg(F.avg("c_acctbal").alias("a"))
+    places = table(spark, d, "nation").join(table(spark, d, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    rows = table(spark, d, "customer").join(places, F.col("c_nationkey") == F.col("n_nationkey")).groupBy("r_name", "n_name").agg(F.avg("c_acctbal").alias("a"))
     return rows.groupBy("r_name").agg(
         F.round(F.median("a"), 4).alias("median_price"), F.round(F.avg("a"), 4).alias("mean_price"), F.round(F.min("a"), 4).alias("low"), F.round(F.max("a"), 4).alias("high"),
         F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_list("n_name")), ", ").alias("members"),

@@ -148,10 +148,14 @@ def minimum_bill_shortfall(spark: SparkSession, d: str) -> DataFrame:
     SELECT user_id, plan, round(CAST(t AS DOUBLE), 6) AS total, CAST(row_number() OVER (PARTITION BY user_id ORDER BY t, plan) AS INTEGER) AS rank FROM p""")
 def compare_schedules_rank(spark: SparkSession, d: str) -> DataFrame:
     """Every user's usage under every schedule, cheapest first."""
-    usage = table(spark, d, "events").groupBy("user_id").agg(F.sum("value").alias("kwh"))
-    plans = values(spark, PLANS, "plan string, fixed double, rate double")
-    rows = usage.crossJoin(F.broadcast(plans)).withColumn("t", F.col("fixed") + F.col("kwh") * F.col("rate"))
-    return rows.select("user_id", "plan", F.round("t", 6).alias("total"), F.row_number().over(Window.partitionBy("user_id").orderBy("t", "plan")).alias("rank"))
+    usage = table(spark, d, "events").groupBy(F.col("user_id").alias("usage_id")).agg(F.sum("value").alias("monthly_kwh"))
+    families = values(spark, [(p[0],) for p in PLANS], "family_key string")
+    versions = values(spark, [(i, p[0], "approved") for i, p in enumerate(PLANS)], "version_id bigint, family_key string, status string").withColumn("effective_start", F.lit(None).cast("date"))
+    nothing = {c: F.lit(None).cast("double") for c in ("tier_min", "tier_max")} | {c: F.lit(None).cast("string") for c in ("tou_period", "season", "customer_class")}
+    lines = [(2 * i + k, i, kind, label, rate, unit) for i, (_, fixed, rate_value) in enumerate(PLANS) for k, (kind, label, rate, unit) in enumerate((("fixed", "customer charge", float(fixed), "$/month"), ("energy_block", "energy", float(rate_value), "$/kWh")))]
+    charges = values(spark, lines, "charge_id bigint, version_id bigint, charge_type string, charge_label string, rate_value double, rate_unit string").withColumns(nothing | {"confidence_score": F.lit(1.0)})
+    ranked = billing.compare_schedules(usage, families, versions, charges, places=6)
+    return ranked.select(F.col("for_usage").alias("user_id"), F.col("family_key").alias("plan"), "total", "rank")
 
 
 _SUN = [0.12, 0.14, 0.17, 0.2, 0.21, 0.22, 0.21, 0.2, 0.18, 0.16, 0.13, 0.11]
