@@ -12,7 +12,7 @@ VOCABULARY = {
     "legal": ("commission", "docket", "order", "license"),
     "contact": ("example.com", "@", "phone"),
 }
-#: Pattern and label of a first page, first match wins.
+#: Label and pattern of a text, first match wins.
 SIGNATURES = (
     ("license", r"(?i)licensed under|permission is hereby"),
     ("table", r"\|"),
@@ -42,9 +42,9 @@ def vocabulary_counts(text: Column) -> dict[str, Column]:
     return out
 
 
-def first_signature(text: Column) -> Column:
-    """Label of the first pattern found in the first 3000 characters, else plain."""
-    head = F.substring(text, 1, 3000)
+def first_signature(text: Column, first: int | None = None) -> Column:
+    """Label of the first pattern found in a text (or its ``first`` characters), else plain."""
+    head = text if first is None else F.substring(text, 1, first)
     out = F.lit("plain")
     for label, pattern in reversed(SIGNATURES):
         out = F.when(head.rlike(pattern), label).otherwise(out)

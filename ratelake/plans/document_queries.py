@@ -20,8 +20,8 @@ def _count_sql(*terms: str) -> str:
     return " + ".join(_COUNT.format(t=t, n=len(t)) for t in terms)
 
 
-_FEATURES_SQL = f"""SELECT *, CASE WHEN regexp_matches(substr(text, 1, 3000), '(?i)licensed under|permission is hereby') THEN 'license' WHEN regexp_matches(substr(text, 1, 3000), '\\|') THEN 'table'
-        WHEN regexp_matches(substr(text, 1, 3000), '[A-Z]{{3,}}!!') THEN 'shouting' WHEN regexp_matches(substr(text, 1, 3000), '[*%#$&]{{3}}') THEN 'decorated' ELSE 'plain' END AS signature,
+_FEATURES_SQL = f"""SELECT *, CASE WHEN regexp_matches(text, '(?i)licensed under|permission is hereby') THEN 'license' WHEN regexp_matches(text, '\\|') THEN 'table'
+        WHEN regexp_matches(text, '[A-Z]{{3,}}!!') THEN 'shouting' WHEN regexp_matches(text, '[*%#$&]{{3}}') THEN 'decorated' ELSE 'plain' END AS signature,
     CASE WHEN words < 50 THEN 'tiny' WHEN words < 200 THEN 'short' WHEN words < 1000 THEN 'medium' ELSE 'long' END AS size,
     CASE WHEN greatest(rates, riders, legal, contact) = 0 THEN 'none' WHEN rates >= greatest(riders, legal, contact) THEN 'rates' WHEN riders >= greatest(legal, contact) THEN 'riders' WHEN legal >= contact THEN 'legal' ELSE 'contact' END AS subject
     FROM (SELECT doc_id, text, lang, len(regexp_extract_all(text, '[^ \\n]+')) AS words, {_count_sql("rate", "kwh", "charge", "cents")} AS rates, {_count_sql("rider", "adjustment", "surcharge")} AS riders,
