@@ -15,7 +15,7 @@ def chains(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     """
     spark = nodes.sparkSession
     if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_local_folder())
+        spark.sparkContext.setCheckpointDir(_local_folder(spark.sparkContext.master))
     root = F.col("parent").isNull() | (F.col("parent") == F.col("node"))
     state = nodes.select("node", F.when(root, F.col("node")).otherwise(F.col("parent")).alias("at"), F.when(root, 0).otherwise(1).cast("bigint").alias("depth"), root.alias("ended"))
     state = state.checkpoint()
@@ -32,8 +32,10 @@ def chains(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     return state.select("node", F.when(F.col("ended"), F.col("at")).alias("root"), F.when(F.col("ended"), F.col("depth")).alias("depth"))
 
 
-def _local_folder() -> str:
-    """Only where the session names no checkpoint folder, as in tests."""
+def _local_folder(master: str) -> str:
+    """Only where the session names no checkpoint folder and has no other machines, as in tests."""
     import tempfile
 
+    if not master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all machines share")
     return tempfile.mkdtemp(prefix="ratelake-")

@@ -28,6 +28,8 @@ def evaluate_baseline(rows: DataFrame) -> DataFrame:
     weight = F.lit(1.0)
     for label, n in sizes.items():
         weight = F.when(F.col("label") == label, total / (len(sizes) * n)).otherwise(weight)
-    model = baseline().fit(train.select("text", F.col("label").cast("double").alias("label"), weight.alias("weight")))
+    train = train.select("text", F.col("label").cast("double").alias("label"), weight.alias("weight")).persist()  # read by every step of the fit
+    model = baseline().fit(train)
+    train.unpersist()
     done = model.transform(rows.where("test").select("text", F.col("label").cast("double").alias("label"), F.lit(1.0).alias("weight")))
     return done.agg(F.lit(total).cast("bigint").alias("n_train"), F.count("*").alias("n_test"), F.sum((F.col("prediction") == F.col("label")).cast("bigint")).alias("n_correct"))
