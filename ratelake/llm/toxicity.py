@@ -3,10 +3,11 @@
 The kernel counts three-letter subsequences of a word, gaps allowed and discounted, with marks for the word's
 ends; an insult with inserted, dropped or changed letters keeps most of them. Landmarks are words; the machine is
 linear in the kernels with the landmarks, whitened by Nyström, and trained with an epsilon-insensitive loss on
-how much a word speaks for the label: sentences take the label of their document, words the log-odds of the
-sentences they stand in (copies of a document count once). Training goes in rounds: learn from the words that
-tell most and from common clean ones, then score all words and learn the highest too, which are what an insult may
-be mixed up with. A document is judged by its three worst words.
+how much a word speaks for the label. The examples are words, not sentences: labels are given for whole documents, in
+which most sentences of a toxic one are clean, so a word takes the log-odds of the labels of the documents it stands in
+(copies of a document count once). The README has figures for the same kernel on windows of words. Training goes in
+rounds: learn from the words that tell most and from common clean ones, then score all words and learn the highest
+too, which are what an insult may be mixed up with. A document is judged by its three worst words.
 
 The trained machine is one weight for each subsequence, so scoring a word is a few look-ups.
 """
@@ -32,7 +33,7 @@ SPAN, DECAY = 5, 0.6
 LANDMARKS, ROUNDS = 384, 3
 EPSILON, RIDGE, SHRINK, CAUTION = 0.1, 1e-6, 2.0, 1.5
 THRESHOLD, SEED = 0.7, 3
-#: Labelled rows to learn from; words that one round learns from (each kind); all at most.
+#: Bounds of the sample to learn from, both parameters of ``fit``: labelled rows, and words of each kind in a round.
 MAX_TRAIN, MAX_WORDS = 20_000, 3000
 #: Longest stretch of letters taken as one word; longer ones are seen through overlapping windows.
 LONGEST = 24
@@ -227,9 +228,9 @@ def tokens_of(text: str | None) -> set[str]:
     return out
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN, most_words: int = MAX_WORDS) -> Model:
     """Learn from at most ``most`` labelled documents outside the held-out fold, and in each round from at most
-    MAX_WORDS words of each kind. Word counts and worst words are Spark aggregates; only lists of that size,
+    ``most_words`` of their words of each kind. Word counts and worst words are Spark aggregates; only lists of that size,
     and one score for each labelled document of the sample, reach the driver."""
 
     def split(batch: dict[str, list]) -> dict[str, list]:
@@ -258,8 +259,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     rated = counts.select("word", "n", odds.alias("odds"), F.when(F.col("bad") >= 0.5 * F.col("n"), tells).otherwise(0.0).alias("tells"))
     clean = rated.where("odds < 0")
     picks = [
-        rated.where(F.col("tells") > need).orderBy(F.desc("tells"), "word").limit(MAX_WORDS),
-        clean.orderBy(F.desc("n"), "word").limit(MAX_WORDS // 2), clean.orderBy(F.xxhash64("word"), "word").limit(MAX_WORDS // 2),
+        rated.where(F.col("tells") > need).orderBy(F.desc("tells"), "word").limit(most_words),
+        clean.orderBy(F.desc("n"), "word").limit(most_words // 2), clean.orderBy(F.xxhash64("word"), "word").limit(most_words // 2),
     ]
     learned = {r["word"]: (r["odds"], r["n"]) for p in picks for r in p.collect()}
     for left in reversed(range(ROUNDS)):
@@ -272,7 +273,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
                 return batch | {"raw": model.raw(batch["word"]).tolist()}
 
             high = common.map_arrow(rated.select("word", "odds", "n"), rate, "word string, odds double, n bigint, raw double", 4096)
-            high = high.where(F.col("n") > 1).orderBy(F.desc("raw"), "word").limit(MAX_WORDS // 2)
+            high = high.where(F.col("n") > 1).orderBy(F.desc("raw"), "word").limit(most_words // 2)
             learned |= {r["word"]: (r["odds"], r["n"]) for r in high.collect()}
 
     def judge(batch: dict[str, list]) -> dict[str, list]:
