@@ -294,9 +294,12 @@ def copy_keys(text: str | None) -> list[int]:
 
 
 def _copies(each: DataFrame) -> DataFrame:
-    """row, id for ``each`` (row, keys): documents with all keys in common are copies and count as one. A shared
-    passage may give two documents one key, hardly all of them."""
-    return each.select("row", F.xxhash64("keys").alias("id"))
+    """row, id for ``each`` (row, keys): documents with two of the three keys in common are copies and count as one. A
+    shared passage may give two documents one key, hardly two. Of several groups a document is in the largest."""
+    pairs = F.array(*(F.xxhash64(F.lit(i), F.col("keys")[i], F.col("keys")[(i + 1) % 3]) for i in range(3)))
+    keys = each.select("row", F.explode(pairs).alias("key"))
+    often = keys.groupBy("key").agg(F.count("*").alias("n"))
+    return keys.join(often, "key").groupBy("row").agg(F.max(F.struct("n", "key")).alias("top")).select("row", F.col("top.key").alias("id"))
 
 
 def platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
