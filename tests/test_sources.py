@@ -33,3 +33,14 @@ def test_sector_prices(spark, tmp_path):
     (tmp_path / "p.csv").write_text('Year,State,Residential,All Sectors\n2024,nc,"1,012.5",--\nTotal,NC,1,2\n2024,United States,1,2\n')
     rows = {(r["state"], r["sector"]): r["avg_cents_per_kwh"] for r in regional.read_sector_prices(spark, str(tmp_path / "p.csv")).collect()}
     assert rows == {("NC", "residential"): 1012.5, ("NC", "all_sectors"): None}
+
+
+def test_reports_in_three_forms(spark, tmp_path):
+    from ratelake.sources.reports import write_report
+
+    df = spark.createDataFrame([(1, "a|b", [1, 2]), (2, None, None)], "n int, s string, x array<int>")
+    paths = write_report(df, str(tmp_path), "audit")
+    assert sorted(r["n"] for r in spark.read.json(paths["json"]).collect()) == [1, 2]
+    assert spark.read.option("header", True).csv(paths["csv"]).columns == ["n", "s", "x"]
+    lines = [r["value"] for kind in ("head", "rows") for r in spark.read.text(f"{paths['md']}/{kind}").collect()]
+    assert lines[:2] == ["| n | s | x |", "| --- | --- | --- |"] and sorted(lines[2:]) == ["| 1 | a\\|b | [1,2] |", "| 2 |  |  |"]
