@@ -200,16 +200,15 @@ def monthly_fuel_shares_by_year(spark: SparkSession, d: str) -> DataFrame:
     return rows.groupBy(F.col("n_name").alias("state"), F.year("o_orderdate").alias("year")).agg(share.alias("gas"))
 
 
-@query("""WITH o AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS reported FROM orders GROUP BY 1, 2),
-    l AS (SELECT o_custkey, CAST(year(o_orderdate) AS INTEGER) AS year, sum(l_extendedprice) AS revenue, sum(l_quantity) AS kwh FROM lineitem JOIN orders ON l_orderkey = o_orderkey GROUP BY 1, 2)
-    SELECT o_custkey, year, round(reported / kwh, 6) AS reported, round(revenue / kwh, 6) AS implied, round((reported - revenue) / kwh, 6) AS delta FROM o JOIN l USING (o_custkey, year)""")
+@query(f"""WITH s AS ({_SALES_SQL}), t AS (SELECT n_name AS state, CAST(year(o_orderdate) AS INTEGER) AS year, sum(o_totalprice) AS reported FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY 1, 2)
+    SELECT state, year, round(reported / kwh, 4) AS reported, round(revenue / kwh, 4) AS implied, round((reported - revenue) / kwh, 4) AS delta FROM s JOIN t USING (state, year)""")
 def revenue_reconciliation(spark: SparkSession, d: str) -> DataFrame:
-    """The reported price against the one that revenue and sales imply."""
-    orders = table(spark, d, "orders").withColumn("year", F.year("o_orderdate"))
-    told = orders.groupBy("o_custkey", "year").agg(F.sum("o_totalprice").alias("r"))
-    sold = table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_custkey", "year").agg(F.sum("l_extendedprice").alias("m"), F.sum("l_quantity").alias("q"))
-    reported, implied = F.round(F.col("r") / F.col("q"), 6), F.round(F.col("m") / F.col("q"), 6)
-    return told.join(sold, ["o_custkey", "year"]).select("o_custkey", "year", reported.alias("reported"), implied.alias("implied"), F.round((F.col("r") - F.col("m")) / F.col("q"), 6).alias("delta"))
+    """The reported price of each place and year against the one that revenue and sales imply."""
+    people = table(spark, d, "customer").join(table(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey"))
+    told = table(spark, d, "orders").join(people, F.col("o_custkey") == F.col("c_custkey")).groupBy(F.col("n_name").alias("state"), F.year("o_orderdate").alias("year")).agg(F.sum("o_totalprice").alias("told"))
+    price = lambda total: F.round(total / F.col("kwh"), 4)
+    both = _sales(spark, d).join(told, ["state", "year"])
+    return both.select("state", "year", price(F.col("told")).alias("reported"), price(F.col("revenue")).alias("implied"), price(F.col("told") - F.col("revenue")).alias("delta"))
 
 
 @query("""WITH v AS (SELECT *, row_number() OVER (PARTITION BY o_custkey ORDER BY o_orderdate DESC, o_orderkey DESC) AS k FROM orders),
