@@ -127,3 +127,15 @@ def test_kernel_equals_counting_by_hand():
     words = ["blockhead", "bloxckhead", "dim", "dimwit", "a", "carpenter"]
     got = toxicity.kernel(words, words)
     assert np.allclose(got, [[by_hand(a, b) for b in words] for a in words])
+
+
+@pytest.mark.parametrize("module, score", [(quality, "score_quality"), (toxicity, "score_toxicity")])
+def test_very_long_texts(spark, module, score):
+    """One word, one line of symbols and very many words, two million characters each."""
+    rows = [(i, f"text {i} " + ("bad*** " * (i % 2))) for i in range(40)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    labels = spark.createDataFrame([(i, 1 - i % 2, i % 2) for i in range(40)], "doc_id bigint, quality int, toxic int")
+    model = module.fit(docs, labels)
+    long = spark.createDataFrame([(1, "x" * 2_000_000), (2, "*-" * 1_000_000), (3, "word " * 400_000), (4, "a b c d " * 250_000)], "doc_id bigint, text string")
+    got = getattr(module, score)(long, model).collect()
+    assert len(got) == 4 and all(0 <= r["score"] <= 1 for r in got)

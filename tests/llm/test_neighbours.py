@@ -87,3 +87,14 @@ def test_doubles_are_scored_as_they_are(spark):
     got = neighbours.nearest(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r["vec_id"] for r in got] == list(range(39, 19, -1))
     assert got[0]["score"] == 0.1 * (0.1 + 39e-9) + 1.0
+
+
+def test_cells_cut_by_rows_and_queries_change_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    one = rng.standard_normal(16)
+    rows = [(i, one + 0.01 * rng.standard_normal(16)) for i in range(400)] + [(400 + i, rng.standard_normal(16)) for i in range(200)]
+    whole = run(spark, rows)
+    monkeypatch.setattr(neighbours, "BLOCK_ROWS", 64)
+    monkeypatch.setattr(neighbours, "BLOCK_QUERIES", 5)
+    cut = run(spark, rows)
+    assert {q: [a for a, _ in v] for q, v in cut.items()} == {q: [a for a, _ in v] for q, v in whole.items()}
