@@ -237,3 +237,26 @@ def compare_schedules(usage: DataFrame, family_keys: DataFrame, versions: DataFr
     owners = every.select(KEY, "for_usage")
     order = Window.partitionBy("for_usage").orderBy("total", "family_key")
     return billed.join(owners, KEY).withColumn("rank", F.row_number().over(order)).drop(KEY)
+
+
+def flat_schedules(schedules: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(versions, charges) for ``bills`` out of parsed schedules, one nested row for each version.
+
+    ``schedules`` has version_id, family_key, effective_start, status and arrays fixed_charges (label, rate, unit),
+    energy_charges (label, rate, unit, block_from, block_to, tou_period, season) and demand_charges (label, rate, unit); null and
+    empty arrays have no charges. An energy charge with a period is a time-of-use charge.
+    """
+    versions = schedules.select("version_id", "family_key", "effective_start", "status")
+    missing = {"block_from": "double", "block_to": "double", "tou_period": "string", "season": "string"}
+
+    def rows(name: str, kind: Column) -> DataFrame:
+        some = schedules.select("version_id", F.posexplode(name).alias("at", "c")).select("version_id", F.lit(name).alias("of"), "at", "c.*")
+        some = some.withColumns({k: F.lit(None).cast(t) for k, t in missing.items() if k not in some.columns})
+        return some.select(
+            F.xxhash64("version_id", "of", "at").alias("charge_id"), "version_id", kind.alias("charge_type"), F.col("label").alias("charge_label"), F.col("rate").cast("double").alias("rate_value"),
+            F.col("unit").alias("rate_unit"), F.col("block_from").alias("tier_min"), F.col("block_to").alias("tier_max"), "tou_period", "season",
+        )
+
+    parts = [rows("fixed_charges", F.lit("fixed")), rows("energy_charges", F.when(F.col("tou_period").isNotNull(), "tou_energy").otherwise("energy_block")), rows("demand_charges", F.lit("demand"))]
+    charges = reduce(DataFrame.unionByName, parts)
+    return versions, charges.withColumns({"customer_class": F.lit(None).cast("string"), "confidence_score": F.lit(1.0)})

@@ -113,3 +113,35 @@ def unknown_documents(spark: SparkSession, d: str) -> DataFrame:
     labelled = table(spark, d, "labels").select("doc_id")
     rows = table(spark, d, "documents").where(F.length("text") >= 200).join(labelled, "doc_id", "left_anti")
     return rows.select("doc_id", "lang", F.when(F.col("source").isNull(), 3).when(F.length("text") > 1000, 2).otherwise(1).alias("priority"))
+
+
+@query("""WITH v AS (SELECT o_custkey, o_orderkey, CAST(o_orderdate AS DATE) AS day FROM orders QUALIFY row_number() OVER (PARTITION BY o_custkey, CAST(o_orderdate AS DATE) ORDER BY o_orderkey DESC) = 1),
+    c AS (SELECT l_orderkey, sum(CASE WHEN l_returnflag = 'R' THEN l_tax * 100 ELSE 0 END) AS fixed, avg(l_discount) AS rate, sum(CASE WHEN l_returnflag = 'N' THEN l_tax * 10 ELSE 0 END) AS rider, count(*) FILTER (l_returnflag = 'N') AS riders FROM lineitem GROUP BY 1)
+    SELECT o_custkey, CAST(day AS VARCHAR) AS day, round((fixed + 1000 * rate) / 1000 * 100, 6) AS base_cents, round(CASE WHEN riders > 0 THEN (fixed + 1000 * rate) / 1000 * 100 + rider ELSE (fixed + 1000 * rate) / 1000 * 100 END, 6) AS all_in_cents,
+        CASE WHEN riders > 0 THEN 'base_plus_riders' ELSE 'base_only' END AS coverage FROM v JOIN c ON l_orderkey = o_orderkey""")
+def blended_history(spark: SparkSession, d: str) -> DataFrame:
+    """What a kWh costs at 1000 kWh a month under each version of a schedule, with and without its riders."""
+    versions = first_of(table(spark, d, "orders").withColumn("day", F.to_date("o_orderdate")), ["o_custkey", "day"], [F.desc("o_orderkey")]).select("o_custkey", "o_orderkey", "day")
+    flag = lambda f, value: F.sum(F.when(F.col("l_returnflag") == f, value).otherwise(0.0))
+    charges = table(spark, d, "lineitem").groupBy(F.col("l_orderkey").alias("o_orderkey")).agg(
+        flag("R", F.col("l_tax") * 100).alias("fixed"), F.avg("l_discount").alias("rate"), flag("N", F.col("l_tax") * 10).alias("rider"), F.count(F.when(F.col("l_returnflag") == "N", 1)).alias("riders")
+    )
+    base = (F.col("fixed") + F.col("rate") * 1000) / 1000 * 100
+    known = F.col("riders") > 0
+    return versions.join(charges, "o_orderkey").select(
+        "o_custkey", F.col("day").cast("string").alias("day"), F.round(base, 6).alias("base_cents"), F.round(F.when(known, base + F.col("rider")).otherwise(base), 6).alias("all_in_cents"),
+        F.when(known, "base_plus_riders").otherwise("base_only").alias("coverage"),
+    )
+
+
+@query("""WITH c AS (SELECT doc_id, text, unnest(list_distinct(regexp_extract_all(text, '[0-9]{3}-[0-9]{4}|[A-Za-z0-9.]+@[a-z0-9.]+'))) AS value FROM documents WHERE text LIKE '%-%' OR text LIKE '%@%'),
+    e AS (SELECT doc_id, value, CAST((length(text) - length(replace(text, value, ''))) / length(value) AS BIGINT) AS seen, regexp_matches(lower(text), 'phone|call|mail|contact|@') AS near FROM c)
+    SELECT doc_id, value, seen, CASE WHEN seen > 1 THEN 'needs_review' WHEN near THEN 'accepted' ELSE 'rejected' END AS status FROM e""")
+def extraction_evidence(spark: SparkSession, d: str) -> DataFrame:
+    """Values extracted from texts, each held against its text: found once next to words that go with it, found more than once, or bare."""
+    pattern = "[0-9]{3}-[0-9]{4}|[A-Za-z0-9.]+@[a-z0-9.]+"
+    some = table(spark, d, "documents").where(F.contains("text", F.lit("-")) | F.contains("text", F.lit("@")))
+    values_found = some.select("doc_id", "text", F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(pattern), F.lit(0)))).alias("value"))
+    seen = ((F.length("text") - F.length(F.replace("text", "value", F.lit("")))) / F.length("value")).cast("bigint")
+    near = F.lower("text").rlike("phone|call|mail|contact|@")
+    return values_found.select("doc_id", "value", seen.alias("seen"), F.when(seen > 1, "needs_review").when(near, "accepted").otherwise("rejected").alias("status"))

@@ -92,3 +92,22 @@ def test_compare(spark, tables):
     families = spark.createDataFrame([("leaf-500",), ("low",), ("tou",)], "family_key string")
     got = [(r["family_key"], r["rank"]) for r in billing.compare_schedules(usage, families, *tables).orderBy("rank").collect()]
     assert got == [("low", 1), ("leaf-500", 2), ("tou", 3)]
+
+
+def test_nested_schedules_bill_like_flat_ones(spark):
+    kind = (
+        "version_id bigint, family_key string, effective_start date, status string, fixed_charges array<struct<label:string,rate:double,unit:string>>, "
+        "energy_charges array<struct<label:string,rate:double,unit:string,block_from:double,block_to:double,tou_period:string,season:string>>, demand_charges array<struct<label:string,rate:double,unit:string>>"
+    )
+    fixed = [("customer charge", 14.0, "$/month")]
+    tiers = [("first", 12.623, "cents/kWh", 0.0, 800.0, None, "winter"), ("rest", 11.623, "cents/kWh", 800.0, None, None, "winter"), ("summer", 12.623, "cents/kWh", 0.0, None, None, "summer")]
+    times = [("on", 0.3, "$/kWh", None, None, "on_peak", None), ("off", 0.1, "$/kWh", None, None, "off_peak", None)]
+    schedules = spark.createDataFrame([(1, "a", date(2025, 1, 1), "approved", fixed, tiers, None), (2, "b", date(2025, 1, 1), "approved", fixed, times, [("Demand", 10.5, "$/kW")]), (3, "c", date(2025, 1, 1), "approved", None, [], None)], kind)
+    versions, charges = billing.flat_schedules(schedules)
+    usage = spark.createDataFrame(
+        [(1, "a", date(2025, 12, 1), 1200.0, None, None, None), (2, "a", date(2025, 8, 1), 1000.0, None, None, None), (3, "b", date(2025, 3, 1), 1000.0, 300.0, 700.0, 20.0), (4, "c", date(2025, 3, 1), 10.0, None, None, None)],
+        "usage_id bigint, family_key string, service_date date, monthly_kwh double, on_peak_kwh double, off_peak_kwh double, peak_kw double",
+    )
+    got = {r["usage_id"]: r for r in billing.bills(usage, versions, charges).collect()}
+    assert got[1]["total"] == pytest.approx(14 + 800 * 0.12623 + 400 * 0.11623, abs=0.011) and got[2]["total"] == pytest.approx(14 + 126.23)
+    assert got[3]["total"] == pytest.approx(14 + 90 + 70 + 210) and got[4]["warnings"] == ["no charges apply"]
