@@ -163,8 +163,8 @@ def _ascend(data: DataFrame, asked: DataFrame, bits: int, dim: int, most: int) -
     return _meet(_arrays(data, bits, "v"), cells, rank, FOUND)
 
 
-def _all_rows(data: DataFrame, asked: DataFrame, dim: int, most: int) -> DataFrame:
-    """(qid, id, score): the best of all rows for each query (id, v), in blocks."""
+def _all_rows(data: DataFrame, asked: DataFrame, n: int, dim: int, most: int) -> DataFrame:
+    """(qid, id, score): the best of each block of the ``n`` rows for each query (id, v); a query goes to every block."""
     out = common.pa_schema(data.sparkSession, FOUND)
 
     def rank(rows: pa.Table, asking: pa.Table) -> pa.Table:
@@ -177,8 +177,9 @@ def _all_rows(data: DataFrame, asked: DataFrame, dim: int, most: int) -> DataFra
                     k.extend(v)
         return pa.table(dict(zip(out.names, got, strict=True)), schema=out)
 
-    one = F.lit(0).cast("bigint").alias("cell")
-    return _meet(data.select(one, "id", "v"), asked.select(one, "id", "v"), rank, FOUND)
+    blocks = -(-n // BLOCK_ROWS)
+    rows = data.select(F.pmod(F.xxhash64("id", F.lit(SEED)), F.lit(blocks)).alias("cell"), "id", "v")
+    return _meet(rows, asked.select(F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(blocks - 1).cast("bigint"))).alias("cell"), "id", "v"), rank, FOUND)
 
 
 def _best(found: DataFrame, most: int) -> DataFrame:
@@ -234,7 +235,7 @@ def nearest(vectors: DataFrame, is_query: Column, k: int = 20, id_col: str = "ve
         state = common.materialize(state.select("id", "v", "keys", "level", "wanted"), "state")
         settled.append(found.join(state.where("wanted >= level").select(F.col("id").alias("qid")), "qid", "left_semi"))
         short = state.where(f"wanted < level AND wanted <= {SHORTEST}")
-        settled.append(_all_rows(data, short, dim, most))
+        settled.append(_all_rows(data, short, n, dim, most))
         asked = state.where(f"wanted < level AND wanted > {SHORTEST}")
         found = found.join(asked.select(F.col("id").alias("qid")), "qid", "left_semi")
         asked = asked.select("id", "v", "keys", F.greatest("wanted", F.col("level") - STEP).alias("level"), F.col("level").alias("seen"))

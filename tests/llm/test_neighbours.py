@@ -76,7 +76,7 @@ def test_clustered_vectors_need_not_meet_all_rows(spark, monkeypatch):
     monkeypatch.setattr(neighbours, "ENOUGH", 16)
     left = []
     plain = neighbours._all_rows
-    monkeypatch.setattr(neighbours, "_all_rows", lambda data, asked, dim, most: left.append(asked.count()) or plain(data, asked, dim, most))
+    monkeypatch.setattr(neighbours, "_all_rows", lambda data, asked, *more: left.append(asked.count()) or plain(data, asked, *more))
     want, got = brute(rows), run(spark, rows)
     assert sum(left) == 0 and len(left) > 1
     assert np.mean([len({a for a, _ in got[q]} & {a for a, _ in want[q]}) / 20 for q in want]) >= 0.9
