@@ -24,6 +24,8 @@ from . import common
 WINDOW, SIMILAR, ANCHOR = 5, 0.8, 3
 #: Benchmark windows or anchors that are broadcast at most (16 bytes each and their words); beyond that, a shuffle join.
 BROADCAST_WINDOWS = 500_000
+#: Ids of documents that are broadcast at most (32 bytes each in ``drop_contaminated``).
+BROADCAST_IDS = 500_000
 #: Unit words that count as such after a number.
 UNITS = (
     "mm cm m km inch inches ft feet foot yard yards mile miles mg g kg t lb lbs oz ton tons ml cl l litre litres liter liters gallon gallons "
@@ -114,10 +116,15 @@ def _with_anchors(texts: DataFrame, anchors: dict[int, DataFrame]) -> DataFrame:
         ids = met.groupBy("id", "item", "version").agg(F.sum("weight").alias("has"), F.max("required").alias("required"))
         ids = ids.where("has >= required - 1e-9").select(F.col("id").alias("met"))
         found = ids if found is None else found.unionByName(ids)
-    found = common.materialize(found.distinct(), "candidates")
+    found = _within_bound(common.materialize(found.distinct(), "candidates"))
     return common.materialize(texts.join(found, texts["id"].eqNullSafe(found["met"]), "left_semi"), "texts")
 
 
+def _within_bound(ids: DataFrame) -> DataFrame:
+    """Ids to join with texts: broadcast where their number is within bounds, so that texts stay where they are."""
+    return F.broadcast(ids) if ids.count() <= BROADCAST_IDS else ids
+
+
 def _met(texts: DataFrame, size: int, side: DataFrame, reading: int) -> DataFrame:
     """Windows of texts (id, text) that are windows of items: where, and the values of document and item if they hold placeholders."""
     names = [f"w{i}" for i in range(size)]
@@ -211,9 +218,9 @@ def _result(scored: DataFrame, id_col: str, item_col: str) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item, all columns as they are. Rows are known by a hash of
     their text, so ids may be null or repeated."""
-    keyed = docs.withColumn("__text", F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256))
-    bad = contaminated(keyed, benchmark, "__text", text_col).select("__text").distinct()
-    return keyed.join(bad, "__text", "left_anti").select(*docs.columns)
+    keyed = docs.withColumn("__text", F.unhex(F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256)))
+    bad = common.materialize(contaminated(keyed, benchmark, "__text", text_col).select("__text").distinct(), "bad")
+    return keyed.join(_within_bound(bad), "__text", "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

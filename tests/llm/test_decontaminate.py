@@ -35,6 +35,7 @@ def test_items_of_equal_text_and_short_items(spark):
 @pytest.mark.parametrize("broadcast", [0, 500_000])
 def test_both_joins_agree_and_filter_keeps_columns(spark, monkeypatch, broadcast):
     monkeypatch.setattr(decontaminate, "BROADCAST_WINDOWS", broadcast)
+    monkeypatch.setattr(decontaminate, "BROADCAST_IDS", broadcast)
     docs = spark.createDataFrame([(1, f"x {ITEM} y", "a"), (2, "clean text", "b"), (None, "clean", "c"), (None, ITEM, "d")], "doc_id bigint, text string, r string")
     bench = spark.createDataFrame([(1, ITEM)], "item_id bigint, text string")
     left = decontaminate.drop_contaminated(docs, bench)
