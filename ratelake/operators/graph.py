@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
@@ -13,9 +13,7 @@ def chains(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     themselves. Nodes on a cycle, or that lead to one, have no end: their root and depth are null. Each round's state goes to
     the checkpoint folder, so plans stay short and lost executors cost one round.
     """
-    spark = nodes.sparkSession
-    if spark.sparkContext.getCheckpointDir() is None:
-        spark.sparkContext.setCheckpointDir(_local_folder(spark.sparkContext.master))
+    checkpoint_folder(nodes.sparkSession)
     root = F.col("parent").isNull() | (F.col("parent") == F.col("node"))
     state = nodes.select("node", F.when(root, F.col("node")).otherwise(F.col("parent")).alias("at"), F.when(root, 0).otherwise(1).cast("bigint").alias("depth"), root.alias("ended"))
     state = state.checkpoint()
@@ -32,6 +30,13 @@ def chains(nodes: DataFrame, max_rounds: int = 40) -> DataFrame:
     return state.select("node", F.when(F.col("ended"), F.col("at")).alias("root"), F.when(F.col("ended"), F.col("depth")).alias("depth"))
 
 
+def checkpoint_folder(spark: SparkSession) -> None:
+    """See to it that checkpoint() has a folder: the one the session names, or a new local one where there are no other machines."""
+    if spark.sparkContext.getCheckpointDir() is None:
+        named = spark.conf.get("spark.checkpoint.dir", None)
+        spark.sparkContext.setCheckpointDir(named or _local_folder(spark.sparkContext.master))
+
+
 def _local_folder(master: str) -> str:
     """Only where the session names no checkpoint folder and has no other machines, as in tests."""
     import tempfile
