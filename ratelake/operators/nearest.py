@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .stages import staged
@@ -74,34 +74,29 @@ def best_snapshot(bills: DataFrame, snapshots: DataFrame, ident: Sequence[str],
     lump = F.floor(F.col(amount) * per)
     asks = F.filter(
         F.array(
-            F.struct(F.lit("cents_per_kwh").alias("unit"), F.when(F.col(kwh) > 0, cents).alias("t")),
-            F.struct(F.lit("fixed_monthly").alias("unit"), lump.alias("t")),
+            F.struct(F.lit("cents_per_kwh").alias("__unit"), F.when(F.col(kwh) > 0, cents).alias("__t")),
+            F.struct(F.lit("fixed_monthly").alias("__unit"), lump.alias("__t")),
         ),
-        lambda a: a["t"].isNotNull(),
+        lambda a: a["__t"].isNotNull(),
     )
     known = bills.where(F.col(component).isNotNull() & F.col(amount).isNotNull()).select(*ident, component, amount, kwh)
     # Numbered and written once: the number must be the same for both units of a bill.
-    rows = staged(known.withColumn("__bill", F.monotonically_increasing_id()), "bills").select("*", F.inline(asks)).withColumnRenamed("unit", "__unit")
-    places = rows.select(component, F.col("__unit").alias(unit), "t")
-    near = bracket(places, listed, [component, unit], "t", "v").withColumnRenamed(unit, "__unit")
-    sides = near.select(component, "__unit", "t", F.explode(F.array_compact(F.array("below", "above"))).alias("v"))
+    rows = staged(known.withColumn("__bill", F.monotonically_increasing_id()), "bills").select("*", F.inline(asks))
+    places = rows.select(component, F.col("__unit").alias(unit), "__t")
+    near = bracket(places, listed, [component, unit], "__t", "v").withColumnRenamed(unit, "__unit")
+    sides = near.select(component, "__unit", "__t", F.explode(F.array_compact(F.array("below", "above"))).alias("v"))
     dated = sides.join(listed.withColumnRenamed(unit, "__unit"), [component, "__unit", "v"])
     # At most two values for each distinct target.
-    choices = dated.groupBy(component, "__unit", "t").agg(F.collect_list(F.struct("v", since)).alias("choices"))
-    exact = F.col("c.v") / per
+    choices = dated.groupBy(component, "__unit", "__t").agg(F.collect_list(F.struct("v", since)).alias("__choices"))
+    exact = F.col("__c.v") / per
     estimate = F.when(F.col("__unit") == "fixed_monthly", exact).otherwise(F.col(kwh) * exact / 100.0)
-    tried = rows.join(choices, [component, "__unit", "t"]).withColumn("c", F.explode("choices"))
+    tried = rows.join(choices, [component, "__unit", "__t"]).withColumn("__c", F.explode("__choices"))
     tried = tried.withColumns({"__estimate": estimate, "__exact": exact})
-    order = F.struct(F.abs(F.col(amount) - F.col("__estimate")).alias("off"), F.col("c")[since].alias("since"), F.col("__exact").alias("value"))
-    keep = F.struct(F.col("__unit").alias("unit"), F.col("__exact").alias("value"), F.col("c")[since].alias("since"), F.col("__estimate").alias("estimate"), F.col(amount).alias("amount"))
+    order = F.struct(F.abs(F.col(amount) - F.col("__estimate")).alias("off"), F.col("__c")[since].alias("since"), F.col("__exact").alias("value"))
+    keep = F.struct(F.col("__unit").alias("unit"), F.col("__exact").alias("value"), F.col("__c")[since].alias("since"), F.col("__estimate").alias("estimate"), F.col(amount).alias("amount"))
     # At most four tries for each bill.
     best = tried.groupBy(*ident, component, "__bill").agg(F.min_by(keep, order).alias("b"))
     return best.select(
         *ident, component, F.col("b.unit").alias(unit), F.col("b.value").alias(value), F.col("b.since").alias(since),
         F.round("b.estimate", 2).alias("estimate"), (F.col("b.amount") - F.col("b.estimate")).alias("difference"),
     )
-
-
-def fits_other_date(best_since: Column, latest_since: Column) -> Column:
-    """True where another date than the latest on record explains a bill better; null where either is unknown."""
-    return best_since != latest_since
