@@ -132,13 +132,14 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
 def remove_later_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_passage: int = MIN_PASSAGE) -> DataFrame:
     """``docs`` with repeated passages cut from all texts but the first that holds them, in order of id; null ids come
     last. All columns stay, rows too, and null texts stay null. What is cut are whole chunks, down to whole characters."""
-    rows = common.materialize(docs.withColumn("__row", F.monotonically_increasing_id()), "rows")
-    found = _repeats(rows.select(F.col("__row").alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), min_passage)
-    cut = found.where(F.size("later") > 0).groupBy(F.col("row").alias("__row")).agg(F.flatten(F.collect_list("later")).alias("__cut"))
-    schema = rows.join(cut, "__row", "left").drop("__row")
+    row, spans_col = (common.free(n, docs.columns) for n in ("row", "cut"))
+    rows = common.materialize(docs.withColumn(row, F.monotonically_increasing_id()), "rows")
+    found = _repeats(rows.select(F.col(row).alias("row"), F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")), min_passage)
+    cut = found.where(F.size("later") > 0).groupBy(F.col("row").alias(row)).agg(F.flatten(F.collect_list("later")).alias(spans_col))
+    schema = rows.join(cut, row, "left").drop(row)
 
     def work(batch: dict[str, list]) -> dict[str, list]:
-        for i, spans in enumerate(batch.pop("__cut")):
+        for i, spans in enumerate(batch.pop(spans_col)):
             if spans:
                 data, kept, at = as_bytes(batch[text_col][i]), [], 0
                 for s in sorted(spans, key=lambda s: s["start"]):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -46,6 +46,15 @@ def sweep(spark: SparkSession) -> None:
     path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free(name: str, taken: Iterable[str]) -> str:
+    """``name``, or with a number behind it, so that none of the columns ``taken`` has it (in any case)."""
+    held, out, n = {t.lower() for t in taken}, name, 0
+    while out.lower() in held:
+        n += 1
+        out = f"{name}_{n}"
+    return out
+
+
 def held_out(id_col: str) -> Column:
     """True for rows whose labels no model may learn from: crc32 of the id as text, mod 3, is 1 (null ids: false)."""
     fold = F.crc32(F.col(id_col).cast("string").cast("binary")) % FOLDS

@@ -218,9 +218,11 @@ def _result(scored: DataFrame, id_col: str, item_col: str) -> DataFrame:
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, text_col: str = "text") -> DataFrame:
     """``docs`` without the rows whose text holds a benchmark item, all columns as they are. Rows are known by a hash of
     their text, so ids may be null or repeated."""
-    keyed = docs.withColumn("__text", F.unhex(F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256)))
-    bad = common.materialize(contaminated(keyed, benchmark, "__text", text_col).select("__text").distinct(), "bad")
-    return keyed.join(_within_bound(bad), "__text", "left_anti").select(*docs.columns)
+    key = common.free("digest", docs.columns)
+    keyed = docs.withColumn(key, F.unhex(F.sha2(F.coalesce(text_col, F.lit("")).cast("binary"), 256)))
+    hashed = keyed.select(F.col(key).alias("of"), F.col(text_col).alias("text"))
+    bad = common.materialize(contaminated(hashed, benchmark, "of").select(F.col("of").alias(key)).distinct(), "bad")
+    return keyed.join(_within_bound(bad), key, "left_anti").select(*docs.columns)
 
 
 def op8_decontaminate(spark, sf_dir: str) -> DataFrame:

@@ -168,22 +168,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each group of near-duplicates: a row with the group's smallest id (of several such rows
-    the first read), or any row of a group whose ids are all null. All columns stay as they are."""
+    the first read), or any row of a group whose ids are all null. All columns stay as they are, whatever their names."""
+    fp, row = (common.free(n, docs.columns) for n in ("fp", "row"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 512):
                 some = batch.slice(at, 512)
                 found = np.array([fingerprint(t or "") for t in some.column(text_col).to_pylist()], np.uint64).view(np.int64)
-                yield some.append_column("__fp", pa.array(found, pa.int64()))
+                yield some.append_column(fp, pa.array(found, pa.int64()))
 
-    schema = StructType([*docs.schema.fields, StructField("__fp", LongType())])
-    marked = docs.mapInArrow(run, schema).withColumn("__row", F.monotonically_increasing_id())
+    schema = StructType([*docs.schema.fields, StructField(fp, LongType())])
+    marked = docs.mapInArrow(run, schema).withColumn(row, F.monotonically_increasing_id())
     marked = common.materialize(marked, "fingerprints")
-    narrow = marked.select(F.col(id_col).alias("__id"), F.col("__fp").alias("fp"), "__row")
-    named = narrow.join(_classes(narrow.select(F.col("__id").alias(id_col), "fp"), id_col), "fp")
-    kept = named.where("__id <=> component_id").groupBy("component").agg(F.min("__row").alias("__row")).select("__row")
-    return marked.join(kept, "__row", "left_semi").select(*docs.columns)
+    narrow = marked.select(F.col(id_col).alias("__id"), F.col(fp).alias("fp"), F.col(row).alias("__row"))
+    named = narrow.join(_classes(narrow.select("__id", "fp"), "__id"), "fp")
+    kept = named.where("__id <=> component_id").groupBy("component").agg(F.min("__row").alias(row)).select(row)
+    return marked.join(kept, row, "left_semi").select(*docs.columns)
 
 
 def op2_simhash(spark, sf_dir: str) -> DataFrame:
