@@ -1,6 +1,6 @@
 """Benchmark decontamination by templates.
 
-Numbers, units and names become typed placeholders, so a question asked again with other parameters has the
+Numbers (digits or words), units and names become typed placeholders, so a question asked again with other parameters has the
 template of the original. Windows of template words are hash-joined with those of the benchmark; where windows
 hold placeholders, the values of document and item must map onto each other one to one along the passage. All
 of it is DataFrame functions.
@@ -26,15 +26,27 @@ WINDOW, SIMILAR, ANCHOR = 5, 0.8, 3
 BROADCAST_WINDOWS = 500_000
 #: Ids of documents that are broadcast at most (32 bytes each in ``drop_contaminated``).
 BROADCAST_IDS = 500_000
-#: Unit words that count as such after a number.
+#: Unit words that count as such after a number, and words that are numbers.
 UNITS = (
-    "mm cm m km inch inches ft feet foot yard yards mile miles mg g kg t lb lbs oz ton tons ml cl l litre litres liter liters gallon gallons "
-    "ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years "
-    "w kw mw gw wh kwh mwh gwh v a hz khz mhz ghz b kb mb gb tb usd eur gbp dollar dollars euro euros pound pounds cent cents percent"
+    "mm cm m km millimetre millimetres millimeter millimeters centimetre centimetres centimeter centimeters metre metres meter meters kilometre kilometres kilometer kilometers "
+    "inch inches ft feet foot yard yards mile miles hectare hectares acre acres mph kph kmh "
+    "mg g kg t milligram milligrams gram grams kilogram kilograms kilo kilos tonne tonnes lb lbs oz ounce ounces ton tons "
+    "ml cl l millilitre millilitres milliliter milliliters litre litres liter liters gallon gallons pint pints quart quarts cup cups "
+    "ms s sec second seconds min minute minutes h hr hour hours day days week weeks month months year years decade decades century centuries "
+    "w kw mw gw wh kwh mwh gwh v a hz khz mhz ghz b kb mb gb tb watt watts kilowatt kilowatts megawatt megawatts volt volts amp amps hertz rpm "
+    "byte bytes kilobyte kilobytes megabyte megabytes gigabyte gigabytes terabyte terabytes joule joules newton newtons pascal pascals "
+    "degree degrees celsius fahrenheit kelvin usd eur gbp dollar dollars euro euros pound pounds cent cents yen franc francs rupee rupees percent"
+).split()
+NUMBER_WORDS = (
+    "zero one two three four five six seven eight nine ten eleven twelve thirteen fourteen fifteen sixteen seventeen eighteen nineteen "
+    "twenty thirty forty fifty sixty seventy eighty ninety hundred thousand million billion dozen half"
 ).split()
 # Possessive throughout: a run of very many names or numbers must not be kept on the stack.
 _NUMBER = "[0-9]++(?:[.,:/][0-9]++)*+"
 _NAME = r"\p{Lu}\p{Ll}++(?!\p{L})(?: \p{Lu}\p{Ll}++(?!\p{L}))*+"
+_NUMBER_WORD = rf"(?<!\p{{L}})(?:{'|'.join(NUMBER_WORDS)})(?!\p{{L}})"
+#: After a number in words, units of one letter are words.
+_LONG_UNITS = [u for u in UNITS if len(u) > 1]
 _OPEN_NAME, _OPEN_UNIT, _CLOSE = "\u0001", "\u0002", "\u0003"
 
 
@@ -48,12 +60,14 @@ def _marked(text: Column, everywhere: bool = False) -> Column:
     if everywhere:
         names = F.regexp_replace(F.regexp_replace(plain, r"[\s\p{Z}]+", " "), rf"(?<!\p{{L}}){_NAME}", f"{_OPEN_NAME}$0{_CLOSE}")
     units = F.regexp_replace(names, rf"([0-9]) ?((?i:{'|'.join(UNITS)}))([^\p{{L}}0-9]|$)", f"$1 {_OPEN_UNIT}$2{_CLOSE}$3")
+    units = F.regexp_replace(units, rf"((?i:{_NUMBER_WORD})) ((?i:{'|'.join(_LONG_UNITS)}))([^\p{{L}}0-9]|$)", f"$1 {_OPEN_UNIT}$2{_CLOSE}$3")
     return F.lower(units)
 
 
 def _template(marked: Column) -> Column:
     names = F.regexp_replace(marked, f"{_OPEN_NAME}[^{_CLOSE}]*{_CLOSE}", "#p")
-    return F.regexp_replace(F.regexp_replace(names, f"{_OPEN_UNIT}[^{_CLOSE}]*{_CLOSE}", "#u"), _NUMBER, "#n")
+    units = F.regexp_replace(names, f"{_OPEN_UNIT}[^{_CLOSE}]*{_CLOSE}", "#u")
+    return F.regexp_replace(F.regexp_replace(units, _NUMBER, "#n"), _NUMBER_WORD, "#n")
 
 
 def words(rows: DataFrame, text_col: str, *keep: str, everywhere: bool = False) -> DataFrame:

@@ -26,6 +26,9 @@ _CRC_TABLE = """bits AS (SELECT k, list_reduce(list_prepend(k, range(8)), lambda
 _CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(range(octet_length({b})), lambda i: ('0x' || hex({b}[i + 1 : i + 1]))::BIGINT)),
                 lambda c, x: xor(tb[(xor(c, x) & 255) + 1], c >> 8)), 4294967295)"""
 
+#: A run of capitalised words, each run of letters between marks 4 and 5.
+_NAME_SQL = "\\x04\\p{Lu}\\p{Ll}+\\x05(?: \\x04\\p{Lu}\\p{Ll}+\\x05)*"
+
 ORACLE_SQL: dict[str, str] = {
     "op7_warc": """
         WITH p AS (SELECT page_id, coalesce(html, '') AS html FROM pages),
@@ -37,26 +40,39 @@ ORACLE_SQL: dict[str, str] = {
         FROM d""",
     "op8_decontaminate": f"""
         WITH plain AS (
-            SELECT 0 AS side, doc_id AS id, translate(coalesce(text, ''), '#' || chr(1) || chr(2) || chr(3), '    ') AS p FROM documents
-            UNION ALL SELECT 1, min(item_id), translate(text, '#' || chr(1) || chr(2) || chr(3), '    ') FROM benchmark WHERE text IS NOT NULL GROUP BY text),
-        named AS (SELECT side, id, regexp_replace(p, '(\\p{{Ll}}[,;]? |[0-9] )((?:\\p{{Lu}}\\p{{Ll}}+ )*\\p{{Lu}}\\p{{Ll}}+)', '\\1' || chr(1) || '\\2' || chr(3), 'g') AS p FROM plain),
-        marked AS (SELECT side, id, lower(regexp_replace(p, '([0-9]) ?((?i:{"|".join(decontaminate.UNITS)}))([^\\p{{L}}0-9]|$)', '\\1 ' || chr(2) || '\\2' || chr(3) || '\\3', 'g')) AS m FROM named),
-        words AS (
-            SELECT side, id, regexp_extract_all(m, '[\\x01\\x02][^\\x03]*\\x03|[0-9]+(?:[.,:/][0-9]+)*|\\p{{L}}+') AS r, regexp_extract_all(
-                regexp_replace(regexp_replace(regexp_replace(m, '\\x01[^\\x03]*\\x03', '#p', 'g'), '\\x02[^\\x03]*\\x03', '#u', 'g'), '[0-9]+(?:[.,:/][0-9]+)*', '#n', 'g'),
-                '#[pun]|\\p{{L}}+') AS t FROM marked),
-        windows AS (SELECT side, id, i, t[i : i + 4] AS w, r[i : i + 4] AS r FROM (SELECT *, unnest(range(1, len(t) - 3)) AS i FROM words WHERE len(t) >= 5)),
-        items AS (SELECT * FROM windows WHERE side = 1 AND 2 * len(list_filter(w, lambda x: x NOT LIKE '#%')) >= 5),
-        met AS (SELECT DISTINCT d.id AS doc, x.id AS item, w, d.i - x.i AS shift, d.r AS dr, x.r AS xr FROM windows d JOIN items x USING (w) WHERE d.side = 0),
-        slots AS (SELECT DISTINCT doc, item, shift, xr[k] AS a, dr[k] AS b FROM (SELECT *, unnest(range(1, 6)) AS k FROM met) WHERE w[k] LIKE '#%'),
-        torn AS (SELECT doc, item, shift FROM slots GROUP BY 1, 2, 3, a HAVING count(*) > 1 UNION SELECT doc, item, shift FROM slots GROUP BY 1, 2, 3, b HAVING count(*) > 1),
-        kept AS (SELECT * FROM met WHERE NOT EXISTS (SELECT 1 FROM torn WHERE torn.doc = met.doc AND torn.item = met.item AND torn.shift = met.shift)),
-        changed AS (SELECT doc, item, shift, w, count(DISTINCT {{'a': xr[k], 'b': dr[k]}}) AS n FROM (SELECT *, unnest(range(1, 6)) AS k FROM kept) WHERE w[k] LIKE '#%' AND xr[k] <> dr[k] GROUP BY 1, 2, 3, 4),
-        found AS (SELECT doc, item, count(DISTINCT w) AS matched FROM kept GROUP BY 1, 2),
-        total AS (SELECT id AS item, count(DISTINCT w) AS windows FROM items GROUP BY 1)
-        SELECT doc AS doc_id, item AS item_id, matched, windows, round(matched / windows, 6) AS similarity, CAST(coalesce(c, 0) AS INTEGER) AS changed_slots,
-            CASE WHEN c > 0 THEN 'reparameterised' ELSE 'exact' END AS kind
-        FROM found JOIN total USING (item) LEFT JOIN (SELECT doc, item, max(n) AS c FROM changed GROUP BY 1, 2) USING (doc, item) WHERE matched >= 0.8 * windows""",
+            SELECT 0 AS side, doc_id AS id, translate(coalesce(text, ''), '#' || chr(1) || chr(2) || chr(3) || chr(4) || chr(5), '      ') AS p FROM documents
+            UNION ALL SELECT 1, min(item_id), translate(coalesce(text, ''), '#' || chr(1) || chr(2) || chr(3) || chr(4) || chr(5), '      ') FROM benchmark GROUP BY text HAVING min(item_id) IS NOT NULL),
+        runs AS (SELECT side, id, 0 AS v, regexp_replace(p, '(\\p{{L}}+)', chr(4) || '\\1' || chr(5), 'g') AS p FROM plain
+            UNION ALL SELECT side, id, 1, regexp_replace(regexp_replace(p, '[\\s\\x0B\\p{{Z}}]+', ' ', 'g'), '(\\p{{L}}+)', chr(4) || '\\1' || chr(5), 'g') FROM plain),
+        named AS (SELECT side, id, v, CASE v WHEN 0 THEN regexp_replace(p, '(\\p{{Ll}}\\x05[,;]? |[0-9] )({_NAME_SQL})', '\\1' || chr(1) || '\\2' || chr(3), 'g')
+            ELSE regexp_replace(p, '({_NAME_SQL})', chr(1) || '\\1' || chr(3), 'g') END AS p FROM runs),
+        units AS (SELECT side, id, v, lower(regexp_replace(regexp_replace(p, '([0-9]) ?\\x04((?i:{"|".join(decontaminate.UNITS)}))\\x05([^0-9]|$)', '\\1 ' || chr(2) || '\\2' || chr(3) || '\\3', 'g'),
+            '(\\x04(?i:{"|".join(decontaminate.NUMBER_WORDS)})\\x05) \\x04((?i:{"|".join(u for u in decontaminate.UNITS if len(u) > 1)}))\\x05([^0-9]|$)', '\\1 ' || chr(2) || '\\2' || chr(3) || '\\3', 'g')) AS m FROM named),
+        words AS (SELECT side, id, v,
+            regexp_extract_all(translate(m, chr(4) || chr(5), ''), '[\\x01\\x02][^\\x03]*\\x03|[0-9]+(?:[.,:/][0-9]+)*|\\p{{L}}+') AS r,
+            regexp_extract_all(translate(regexp_replace(regexp_replace(regexp_replace(regexp_replace(m, '\\x01[^\\x03]*\\x03', '#p', 'g'), '\\x02[^\\x03]*\\x03', '#u', 'g'),
+                '[0-9]+(?:[.,:/][0-9]+)*', '#n', 'g'), '\\x04(?:{"|".join(decontaminate.NUMBER_WORDS)})\\x05', '#n', 'g'), chr(4) || chr(5), ''), '#[pun]|\\p{{L}}+') AS t FROM units),
+        items AS (SELECT id AS item, t, arg_min(r, v) AS r, min(v) AS version, least(len(t), 5) AS size FROM words WHERE side = 1 AND len(t) > 0 GROUP BY id, t),
+        item_windows AS (
+            SELECT *, 2 * len(list_filter(w, lambda x: x NOT LIKE '#%')) >= size AS usable
+            FROM (SELECT item, version, size, i, t[i : i + size - 1] AS w, r[i : i + size - 1] AS r FROM (SELECT *, unnest(range(1, len(t) - size + 2)) AS i FROM items))),
+        wanted AS (SELECT *, CASE WHEN usable THEN [] ELSE r END AS own FROM item_windows JOIN (SELECT item, bool_or(usable) AS has FROM item_windows GROUP BY 1) USING (item) WHERE usable OR (NOT has AND version = 0)),
+        total AS (SELECT item, version, count(DISTINCT {{'w': w, 'own': own}}) AS windows FROM wanted GROUP BY 1, 2),
+        texts AS (SELECT id AS doc, v AS reading, r, t, size FROM words, (SELECT DISTINCT size FROM items) WHERE side = 0 AND len(t) >= size
+            AND (v = 0 OR EXISTS (SELECT 1 FROM items WHERE list_contains(t, '#p')))),
+        doc_windows AS (SELECT doc, reading, size, i, t[i : i + size - 1] AS w, r[i : i + size - 1] AS r FROM (SELECT *, unnest(range(1, len(t) - size + 2)) AS i FROM texts)),
+        met AS (SELECT DISTINCT doc, item, version, reading, d.i - x.i AS shift, w, own,
+                list_filter(list_transform(range(1, size + 1), lambda k: {{'slot': w[k] LIKE '#%', 'a': x.r[k], 'b': d.r[k]}}), lambda s: s.slot) AS slots
+            FROM doc_windows d JOIN wanted x USING (size, w) WHERE usable OR d.r = x.r),
+        pairs AS (SELECT DISTINCT doc, item, version, reading, shift, s.a AS a, s.b AS b FROM (SELECT *, unnest(slots) AS s FROM met)),
+        torn AS (SELECT doc, item, version, reading, shift, coalesce(list(a) FILTER (na > 1), []) AS torn_a, coalesce(list(b) FILTER (nb > 1), []) AS torn_b FROM (
+            SELECT *, count(*) OVER (PARTITION BY doc, item, version, reading, shift, a) AS na, count(*) OVER (PARTITION BY doc, item, version, reading, shift, b) AS nb FROM pairs) WHERE na > 1 OR nb > 1 GROUP BY ALL),
+        kept AS (SELECT m.* FROM met m LEFT JOIN torn USING (doc, item, version, reading, shift)
+            WHERE torn_a IS NULL OR len(list_filter(slots, lambda s: s.a <> s.b AND (list_contains(torn_a, s.a) OR list_contains(torn_b, s.b)))) = 0),
+        found AS (SELECT doc, item, version, count(DISTINCT {{'w': w, 'own': own}}) AS matched, max(len(list_distinct(list_filter(slots, lambda s: s.a <> s.b)))) AS changed FROM kept GROUP BY 1, 2, 3),
+        best AS (SELECT doc, item, matched, windows, changed FROM found JOIN total USING (item, version) WHERE matched >= 0.8 * windows QUALIFY row_number() OVER (PARTITION BY doc, item ORDER BY version) = 1)
+        SELECT doc AS doc_id, item AS item_id, matched, windows, round(matched / windows, 6) AS similarity, CAST(changed AS INTEGER) AS changed_slots,
+            CASE WHEN changed > 0 THEN 'reparameterised' ELSE 'exact' END AS kind FROM best""",
     "op9_suffix_dedup": """
         WITH d AS (SELECT doc_id, encode(coalesce(text, '')) AS b FROM documents),
         w AS (SELECT doc_id, s, md5(b[s + 1 : s + 400]) AS h FROM (SELECT *, unnest(range(0, octet_length(b) - 399)) AS s FROM d WHERE octet_length(b) >= 400)),
