@@ -71,10 +71,10 @@ def marker_points(text: Column, markers: Sequence[tuple[str, int]]) -> Column:
 
 #: What speaks for a final and for a proposed action, and for a redline, with weights.
 FINAL = (
-    (r"final\s+(?:order|decision|determination)", 4), (r"order\s+(?:granting|approving|denying)", 3), (r"it\s+is\s+(?:hereby\s+)?ordered", 4), (r"so\s+ordered", 5),
+    (r"final\s+(?:order|decision|determination)", 4), (r"order\s+(?:granting|approving|denying)", 3), (r"approved\s+(?:by|the)\s+(?:the\s+)?commission", 3), (r"it\s+is\s+(?:hereby\s+)?ordered", 4), (r"so\s+ordered", 5),
     (r"(?:this|the\s+)(?:order|commission\s+order)\s+(?:is|becomes?)\s+(?:final|effective)", 3),
 )
-PROPOSED = ((r"proposed\s+(?:order|rates?|tariff|revision)", 3), (r"draft\s+(?:order|decision)", 4), (r"pending\s+(?:approval|decision|order)", 2), (r"subject\s+to\s+(?:final\s+)?(?:commission\s+)?approval", 2))
+PROPOSED = ((r"proposed\s+(?:order|rates?|tariff|revision)", 3), (r"(?:notice\s+of\s+)?proposed\s+(?:rule|rulemaking)", 3), (r"draft\s+(?:order|decision)", 4), (r"pending\s+(?:approval|decision|order)", 2), (r"subject\s+to\s+(?:final\s+)?(?:commission\s+)?approval", 2))
 REDLINE = ((r"(?:marked|redline|red\s*line)", 2), (r"(?:strike|stricken|strikethrough|deleted)", 3), (r"(?:inserted|added|new\s+text|underline)", 2), (r"(?:increase|decrease)\s+(?:from|to)\s+[$¢]", 1))
 
 
