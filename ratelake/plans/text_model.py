@@ -1,35 +1,69 @@
-"""A baseline text classifier on Spark ML."""
+"""A baseline text classifier on Spark ML, judged on a split or by cross-validation."""
 
 from __future__ import annotations
 
-from pyspark.ml import Pipeline
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import IDF, HashingTF, NGram, RegexTokenizer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ratelake.operators.splits import folds
+from ratelake.operators.stages import staged
+
 FEATURES = 1 << 14
+NAMES = ("words", "pairs")
 
 
-def baseline() -> Pipeline:
-    """Hashed counts of words and word pairs, weighed by rarity, into a logistic regression with balanced classes."""
-    stages = [RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+"), NGram(n=2, inputCol="words", outputCol="pairs")]
-    for name in ("words", "pairs"):
-        stages += [HashingTF(numFeatures=FEATURES, inputCol=name, outputCol=f"{name}_n"), IDF(inputCol=f"{name}_n", outputCol=f"{name}_w", minDocFreq=2)]
-    return Pipeline(stages=[*stages, VectorAssembler(inputCols=["words_w", "pairs_w"], outputCol="features"), LogisticRegression(weightCol="weight", maxIter=20, regParam=0.01)])
+def features(rows: DataFrame) -> DataFrame:
+    """``rows`` (with text) with hashed counts of words and of word pairs in place of the text, written once: whatever learns from
+    them reads no text again."""
+    out = RegexTokenizer(inputCol="text", outputCol="words", pattern=r"\s+").transform(rows.withColumn("text", F.coalesce("text", F.lit(""))))
+    out = NGram(n=2, inputCol="words", outputCol="pairs").transform(out)
+    for name in NAMES:
+        out = HashingTF(numFeatures=FEATURES, inputCol=name, outputCol=f"{name}_n").transform(out)
+    return staged(out.select(*(c for c in rows.columns if c != "text"), *(f"{n}_n" for n in NAMES)), "features")
 
 
-def evaluate_baseline(rows: DataFrame) -> DataFrame:
-    """One row (n_train, n_test, n_correct) for ``rows`` (doc_id, text, label); the split goes by a hash of the id, so it stays the same."""
-    rows = rows.where("label IS NOT NULL").withColumn("text", F.coalesce("text", F.lit(""))).withColumn("test", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0)
-    train = rows.where("NOT test")
+def judge(train: DataFrame, test: DataFrame) -> DataFrame:
+    """``test`` with prediction, after a logistic regression with balanced classes on counts weighed by their rarity in ``train``
+    (both with label and the counts of ``features``)."""
     sizes = {r["label"]: r["count"] for r in train.groupBy("label").count().collect()}  # one row for each class
     total = sum(sizes.values())
     weight = F.lit(1.0)
     for label, n in sizes.items():
         weight = F.when(F.col("label") == label, total / (len(sizes) * n)).otherwise(weight)
-    train = train.select("text", F.col("label").cast("double").alias("label"), weight.alias("weight")).persist()  # read by every step of the fit
-    model = baseline().fit(train)
-    train.unpersist()
-    done = model.transform(rows.where("test").select("text", F.col("label").cast("double").alias("label"), F.lit(1.0).alias("weight")))
-    return done.agg(F.lit(total).cast("bigint").alias("n_train"), F.count("*").alias("n_test"), F.sum((F.col("prediction") == F.col("label")).cast("bigint")).alias("n_correct"))
+    stages = [IDF(inputCol=f"{n}_n", outputCol=f"{n}_w", minDocFreq=2).fit(train) for n in NAMES]
+    stages.append(VectorAssembler(inputCols=[f"{n}_w" for n in NAMES], outputCol="features"))
+
+    def ready(rows: DataFrame) -> DataFrame:
+        for stage in stages:
+            rows = stage.transform(rows)
+        return rows
+
+    learnt = ready(train).select(F.col("label").cast("double").alias("label"), weight.alias("weight"), "features").persist()  # read by every step of the fit
+    model = LogisticRegression(weightCol="weight", maxIter=20, regParam=0.01).fit(learnt)
+    learnt.unpersist()
+    return model.transform(ready(test))
+
+
+def evaluate_baseline(rows: DataFrame) -> DataFrame:
+    """One row (n_train, n_test, n_correct) for ``rows`` (doc_id, text, label); the split goes by a hash of the id, so it stays the same."""
+    rows = features(rows.where("label IS NOT NULL").withColumn("test", F.pmod(F.xxhash64("doc_id"), F.lit(4)) == 0))
+    train = rows.where("NOT test")
+    done = judge(train, rows.where("test"))
+    return done.agg(F.lit(train.count()).cast("bigint").alias("n_train"), F.count("*").alias("n_test"), F.sum((F.col("prediction") == F.col("label")).cast("bigint")).alias("n_correct"))
+
+
+def cross_validate(rows: DataFrame, k: int = 3) -> DataFrame:
+    """fold, n, n_correct and accuracy of each of ``k`` folds of ``rows`` (doc_id, text, label), each judged by what the others teach.
+
+    Folds are exact shares of every class by hash rank, so scores repeat; classes with fewer than ``k`` rows are learnt in
+    every fold and judged in none. Features are made once, weights by rarity in each fold anew.
+    """
+    parted = features(folds(rows.where("label IS NOT NULL"), "label", "doc_id", k))
+    out = None
+    for i in range(k):
+        done = judge(parted.where(F.coalesce(F.col("fold") != i, F.lit(True))), parted.where(F.col("fold") == i))
+        hits = done.agg(F.lit(i).alias("fold"), F.count("*").alias("n"), F.coalesce(F.sum((F.col("prediction") == F.col("label")).cast("bigint")), F.lit(0)).alias("n_correct"))
+        out = hits if out is None else out.unionByName(hits)
+    return out.withColumn("accuracy", F.round(F.col("n_correct") / F.col("n"), 6))

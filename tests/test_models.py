@@ -146,3 +146,11 @@ def test_stream_and_batch_of_stale_claims_agree(spark, tmp_path):
     run = stale_claims_stream(stream, 45).writeStream.format("parquet").option("path", str(tmp_path / "out")).option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
     run.awaitTermination(240)
     assert sorted(tuple(r) for r in spark.read.parquet(str(tmp_path / "out")).collect()) == want
+
+
+def test_cross_validation_repeats(spark):
+    from ratelake.plans.model_queries import cross_validated_model
+
+    first, again = (sorted(map(tuple, cross_validated_model(spark, "/root/testdata/sf0.01").collect())) for _ in range(2))
+    assert first == again and [r[0] for r in first] == [0, 1, 2] and max(r[1] for r in first) - min(r[1] for r in first) <= 2
+    assert all(r[3] > 0.75 for r in first)
