@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from .latest import top_of
 from .statuses import first_of_rules
 
 SPANS = "span int, start_page bigint, end_page bigint, doc_type string, leaves array<string>, titles array<string>"
@@ -107,22 +108,34 @@ def supersede(records: DataFrame, keys: Sequence[str], order: Sequence[str], nam
     return records.withColumn("superseded_by", F.lead(name).over(following))
 
 
-def family_links(documents: DataFrame, families: DataFrame, document: str, family: str, least: int = 80) -> DataFrame:
+def family_links(documents: DataFrame, families: DataFrame, document: str, family: str, least: int = 80, top: int | None = None) -> DataFrame:
     """Families that a document may belong to, best first: 100 points for a common leaf, 80 for the family's code among the
     document's, 4 for each common title word from two on, 20 at most; ``least`` points are needed.
 
     ``documents`` and ``families`` have ``document`` or ``family`` and arrays leaves, codes and words. Sides meet by
-    equal leaf or code, one of which every match of 80 points has; words alone give too few.
+    equal leaf or code, one of which every match of 80 points has; words alone give too few. With ``top``, only the best so many of each
+    document: families with the same leaves, codes and words have the same points, so the first ``top`` of them by name are
+    enough, and documents that do not differ in them are scored once.
     """
+    features = ["leaves", "codes", "words"]
+
     def rows(side: DataFrame, name: str) -> DataFrame:
         both = F.flatten(F.array(F.transform("leaves", lambda x: F.struct(F.lit("leaf").alias("kind"), x.alias("value"))), F.transform("codes", lambda x: F.struct(F.lit("code").alias("kind"), x.alias("value")))))
         return side.select(name, F.explode(F.array_distinct(both)).alias("x")).select(name, "x.*")
 
-    met = rows(documents, document).join(rows(families, family), ["kind", "value"]).groupBy(document, family).agg(
+    asked = documents
+    if top is not None:
+        families = top_of(families.select(family, *features), features, [family], top)
+        asked = documents.groupBy(*features).agg(F.min(document).alias(document))
+    met = rows(asked, document).join(rows(families, family), ["kind", "value"]).groupBy(document, family).agg(
         F.max(F.when(F.col("kind") == "leaf", 100).otherwise(0)).alias("leaf"), F.max(F.when(F.col("kind") == "code", 80).otherwise(0)).alias("code")
     )
-    words = met.join(documents.select(document, F.col("words").alias("w")), document).join(families.select(family, F.col("words").alias("v")), family)
+    words = met.join(asked.select(document, F.col("words").alias("w")), document).join(families.select(family, F.col("words").alias("v")), family)
     shared = F.size(F.array_intersect("w", "v"))
     score = F.col("leaf") + F.col("code") + F.when(shared >= 2, F.least(F.lit(20), shared * 4)).otherwise(0)
     ranked = words.select(document, family, score.alias("score")).where(F.col("score") >= least)
-    return ranked.withColumn("rank", F.row_number().over(Window.partitionBy(document).orderBy(F.desc("score"), family)))
+    ranked = ranked.withColumn("rank", F.row_number().over(Window.partitionBy(document).orderBy(F.desc("score"), family)))
+    if top is None:
+        return ranked
+    best = ranked.where(F.col("rank") <= top).join(asked, document).drop(document)
+    return documents.select(document, *features).join(best, features).select(document, family, "score", "rank")

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window
 from ratelake.functions import parsing
 from ratelake.operators import documents, statuses
 from ratelake.operators.latest import first_of, top_of, union_all
+from ratelake.operators.ranks import rank_in
 
 from .registry import query, table, values
 
@@ -61,7 +62,7 @@ def family_link_suggestions(spark: SparkSession, d: str) -> DataFrame:
     )
     code = F.when(c("s_suppkey") % 3 == 0, "BUILDING").when(c("s_suppkey") % 3 == 1, "MACHINERY").otherwise("NONE")
     families = table(spark, d, "supplier").select("s_suppkey", F.array(c("s_nationkey").cast("string")).alias("leaves"), F.array(code).alias("codes"), words(F.lit("rate power "), c("s_suppkey") % 4, F.lit(" service")).alias("words"))
-    return documents.family_links(docs, families, "c_custkey", "s_suppkey").where("rank <= 3").select("c_custkey", "s_suppkey", "score", "rank")
+    return documents.family_links(docs, families, "c_custkey", "s_suppkey", top=3).select("c_custkey", "s_suppkey", "score", "rank")
 
 
 @query("""SELECT o_custkey, count(*) AS n_missing, min(o_orderkey) AS first_order FROM orders o WHERE o_orderdate IS NOT NULL AND NOT EXISTS (SELECT 1 FROM lineitem WHERE l_orderkey = o_orderkey AND l_returnflag = 'R') GROUP BY 1""")
@@ -317,8 +318,8 @@ def rider_repair_plan(spark: SparkSession, d: str) -> DataFrame:
     gaps = table(spark, d, "orders").groupBy("o_custkey").agg(F.count(F.when(c("o_orderstatus") == "P", 1)).alias("z"), F.count(F.when(c("o_orderstatus") == "O", 1)).alias("m"))
     queue = gaps.where("z + m > 0").withColumn("repair", statuses.first_of_rules([((c("z") > 0) & (c("m") > 0), "reparse_then_search"), (c("z") > 0, "reparse_zero_charge_versions")], "search_missing_versions"))
     queue = queue.withColumn("weight", c("z") * 10 + c("m") * 12)
-    place = F.row_number().over(Window.partitionBy("repair").orderBy(F.desc("weight"), "o_custkey"))
-    return queue.select("o_custkey", "repair", (c("weight") + F.when((c("z") > 0) & (c("m") > 0), 6).otherwise(0)).alias("priority"), place.alias("place"))
+    ranked = rank_in(queue, ["repair"], [F.desc("weight"), c("o_custkey")])
+    return ranked.select("o_custkey", "repair", (c("weight") + F.when((c("z") > 0) & (c("m") > 0), 6).otherwise(0)).alias("priority"), c("place").cast("int").alias("place"))
 
 
 @query("""WITH w AS (SELECT doc_id, CASE WHEN text IS NULL THEN [] ELSE string_split(lower(text), ' ') END AS w FROM documents),

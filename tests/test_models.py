@@ -154,3 +154,28 @@ def test_cross_validation_repeats(spark):
     first, again = (sorted(map(tuple, cross_validated_model(spark, "/root/testdata/sf0.01").collect())) for _ in range(2))
     assert first == again and [r[0] for r in first] == [0, 1, 2] and max(r[1] for r in first) - min(r[1] for r in first) <= 2
     assert all(r[3] > 0.75 for r in first)
+
+
+def test_ranks_equal_windows_and_hot_keys_are_split(spark):
+    from pyspark.sql.window import Window
+
+    from ratelake.operators.ranks import rank_in
+
+    rng = random.Random(9)
+    rows = [(rng.choice(["hot"] * 8 + ["a", "b", None]), rng.randint(0, 5), i, "x") for i in range(2000)]
+    df = spark.createDataFrame(rows, "k string, v int, id int, n string")
+    window = Window.partitionBy("k").orderBy(F.desc("v"), "id")
+    want = {r["id"]: r["p"] for r in df.withColumn("p", F.row_number().over(window)).collect()}
+    assert {r["id"]: r["place"] for r in rank_in(df, ["k"], [F.desc("v"), F.col("id")]).collect()} == want
+    assert rank_in(df.limit(0), ["k"], [F.col("id")]).count() == 0
+
+
+def test_best_families_of_classes_equal_all(spark):
+    from ratelake.operators.documents import family_links
+
+    rng = random.Random(10)
+    some = lambda pool, n: sorted(rng.sample(pool, rng.randint(0, n)))
+    side = lambda n, name: spark.createDataFrame([(i, some(list("123456"), 2), some(list("AB"), 1), some(["rate", "power", "new", "old"], 3)) for i in range(n)], f"{name} int, leaves array<string>, codes array<string>, words array<string>")
+    docs, families = side(120, "d"), side(150, "f")
+    every = family_links(docs, families, "d", "f").where("rank <= 3")
+    assert sorted(map(tuple, family_links(docs, families, "d", "f", top=3).collect())) == sorted(map(tuple, every.collect()))
