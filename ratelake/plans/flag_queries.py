@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.functions import parsing
-from ratelake.operators import flags
+from ratelake.operators import doctypes, flags
 from ratelake.operators.documents import FINAL, PROPOSED
 
 from .registry import query, table
@@ -94,3 +94,41 @@ def damaged_scan(text: Column) -> Column:
     """A text as a bad scan might have it."""
     out = F.regexp_replace(text, "\\n", " ■■\\n-----\\n S12.50 f!/kWh\\n Mav 3 O.75   1.5 0\\n")
     return F.concat(out, F.lit(" Januarv 1arge 14.\n00 0.0067 tf /kWh £ 7? kwh (l.25 $ 3.10"))
+
+
+#: What tells the kinds of texts in the tables apart, by role.
+_TYPES = {
+    "ORDER": {"strong": (r"\bordered\b", r"so\s+ordered"), "weak": (r"commission", r"approv"), "negative": (r"\bdraft\b", r"redline")},
+    "TARIFF": {"strong_header": (r"leaf\s+no", r"schedule\s+[a-z]+"), "strong": (r"\bschedule\s+[A-Z]+-[0-9]+",), "weak": (r"charge", r"per\s+(?:month|kwh)", r"effective"), "negative": (r"in\s+the\s+matter",)},
+    "LETTER": {"strong_header": (r"^dear\b",), "weak": (r"\bfree\b", r"permission", r"[0-9]{3}-[0-9]{4}"), "negative": (r"\bcharge\b",)},
+    "FILING": {"strong": (r"compliance\s+filing", r"docket\s+no"), "weak": (r"compliance", r"report")},
+}
+
+
+def _count_sql(text: str, patterns: tuple) -> str:
+    return " + ".join(f"len(regexp_extract_all({text}, '(?i){p}'))" for p in patterns) or "0"
+
+
+def _type_sql(name: str) -> str:
+    r = _TYPES[name]
+    strong = f"({_count_sql('x', r.get('strong', ()))} + {_count_sql('h', r.get('strong_header', ()))})"
+    shift = {"TARIFF": "CASE WHEN n_lines >= 8 THEN 1.0 ELSE 0 END", "LETTER": "CASE WHEN n_lines >= 5 THEN -1.5 ELSE 0 END"}.get(name, "0")
+    fits = "n_lines >= 8" if name == "TARIFF" else "false"
+    score = f"CAST({strong} * 3.0 + ({_count_sql('x', r.get('weak', ()))}) * 1.0 - ({_count_sql('x', r.get('negative', ()))}) * 2.0 + {shift} AS DOUBLE)"
+    return f"SELECT doc_id, '{name}' AS type, {list(_TYPES).index(name)} AS place, {score} AS score, {strong} > 0 AS strong, {fits} AS fits FROM t"
+
+
+@query(f"""WITH s AS (SELECT doc_id, {_TEXT_SQL} AS y, string_split(coalesce(text, ''), chr(10)) AS lines FROM documents),
+    t AS (SELECT doc_id, list_last(string_split(y, chr(10))) || chr(10) || y || chr(10) || lines[len(lines)] AS x, list_last(string_split(y, chr(10))) || chr(10) || substring(y, 1, 120) AS h, len(lines) AS n_lines FROM s),
+    a AS ({" UNION ALL ".join(map(_type_sql, _TYPES))}),
+    r AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS k, lead(score) OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS next, lead(type) OVER (PARTITION BY doc_id ORDER BY score DESC, place) AS second FROM a)
+    SELECT doc_id, CASE WHEN score > 0 THEN type ELSE 'UNKNOWN' END AS label, score, CASE WHEN score > 0 THEN score - greatest(next, 0) ELSE 0 END AS margin, CASE WHEN score > 0 AND next > 0 THEN second END AS runner_up,
+        CAST(round(CASE WHEN score > 0 THEN CASE WHEN strong THEN 0.8 ELSE 0.5 END + CASE WHEN fits THEN 0.05 ELSE 0 END + CASE WHEN score - greatest(next, 0) >= 3 THEN 0.1 ELSE 0 END ELSE 0.2 END, 3) AS DOUBLE) AS confidence FROM r WHERE k = 1""")
+def document_types_by_role(spark: SparkSession, d: str) -> DataFrame:
+    """The type of each whole text by strong, header, weak and negative patterns and by layout, with its margin over the next."""
+    lines = F.split(F.coalesce("text", F.lit("")), "\n", -1)
+    docs = table(spark, d, "documents").select("doc_id", _text().alias("x"), F.element_at(lines, -1).alias("last"), F.size(lines).alias("n_lines"))
+    title = F.element_at(F.split("x", "\n", -1), -1)
+    layout = {"TARIFF": [(F.col("n_lines") >= 8, 1.0)], "LETTER": [(F.col("n_lines") >= 5, -1.5)]}
+    rows = docs.select("doc_id", doctypes.type_scores(title, F.col("x"), F.col("last"), _TYPES, layout).alias("scores"))
+    return rows.select("doc_id", doctypes.best_type(F.col("scores")).alias("b")).select("doc_id", "b.label", "b.score", "b.margin", "b.runner_up", "b.confidence")

@@ -230,3 +230,31 @@ def daily_usage_range_sum(spark: SparkSession, d: str) -> DataFrame:
     points = table(spark, d, "events").select("user_id", F.to_date("ts").alias("day"), "value")
     out = range_sum(points, ranges, ["user_id"], "day", "a", "b", "value", "kwh")
     return out.select("bill_id", "user_id", F.col("a").cast("string").alias("a"), F.round("kwh", 6).alias("kwh"))
+
+
+#: Families with a demand charge given twice, a credit a kWh and one a bill, and time-of-use rates that meet usage without periods.
+_KINDS = [
+    (1, 1, "fixed", "Basic", 10.0, "$/month", None), (2, 1, "energy_block", "Energy", 0.1, "$/kWh", None), (3, 1, "demand", "Demand", 5.0, "$/kW", None), (4, 1, "demand", "Demand", 5.0, "$/kW", None),
+    (5, 2, "energy_block", "Energy", 12.0, "cents/kWh", None), (6, 2, "credit", "Credit", 0.02, "$/kWh", None), (7, 2, "credit", "Bill credit", 3.0, "$/month", None),
+    (8, 3, "tou_energy", "On peak", 0.3, "$/kWh", "on_peak"), (9, 3, "tou_energy", "Off peak", 0.1, "$/kWh", "off_peak"), (10, 3, "fixed", "Basic", 8.0, "$/month", None),
+]
+
+
+@query(f"""WITH u AS (SELECT user_id, week, kwh, user_id % 3 AS f FROM ({_WEEKS})),
+    b AS (SELECT *, CASE f WHEN 0 THEN 10.0::DOUBLE + 0.1::DOUBLE * kwh + 5.0::DOUBLE * kwh / 50 WHEN 1 THEN 0.12::DOUBLE * kwh - 0.02::DOUBLE * kwh - 3.0::DOUBLE ELSE 8.0::DOUBLE + 0.2::DOUBLE * kwh END AS total,
+        CASE f WHEN 0 THEN 0.1::DOUBLE * kwh WHEN 1 THEN 0.12::DOUBLE * kwh ELSE 0.2::DOUBLE * kwh END AS energy, CASE f WHEN 0 THEN 3 WHEN 1 THEN 3 ELSE 2 END AS n FROM u)
+    SELECT user_id, CAST(week AS VARCHAR) AS week, ['demand', 'credit', 'average'][f + 1] AS family_key, round(energy, 4) AS energy_subtotal, round(total, 4) AS total, CAST(n AS BIGINT) AS n_lines FROM b""")
+def demand_credit_average(spark: SparkSession, d: str) -> DataFrame:
+    """Weekly bills with demand charges that count once, credits a kWh and a bill, and the average of time-of-use rates where usage has no periods."""
+    family = F.element_at(F.array(*map(F.lit, ("demand", "credit", "average"))), (F.col("user_id") % 3 + 1).cast("int"))
+    usage = weekly_usage(spark, d).select(
+        F.concat_ws("|", F.col("user_id").cast("string"), F.col("week").cast("string")).alias("usage_id"), "user_id", "week", F.col("week").alias("service_date"),
+        F.col("kwh").alias("monthly_kwh"), (F.col("kwh") / 50).alias("peak_kw"), family.alias("family_key"),
+    )
+    versions = values(spark, [(1, "demand", "2020-01-01", "approved"), (2, "credit", "2020-01-01", "approved"), (3, "average", "2020-01-01", "approved")], "version_id bigint, family_key string, effective_start string, status string")
+    charges = values(spark, _KINDS, "charge_id bigint, version_id bigint, charge_type string, charge_label string, rate_value double, rate_unit string, tou_period string")
+    charges = charges.withColumns({c: F.lit(None).cast("double") for c in ("tier_min", "tier_max")}).withColumns({c: F.lit(None).cast("string") for c in ("season", "customer_class")})
+    billed = billing.bills(usage, versions, charges.withColumn("confidence_score", F.lit(1.0)), places=6)
+    return billed.join(usage.select("usage_id", "user_id", "week"), "usage_id").select(
+        "user_id", F.col("week").cast("string").alias("week"), "family_key", F.round("energy_subtotal", 4).alias("energy_subtotal"), F.round("total", 4).alias("total"), "n_lines"
+    )

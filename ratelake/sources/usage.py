@@ -78,3 +78,32 @@ def read_simple_xml(spark: SparkSession, path: str, tag: str = "interval") -> Da
 
 def _intervals(rows: DataFrame) -> DataFrame:
     return rows.select("file", _timestamp(F.col("timestamp")).alias("timestamp"), "kwh", "kw").where("timestamp IS NOT NULL AND kwh IS NOT NULL")
+
+
+def read_usage(spark: SparkSession, path: str) -> DataFrame:
+    """Usage in whatever form the files at ``path`` have, by their suffix: JSON, CSV or XML, intervals or months.
+
+    Intervals give timestamp, kwh and kw, months monthly_kwh and peak_kw; the columns of the other kind are null. ``path`` is one file,
+    or a folder or pattern of files of one suffix. Other suffixes are an error.
+    """
+    suffix = path.rstrip("/*").rsplit(".", 1)[-1].lower()
+    if suffix == "xml":
+        return _both(_green_or_simple(spark, path))
+    if suffix == "csv":
+        names = {c.lower() for c in spark.read.csv(path, header=True).columns}
+        return _both(read_interval_csv(spark, path) if {"timestamp", "kwh"} <= names else read_monthly_csv(spark, path))
+    if suffix == "json":
+        intervals, months = read_interval_json(spark, path), read_monthly_json(spark, path)
+        return _both(intervals.where("timestamp IS NOT NULL")).unionByName(_both(months))
+    raise ValueError("usage files are JSON, CSV or XML")
+
+
+def _green_or_simple(spark: SparkSession, path: str) -> DataFrame:
+    """Green Button readings; of files without any, simple intervals."""
+    found = read_green_button(spark, path)
+    return read_simple_xml(spark, path) if found.isEmpty() else found
+
+
+def _both(rows: DataFrame) -> DataFrame:
+    kinds = {"timestamp": "timestamp", "kwh": "double", "kw": "double", "monthly_kwh": "double", "peak_kw": "double"}
+    return rows.select("file", *(F.col(c).cast(t).alias(c) if c in rows.columns else F.lit(None).cast(t).alias(c) for c, t in kinds.items()))

@@ -89,3 +89,20 @@ def test_repairs_equal_python_over_whole_texts(spark):
 def test_repairs_by_hand(spark, raw, fixed):
     got = spark.createDataFrame([(raw,)], "x string").select(parsing.repair_scan(F.col("x")).alias("y")).first()["y"]
     assert got == fixed
+
+
+def test_types_by_role(spark):
+    from ratelake.operators import doctypes
+
+    rules = {"A": {"strong": ("alpha",), "negative": ("stop",)}, "B": {"strong_header": ("beta",), "weak": ("beta", "gamma")}, "C": {"weak": ("gamma",)}}
+    rows = [("", "alpha alpha", ""), ("beta", "", None), ("", "x" * 130 + " beta", ""), ("", "gamma", ""), ("", "alpha stop stop", "gamma"), (None, None, None)]
+    df = spark.createDataFrame([(i, *r) for i, r in enumerate(rows)], "i int, t string, f string, l string")
+    layout = {"C": [(F.col("i") == 3, 1.0)], "A": [(F.col("i") == 0, -0.5)]}
+    best = df.select("i", doctypes.best_type(doctypes.type_scores(F.col("t"), F.col("f"), F.col("l"), rules, layout)).alias("b")).select("i", "b.*")
+    got = {r["i"]: (r["label"], r["confidence"], r["score"], r["margin"], r["runner_up"]) for r in best.collect()}
+    assert got == {
+        0: ("A", 0.9, 5.5, 5.5, None), 1: ("B", 0.9, 4.0, 4.0, None), 2: ("B", 0.5, 1.0, 1.0, None), 3: ("C", 0.55, 2.0, 1.0, "B"),
+        4: ("B", 0.5, 1.0, 0.0, "C"), 5: ("UNKNOWN", 0.2, 0.0, 0.0, None),
+    }
+    with pytest.raises(ValueError):
+        doctypes.type_scores(F.col("t"), F.col("f"), F.col("l"), {"A": {"maybe": ("x",)}})

@@ -44,3 +44,20 @@ def test_reports_in_three_forms(spark, tmp_path):
     assert spark.read.option("header", True).csv(paths["csv"]).columns == ["n", "s", "x"]
     lines = [r["value"] for kind in ("head", "rows") for r in spark.read.text(f"{paths['md']}/{kind}").collect()]
     assert lines[:2] == ["| n | s | x |", "| --- | --- | --- |"] and sorted(lines[2:]) == ["| 1 | a\\|b | [1,2] |", "| 2 |  |  |"]
+
+
+def test_usage_by_suffix(spark, tmp_path):
+    import pytest
+
+    (tmp_path / "a.xml").write_text(GREEN)
+    (tmp_path / "b.xml").write_text('<r><interval timestamp="2024-01-01T00:00:00" kwh="1.5" kw="6"/></r>')
+    (tmp_path / "i.json").write_text('[{"timestamp": "2024-01-01T00:00:00", "kwh": 1.0}]')
+    (tmp_path / "m.json").write_text('{"monthly_kwh": 900, "peak_kw": 5}')
+    (tmp_path / "i.csv").write_text("kwh,timestamp\n1,2024-01-01T00:00:00\n")
+    (tmp_path / "m.csv").write_text("monthly_kwh\n700\n")
+    read = lambda name: [(r["kwh"], r["kw"], r["monthly_kwh"], r["peak_kw"]) for r in usage.read_usage(spark, str(tmp_path / name)).collect()]
+    assert [round(k, 6) for k, *_ in read("a.xml")] == [0.11, 0.1] and read("b.xml") == [(1.5, 6.0, None, None)]
+    assert read("i.json") == [(1.0, None, None, None)] and read("m.json") == [(None, None, 900.0, 5.0)]
+    assert read("i.csv") == [(1.0, None, None, None)] and read("m.csv") == [(None, None, 700.0, None)]
+    with pytest.raises(ValueError):
+        usage.read_usage(spark, str(tmp_path / "x.pdf"))
