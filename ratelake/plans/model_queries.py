@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.operators import knn, patterns, splits
+from ratelake.sources.records import MISSING, normalise
 from ratelake.sources.upsert import merged
 from ratelake.streaming.recovery import stale_claims_batch
 
@@ -78,14 +79,14 @@ def knn_self_excluded(spark: SparkSession, d: str) -> DataFrame:
 @query("""WITH old AS (SELECT o_orderkey AS k, CAST(date_part('year', o_orderdate) AS INTEGER) AS y, o_totalprice AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 3 <> 0),
     fresh AS (SELECT o_orderkey AS k, CAST(date_part('year', o_orderdate) AS INTEGER) AS y, CASE WHEN o_orderkey % 5 = 0 THEN o_totalprice + 1 ELSE o_totalprice END AS p, o_orderstatus AS s FROM orders WHERE o_orderkey % 2 = 0),
     b AS (SELECT coalesce(o.y, n.y) AS y, CASE WHEN o.k IS NULL THEN 'inserted' WHEN n.k IS NULL THEN 'kept' WHEN o.p = n.p AND o.s = n.s THEN 'skipped' ELSE 'updated' END AS change, coalesce(n.p, o.p) AS p FROM old o FULL JOIN fresh n ON o.k = n.k AND o.y = n.y)
-    SELECT CAST(y AS BIGINT) AS year, change, count(*) AS n, round(sum(p), 1) AS total FROM b GROUP BY 1, 2""")
+    SELECT CAST(y AS BIGINT) AS year, change, count(*) AS n, round(sum(p), 2) AS total FROM b GROUP BY 1, 2""")
 def upsert_changes(spark: SparkSession, d: str) -> DataFrame:
     """What an upsert would insert, update, skip and keep in each partition."""
     c = F.col
     rows = table(spark, d, "orders").select(c("o_orderkey").alias("k"), F.year("o_orderdate").alias("y"), c("o_totalprice").alias("p"), c("o_orderstatus").alias("s"))
     fresh = rows.where(c("k") % 2 == 0).withColumn("p", F.when(c("k") % 5 == 0, c("p") + 1).otherwise(c("p")))
     both = merged(rows.where(c("k") % 3 != 0), fresh, ["k", "y"], ["p"])
-    return both.groupBy(c("y").cast("bigint").alias("year"), "change").agg(F.count("*").alias("n"), F.round(F.sum("p"), 1).alias("total"))
+    return both.groupBy(c("y").cast("bigint").alias("year"), "change").agg(F.count("*").alias("n"), F.round(F.sum("p"), 2).alias("total"))
 
 
 @query("""WITH e AS (SELECT user_id AS job, CASE WHEN event_type IN ('view', 'click') THEN 1 ELSE 0 END AS claim, ts AS day FROM events),
@@ -109,3 +110,34 @@ def cross_validated_model(spark: SparkSession, d: str) -> DataFrame:
 
     rows = table(spark, d, "documents").select("doc_id", "text").join(table(spark, d, "labels").select("doc_id", F.col("quality").alias("label")), "doc_id")
     return cross_validate(rows)
+
+
+#: Raw fields of each kind of record, made of an order's columns.
+_RAW = {
+    "retail-sales": {"stateid": "lower(left(o_orderstatus, 1))", "sectorid": "lower(left(o_orderpriority, 1))", "price": "amount", "customers": "whole"},
+    "generation-by-fuel": {"location": "lower(left(o_orderstatus, 1))", "fueltypeid": "lower(left(o_orderpriority, 1))", "generation": "amount"},
+    "state-profile-summary": {"stateID": "lower(left(o_orderstatus, 1))", "average-retail-price": "amount", "net-generation-rank": "whole"},
+    "source-disposition": {"stateid": "lower(left(o_orderstatus, 1))", "total-supply": "amount"},
+    "capability": {"state": "lower(left(o_orderstatus, 1))", "energysourceid": "lower(left(o_orderpriority, 1))", "capability": "amount"},
+}
+_METRIC = {"retail-sales": "price_cents_per_kwh", "generation-by-fuel": "generation_mwh", "state-profile-summary": "average_retail_price_cents_per_kwh", "source-disposition": "total_supply_mwh", "capability": "net_summer_capacity_mw"}
+
+
+@query(f"""WITH o AS (SELECT *, {list(_RAW)!r}[o_orderkey % 5 + 1] AS dataset, o_orderkey // 5 % 4 AS form FROM orders),
+    r AS (SELECT dataset, CAST(year(o_orderdate) AS INTEGER) AS year, CASE WHEN form = 1 THEN CAST(month(o_orderdate) AS INTEGER) ELSE 0 END AS month, upper(left(o_orderstatus, 1)) AS state,
+        CASE WHEN o_orderkey % 11 = 0 THEN NULL ELSE CAST(o_totalprice AS DOUBLE) * CASE WHEN dataset = 'generation-by-fuel' THEN 1000 ELSE 1 END END AS value, form FROM o)
+    SELECT dataset, y AS year, month, state, count(*) AS n, count(value) AS numbers, round(coalesce(sum(value), 0), 2) AS total FROM (SELECT *, CASE WHEN form = 3 THEN -1 ELSE year END AS y FROM r) GROUP BY 1, 2, 3, 4""")
+def normalised_records(spark: SparkSession, d: str) -> DataFrame:
+    """Raw records of five kinds, with periods of years, months, quarters and nonsense and with missing numbers, typed and added up."""
+    c = F.col
+    day = F.to_date("o_orderdate")
+    form = F.floor(c("o_orderkey") / 5) % 4
+    period = F.when(form == 0, F.date_format(day, "yyyy")).when(form == 1, F.date_format(day, "yyyy-MM")).when(form == 2, F.concat(F.date_format(day, "yyyy"), F.lit("-Q2"))).otherwise("soon")
+    amount = F.when(c("o_orderkey") % 11 == 0, F.element_at(F.array(*map(F.lit, MISSING)), (c("o_orderkey") % len(MISSING) + 1).cast("int"))).otherwise(F.concat(F.lit(" "), c("o_totalprice").cast("string")))
+    orders = table(spark, d, "orders").withColumns({"period": period, "amount": amount, "whole": F.lit("12.0")})
+    out = None
+    for i, (kind, fields) in enumerate(_RAW.items()):
+        raw = orders.where(c("o_orderkey") % 5 == i).select("period", *(F.expr(e).alias(n) for n, e in fields.items()))
+        rows = normalise(raw, kind).select("dataset", F.coalesce("year", F.lit(-1)).alias("year"), F.coalesce("month", F.lit(0)).alias("month"), "state", c(_METRIC[kind]).alias("value"))
+        out = rows if out is None else out.unionByName(rows)
+    return out.groupBy("dataset", "year", "month", "state").agg(F.count("*").alias("n"), F.count("value").alias("numbers"), F.round(F.coalesce(F.sum("value"), F.lit(0.0)), 2).alias("total"))

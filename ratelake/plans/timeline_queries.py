@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ratelake.operators import coverage, documents, evidence
 from ratelake.operators.latest import first_of
+from ratelake.operators.lineage import lineage_gaps
 from ratelake.operators.nearest import best_snapshot
 from ratelake.operators.sections import build_sections
 
@@ -155,3 +156,26 @@ def section_pipeline(spark: SparkSession, d: str) -> DataFrame:
     express; the tests hold it against a plain loop."""
     found = build_sections(page_signals(table(spark, d, "documents")), "doc_id")
     return found.withColumns({"leaves": F.array_join("leaves", ","), "codes": F.array_join("codes", ",")})
+
+
+@query("""WITH d AS (SELECT o_orderkey AS document, o_custkey AS family, CASE WHEN o_orderkey % 7 <> 0 THEN CAST(CAST(o_orderdate AS DATE) AS VARCHAR) END AS start, 'p' || o_custkey || '-' || o_orderkey % 6 AS path FROM orders),
+    v AS (SELECT o_orderkey + 1000000 AS version, o_custkey AS family, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS start, CASE WHEN o_orderkey % 5 <> 0 THEN o_orderkey END AS document, o_orderkey % 2 = 0 AS settled FROM orders WHERE o_orderkey % 4 <> 0),
+    k AS (SELECT path, max(start) AS one FROM d GROUP BY 1 HAVING count(DISTINCT start) = 1)
+    SELECT 'no_version_link' AS kind, CAST(document AS VARCHAR) AS document, NULL AS version, family, start, path FROM d WHERE start IS NOT NULL AND NOT EXISTS (SELECT 1 FROM v WHERE v.document = d.document)
+    UNION ALL SELECT 'no_effective_start', CAST(document AS VARCHAR), NULL, family, one, path FROM d JOIN k USING (path) WHERE start IS NULL
+        AND NOT EXISTS (SELECT 1 FROM v WHERE v.family = d.family AND v.start = one AND v.document IS NOT NULL)
+        AND (NOT EXISTS (SELECT 1 FROM v WHERE v.family = d.family AND v.start = one) OR 1 = (SELECT count(*) FROM v WHERE v.family = d.family AND v.start = one AND v.document IS NULL))
+    UNION ALL SELECT 'version_no_doc', NULL, CAST(version AS VARCHAR), family, start, NULL FROM v WHERE document IS NULL AND NOT settled""")
+def family_lineage_gaps(spark: SparkSession, d: str) -> DataFrame:
+    """Dated documents without a version, undated ones whose date their path tells, and versions without a document."""
+    c = F.col
+    orders, day = table(spark, d, "orders"), F.to_date("o_orderdate").cast("string")
+    docs = orders.select(
+        c("o_orderkey").alias("document"), c("o_custkey").alias("family"), F.when(c("o_orderkey") % 7 != 0, day).alias("start"),
+        F.concat(F.lit("p"), c("o_custkey").cast("string"), F.lit("-"), (c("o_orderkey") % 6).cast("string")).alias("path"),
+    )
+    versions = orders.where(c("o_orderkey") % 4 != 0).select(
+        (c("o_orderkey") + 1000000).alias("version"), c("o_custkey").alias("family"), day.alias("start"), F.when(c("o_orderkey") % 5 != 0, c("o_orderkey")).alias("document"), (c("o_orderkey") % 2 == 0).alias("settled")
+    )
+    gaps = lineage_gaps(docs, versions)
+    return gaps.withColumns({n: c(n).cast("string") for n in ("document", "version")})

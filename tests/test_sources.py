@@ -61,3 +61,19 @@ def test_usage_by_suffix(spark, tmp_path):
     assert read("i.csv") == [(1.0, None, None, None)] and read("m.csv") == [(None, None, 700.0, None)]
     with pytest.raises(ValueError):
         usage.read_usage(spark, str(tmp_path / "x.pdf"))
+
+
+def test_records_by_hand(spark):
+    from ratelake.sources import records
+
+    raw = [("2024-06", "nc", "N/A", " 12.5 ", "1,000", "7.9"), ("2024-Q2", None, "x", "--", "3", ""), ("2024-13x", "", None, None, None, None), (None, "sc", "9", "1e2", "0", "4")]
+    df = spark.createDataFrame(raw, "period string, stateid string, sales string, price string, revenue string, customers string")
+    got = [tuple(r[c] for c in ("period", "year", "month", "state", "sector", "sales_million_kwh", "price_cents_per_kwh", "revenue_million_dollars", "customers", "batch_id")) for r in records.normalise(df, "retail-sales", "monthly", "b").collect()]
+    assert got == [
+        ("2024-06", 2024, 6, "NC", "", None, 12.5, None, 7, "b"), ("2024-Q2", 2024, None, "", "", None, None, 3.0, None, "b"), ("2024-13x", None, None, "", "", None, None, None, None, "b"), ("", None, None, "SC", "", 9.0, 100.0, 0.0, 4, "b"),
+    ]
+    fuel = spark.createDataFrame([("2020", "nc", None, "Coal", "2.5")], "period string, location string, fuelTypeDescription string, `type-name` string, generation string")
+    r = records.normalise(fuel, "generation-by-fuel").first()
+    assert (r["fuel_type_name"], r["generation_mwh"], r["month"], r["batch_id"]) == ("Coal", 2500.0, None, None)
+    for kind in records.KINDS:
+        assert records.normalise(fuel.limit(0), kind).count() == 0
