@@ -61,9 +61,10 @@ def cross_validate(rows: DataFrame, k: int = 3) -> DataFrame:
     every fold and judged in none. Features are made once, weights by rarity in each fold anew.
     """
     parted = features(folds(rows.where("label IS NOT NULL"), "label", "doc_id", k))
-    out = None
+    scores = []
     for i in range(k):
         done = judge(parted.where(F.coalesce(F.col("fold") != i, F.lit(True))), parted.where(F.col("fold") == i))
-        hits = done.agg(F.lit(i).alias("fold"), F.count("*").alias("n"), F.coalesce(F.sum((F.col("prediction") == F.col("label")).cast("bigint")), F.lit(0)).alias("n_correct"))
-        out = hits if out is None else out.unionByName(hits)
-    return out.withColumn("accuracy", F.round(F.col("n_correct") / F.col("n"), 6))
+        r = done.agg(F.count("*").alias("n"), F.coalesce(F.sum((F.col("prediction") == F.col("label")).cast("bigint")), F.lit(0)).alias("n_correct")).first()
+        scores.append((i, r["n"], r["n_correct"]))  # one row a fold
+    out = rows.sparkSession.createDataFrame(scores, "fold int, n bigint, n_correct bigint")
+    return out.withColumn("accuracy", F.round(F.try_divide("n_correct", "n"), 6))

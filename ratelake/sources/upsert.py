@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.operators.latest import first_of
@@ -53,7 +53,8 @@ def upsert(new: DataFrame, path: str, keys: Sequence[str], order: Sequence[str],
     Only partitions in which a row was inserted or updated are written, each as a whole (dynamic overwrite); the rest keep
     their files. The merged rows are written to the checkpoint folder before, so the table is not read while it is
     written, and a call that is broken off can be made again: a second call with the same rows changes nothing. Counts are
-    observed on the rows as they are written there, not counted apart.
+    read from one column of what was written there. (An Observation on the write would spare that, but it leaves a manager in the session
+    that Spark 4.1 cannot serialize, and models of Spark ML fail in that session from then on.)
     """
     if partition not in keys:
         raise ValueError("the partition must be part of the key, or a row could move and leave a copy behind")
@@ -62,10 +63,9 @@ def upsert(new: DataFrame, path: str, keys: Sequence[str], order: Sequence[str],
     rows = new.dropna(subset=list(keys))
     # Partitions without new rows are not read.
     near = old.join(rows.select(partition).distinct(), partition, "left_semi").select(*new.columns)
-    seen = Observation()
     n = lambda what: F.count_if(F.col("change") == what).alias(what)
-    result = staged(merged(near, new, keys, order).observe(seen, n("inserted"), n("updated"), n("skipped")), "upsert")
-    counts = seen.get
+    result = staged(merged(near, new, keys, order), "upsert")
+    counts = result.agg(n("inserted"), n("updated"), n("skipped")).first()
     if counts["inserted"] + counts["updated"]:
         changed = result.where(F.col("change").isin("inserted", "updated")).select(partition).distinct()
         out = result.join(changed, partition, "left_semi").select(*new.columns)
