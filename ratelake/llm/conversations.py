@@ -49,7 +49,8 @@ def edits(initial: str, fault: str) -> list[tuple[str, str, int]]:
     arcs = [("D", "", DELETE)]
     if fault not in (BLANK, DUPLICATE):
         more = TRUNCATED if fault == CUT else 0
-        arcs += [("K", initial, more)] + [("R", o, REROLE + more) for o in NAMES]
+        # A row without a role writes none when kept, which is not what D's empty output means.
+        arcs += [("K", initial, more)] * bool(initial) + [("R", o, REROLE + more) for o in NAMES]
     return arcs
 
 

@@ -68,7 +68,7 @@ def test_every_shard_has_the_mixture_and_copies_stay_close(spark):
     for shard in range(8):
         assert sorted(r["slot"] for r in plan.values() if r["shard"] == shard) == list(range(counts[shard]))
     spread = [len({plan[i]["shard"] for i, t, _ in rows if t == f"text {k}"}) for k in range(97)]
-    assert sum(x == 1 for x in spread) > 70 and max(spread) <= 2  # at most the shards on both sides of a cut
+    assert sum(x == 1 for x in spread) > 60 and max(spread) <= 2  # at most the shards on both sides of a cut
 
 
 def test_sizes_and_digests(spark):
