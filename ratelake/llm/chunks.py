@@ -118,7 +118,7 @@ def repeated_passages(docs: DataFrame, id_col: str = "doc_id", text_col: str = "
     removed_bytes (chunks that are not the first of their kind, in order of id), and passages as (start, end,
     first_id) in UTF-8 bytes, where first_id is the smallest id that holds one of the chunks. Passages are found
     but for up to a chunk or two at either end. Null and empty texts have no chunks; a null id comes last in
-    the order and stays null.
+    the order and stays null. Very long texts are chunked whole, in pieces. An empty table gives no rows.
     """
     found = _repeats(_numbered(docs, id_col, text_col), min_passage)
     first = F.when(F.col("first_id") != 2**63 - 1, F.col("first_id")).alias("first_id")

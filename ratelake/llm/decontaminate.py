@@ -159,7 +159,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     kind: exact, or reparameterised if values differ. Items of equal text are one item, named by the smallest id;
     items without words match nothing; items shorter than five words are one window. Windows that are mostly placeholders
     are left out, but if an item has no others they must be there with the item's own values. Rows that share an id are
-    one document, rows with null ids as well. Null texts have no words.
+    one document, rows with null ids as well. Null texts have no words; very long texts are read whole. Without documents
+    or without items there are no pairs.
     """
     items = benchmark.groupBy(F.col(item_text).alias("text")).agg(F.min(item_col).alias("item")).where("item IS NOT NULL")
     read = [words(items, "text", "item", everywhere=bool(v)).withColumn("version", F.lit(v)) for v in (0, 1)]

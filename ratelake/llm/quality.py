@@ -201,6 +201,7 @@ def score_quality(docs: DataFrame, model: Model, id_col: str = "doc_id", text_co
 
     Null and empty texts get the score of a text without words; null ids and repeated rows are kept; other
     columns are not read. Without two classes among the labels, every score is their mean (0.5 without labels).
+    Very long texts are read whole. An empty table gives no rows.
     """
     words = Words()
 

@@ -244,7 +244,8 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Secrets of every text, one row per input row: id, ``spans`` (kind, start, end, SHA-256 of the secret).
 
     Null and empty texts have no spans; null ids and repeated rows are kept as they are; other columns of the
-    input are not read. Spans of different kinds may overlap. One pass, no shuffle.
+    input are not read. Spans of different kinds may overlap. Very long texts are read whole, and an empty table gives
+    no rows. One pass, no shuffle.
     """
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, spans array<struct<kind:string,start:int,end:int,sha256:string>>"

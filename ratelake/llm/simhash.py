@@ -159,7 +159,7 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
     Documents are linked if their fingerprints differ at two bits or fewer; component_id is the smallest id
     reachable. Null and empty texts have fingerprint zero and are linked like any other; null ids take part
-    in linking and are never the smallest unless all are null (then component_id is null); repeated rows are kept.
+    in linking and are never the smallest unless all are null (then component_id is null); repeated rows are kept. Very long texts are read whole. An empty table gives no rows.
     """
     marked = common.materialize(fingerprints(docs, id_col, text_col), "fingerprints")
     named = marked.join(_classes(marked, id_col), "fp")

@@ -241,6 +241,7 @@ def remove_repeats(docs: DataFrame, depth: int = DEPTH, id_col: str = "doc_id",
 
     One row per input row: id, n_bytes, n_removed, n_spans (maximal removed runs), kept (the remaining bytes) and
     kept_sha256. Texts are UTF-8 bytes; nulls are empty; null ids and repeated rows are documents of their own.
+    Very long texts are read whole. An empty table gives no rows.
     """
     kind = dict(docs.dtypes)[id_col]
     schema = f"`{id_col}` {kind}, n_bytes bigint, n_removed bigint, n_spans bigint, kept binary, kept_sha256 string"

@@ -33,7 +33,7 @@ SPAN, DECAY = 5, 0.6
 LANDMARKS, ROUNDS = 384, 3
 EPSILON, RIDGE, SHRINK, CAUTION = 0.1, 1e-6, 2.0, 1.5
 THRESHOLD, SEED = 0.7, 3
-#: Bounds of the sample to learn from, both parameters of ``fit``: labelled rows, and words of each kind in a round.
+#: Bounds of the sample to learn from, both parameters of ``fit``: labelled rows, and their words that tell nothing for the label, in a round.
 MAX_TRAIN, MAX_WORDS = 20_000, 3000
 #: Longest stretch of letters taken as one word; longer ones are seen through overlapping windows.
 LONGEST = 24
@@ -229,8 +229,8 @@ def tokens_of(text: str | None) -> set[str]:
 
 
 def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str = "doc_id", text_col: str = "text", most: int = MAX_TRAIN, most_words: int = MAX_WORDS) -> Model:
-    """Learn from at most ``most`` labelled documents outside the held-out fold, and in each round from at most
-    ``most_words`` of their words of each kind. Word counts and worst words are Spark aggregates; only lists of that size,
+    """Learn from at most ``most`` labelled documents outside the held-out fold: from all their words that tell for the label,
+    and in each round from at most ``most_words`` others, as examples of what is clean. Word counts and worst words are Spark aggregates; only these words,
     and one score for each labelled document of the sample, reach the driver."""
 
     def split(batch: dict[str, list]) -> dict[str, list]:
@@ -259,7 +259,7 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", id_col: str =
     rated = counts.select("word", "n", odds.alias("odds"), F.when(F.col("bad") >= 0.5 * F.col("n"), tells).otherwise(0.0).alias("tells"))
     clean = rated.where("odds < 0")
     picks = [
-        rated.where(F.col("tells") > need).orderBy(F.desc("tells"), "word").limit(most_words),
+        rated.where(F.col("tells") > need).orderBy(F.desc("tells"), "word"),
         clean.orderBy(F.desc("n"), "word").limit(most_words // 2), clean.orderBy(F.xxhash64("word"), "word").limit(most_words // 2),
     ]
     learned = {r["word"]: (r["odds"], r["n"]) for p in picks for r in p.collect()}
@@ -325,8 +325,8 @@ def platt(x: np.ndarray, y: np.ndarray) -> np.ndarray:
 def score_toxicity(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """id, score (0 to 1, higher: label 1 likelier) and predicted (score >= 0.7), one row per input row.
 
-    Every word of every text is seen, a token's signs and gaps read both ways. Null and empty texts score as a text without words; null ids and repeated
-    rows are kept. Without two classes among the labels every score is their mean (0.5 without labels).
+    Every word of every text is seen, a token's signs and gaps read both ways. Null and empty texts score as a text without words; very long ones are
+    read whole; null ids and repeated rows are kept, and an empty table gives an empty one. Without two classes among the labels every score is their mean (0.5 without labels).
     """
     kind = dict(docs.dtypes)[id_col]
     shared = docs.sparkSession.sparkContext.broadcast(model)  # one weight for each subsequence, whatever the data

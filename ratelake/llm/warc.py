@@ -154,6 +154,7 @@ def write_archive(pages: DataFrame, folder: str | None = None, min_revisit: int
     Of pages with equal payloads of at least ``min_revisit`` bytes, that with the largest page_id is stored and
     the others revisit it; rows that share that page_id are all stored. Null html is an empty payload, null urls
     have the key of an empty url, null page_ids are always stored. Other columns are not read.
+    Very long payloads are written whole. Without pages the index is empty.
     """
     spark = pages.sparkSession
     folder = _as_uri(folder or common.stage_path(spark, "warc"))
