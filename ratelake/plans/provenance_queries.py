@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ratelake.operators.provenance import discovery_match, provenance_gaps, series_coverage
+from ratelake.operators.timeline import canonical
 
 from .registry import query, table
 
@@ -72,3 +73,24 @@ def rider_series_coverage(spark: SparkSession, d: str) -> DataFrame:
     components = lines.select("k", F.to_date("l_shipdate").alias("effective"), F.concat("l_returnflag", "l_linestatus").alias("code"), F.when(F.col("l_discount") >= 0.05, "sheet").otherwise("summary").alias("kind"))
     out = series_coverage(orders, components, ["k"], _EXPECTED)
     return out.select("o_orderkey", F.col("effective").cast("string").alias("effective"), "coverage", F.col("n_codes").cast("bigint").alias("n_codes"), F.array_join("missing_codes", ",").alias("missing_codes"), F.array_join("kinds", ",").alias("kinds"))
+
+
+_CANONICAL_SQL = """SELECT CASE WHEN o_orderpriority < '3' THEN 'A' ELSE 'B' END AS utility, CASE WHEN o_orderpriority < '3' THEN 'RES' ELSE 'RS' END AS schedule, o_orderkey AS source_pdf,
+    CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS effective_date, CAST(1000 AS DOUBLE) AS representative_kwh, round(o_totalprice / 10000, 6) AS base_cents_per_kwh,
+    CASE WHEN o_orderpriority < '3' THEN round(CASE WHEN o_orderstatus <> 'F' THEN o_totalprice / 50 ELSE o_totalprice / 60 END, 6) ELSE -1.0 END AS base_bill_amount,
+    CASE WHEN o_orderpriority < '3' THEN CASE o_orderstatus WHEN 'F' THEN 'all_in' WHEN 'O' THEN 'base_only' ELSE 'unknown' END ELSE 'unknown' END AS timeline_kind FROM orders"""
+
+
+@query(_CANONICAL_SQL.replace("o_orderkey AS source_pdf", "CAST(o_orderkey AS VARCHAR) AS source_pdf"))
+def canonical_timeline(spark: SparkSession, d: str) -> DataFrame:
+    """Two utilities' histories in the common form: one with bills of both seasons and a coverage, one with prices only."""
+    c = F.col
+    rows = table(spark, d, "orders").select("o_orderpriority", "o_orderstatus", "o_totalprice", F.to_date("o_orderdate").alias("effective_date"), (c("o_totalprice") / 10000).alias("blended_base_cents_per_kwh"), c("o_orderkey").cast("string").alias("source_pdf"))
+    status = F.when(c("o_orderstatus") == "F", "base_plus_riders").when(c("o_orderstatus") == "O", "base_only").otherwise("review")
+    one = rows.where("o_orderpriority < '3'").withColumns({"summer_base_bill": F.when(c("o_orderstatus") != "F", c("o_totalprice") / 50), "winter_base_bill": c("o_totalprice") / 60, "bill_coverage_status": status})
+    two = rows.where("NOT o_orderpriority < '3'")
+    both = canonical(one, "A", "RES").unionByName(canonical(two, "B", "RS"))
+    return both.select(
+        "utility", "schedule", "source_pdf", c("effective_date").cast("string").alias("effective_date"), "representative_kwh",
+        F.round("base_cents_per_kwh", 6).alias("base_cents_per_kwh"), F.coalesce(F.round("base_bill_amount", 6), F.lit(-1.0)).alias("base_bill_amount"), "timeline_kind",
+    )

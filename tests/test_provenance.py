@@ -1,6 +1,7 @@
 from pyspark.sql import functions as F
 
 from ratelake.operators.provenance import discovery_match, provenance_gaps, series_coverage
+from ratelake.operators.timeline import COLUMNS, canonical
 
 
 def test_record_by_hash_wins_and_blanks_match_nothing(spark):
@@ -35,3 +36,14 @@ def test_series_known_when_a_version_began(spark):
     got = {r["version"]: (str(r["effective"]), r["coverage"], r["n_codes"], r["missing_codes"], r["kinds"]) for r in series_coverage(versions, components, ["k"], ["C", "A"]).collect()}
     none = ("None", "no_prior_series", 0, ["C", "A"], [])
     assert got == {1: none, 2: ("2020-03-01", "same_day", 2, ["C"], ["sheet", "sum"]), 3: ("2020-04-01", "carried_forward", 1, ["A"], ["sum"]), 4: none, 5: none}
+
+
+def test_common_form_has_all_columns(spark):
+    bare = spark.createDataFrame([("2020-01-01", 9.5)], "effective_date string, blended_base_cents_per_kwh double")
+    full = bare.withColumns({"summer_base_bill": F.lit(None).cast("double"), "winter_base_bill": F.lit(95.0), "bill_coverage_status": F.lit("base_only"), "representative_kwh": F.lit(500.0)})
+    both = canonical(bare, "A", "RES").unionByName(canonical(full, "B", "RS"))
+    assert both.columns == list(COLUMNS) and len(COLUMNS) == 21
+    one, two = (r.asDict() for r in both.orderBy("utility").collect())
+    assert (one["representative_kwh"], one["base_bill_amount"], one["timeline_kind"]) == (1000.0, None, "unknown")
+    assert (two["representative_kwh"], two["base_bill_amount"], two["timeline_kind"]) == (500.0, 95.0, "base_only")
+    assert canonical(bare.where("false"), "A", "RES").count() == 0
