@@ -72,6 +72,32 @@ def test_bands_find_what_is_near_the_border():
     assert hits >= 116
 
 
+def test_pairs_without_a_common_band_are_linked(spark):
+    rng, missed = random.Random(8), []
+    while len(missed) < 4:
+        base = [f"w{rng.randrange(10**6)}" for _ in range(120)]
+        a, b = " ".join(base), " ".join(varied(rng, base, 3))
+        if 0.8 <= jaccard(a, b) < 0.82 and not set(similarity.band_keys(similarity.shingles(a))) & set(similarity.band_keys(similarity.shingles(b))):
+            missed.append((a, b))
+    others = [" ".join(f"w{rng.randrange(10**6)}" for _ in range(120)) for _ in range(20)]
+    texts = [t for pair in missed for t in pair] + others
+    df = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+    got = sorted((r["a"], r["b"]) for r in similarity.links(df).collect())
+    assert got == [(0, 1), (2, 3), (4, 5), (6, 7)]
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_exact_join_alone_equals_all_pairs(spark, seed):
+    rng, texts = random.Random(seed), []
+    for _ in range(12):
+        base = [f"w{rng.randrange(40)}" for _ in range(rng.choice([5, 6, 9, 30, 60]))]
+        texts += [" ".join(varied(rng, base, rng.choice([0, 1, 1, 2]))) for _ in range(6)]
+    df = spark.createDataFrame(list(enumerate(texts)), "row bigint, text string")
+    sketches = similarity._sketches(df, 0.8)
+    got = {(r["a"], r["b"]) for r in similarity._rest(sketches.select("row", "n", "least"), df, spark.createDataFrame([], "a bigint, b bigint"), 0.8).collect()}
+    assert got == {(i, j) for j in range(len(texts)) for i in range(j) if jaccard(texts[i], texts[j]) >= 0.8}
+
+
 def test_columns_with_clashing_names_stay(spark):
     names = ["__row", "__fp", "__text", "__cut", "row", "fp", "cut", "digest", "of"]
     passage = " ".join(f"common{i}" for i in range(40))
