@@ -6,54 +6,54 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from .stages import staged
 
-#: A round looks at so many bands on each side; bands are as many times wider in the next.
-REACH = 16
-_WIDEN = 4  # bits: bands of a round are 2**4 = REACH times as wide as those before
+
+def between(rows: DataFrame, values: DataFrame, keys: Sequence[str], place: str, value: str, below: str, above: str) -> DataFrame:
+    """``rows`` with ``below`` and ``above``: the rows of ``values`` (as structs without ``keys``) with the largest ``value`` at or
+    below ``place`` of the same key, and with the smallest one beyond it; null where there is none.
+
+    ``values`` has each value of a key once. Both sides are dealt by ranges of key and place and sorted, so a key, or a place,
+    that most rows have is spread over tasks; the last value is carried forward, and each range begins with what the one before ended
+    with. One pass, linear in both sides; it is written to the checkpoint folder, as ranges found again by sampling might differ.
+    Null keys and places meet nothing; all rows stay.
+    """
+    own = F.struct(*(c for c in values.columns if c not in keys))
+    known = values.where(F.col(value).isNotNull())
+    marks = known.select(*keys, F.col(value).alias("__at"), own.alias("__own"))
+    nothing = F.lit(None).cast(marks.schema["__own"].dataType)
+    pair = lambda x, y: F.struct(x.alias("below"), y.alias("above")).alias("__pair")
+    follow = F.lead("__own").over(Window.partitionBy(*keys).orderBy("__at"))
+    # Before the first value of a key there is none below, and it is the one above.
+    first = marks.groupBy(*keys).agg(F.min_by("__own", "__at").alias("__own")).select(*keys, F.lit(None).cast(marks.schema["__at"].dataType).alias("__at"), pair(nothing, F.col("__own")))
+    held = first.unionByName(marks.select(*keys, "__at", pair(F.col("__own"), follow))).withColumns({"__side": F.lit(0), "__spread": F.lit(0).cast("bigint")})
+    mine = rows.select(*keys, F.col(place).alias("__at"), F.lit(1).alias("__side"), F.xxhash64(*rows.columns).alias("__spread"), F.struct(*rows.columns).alias("__row"))
+    both = mine.withColumn("__pair", F.lit(None).cast(held.schema["__pair"].dataType)).unionByName(held, allowMissingColumns=True)
+    dealt = staged(both.repartitionByRange(*keys, "__at", "__side", "__spread").withColumn("__part", F.spark_partition_id()).drop("__spread"), "places")
+    ends = dealt.groupBy("__part", *keys).agg(F.max(F.when(F.col("__side") == 0, F.struct("__at", "__pair"))).alias("__end"))
+    # At most one row for each range: of its first key, if that began before.
+    before = F.last("__end", ignorenulls=True).over(Window.partitionBy(*keys).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1))
+    carried = ends.withColumn("__before", before).where(F.col("__before").isNotNull()).select("__part", *keys, F.lit(-1).alias("__side"), F.col("__before.__pair").alias("__pair"))
+    line = Window.partitionBy("__part", *keys).orderBy(F.col("__at").asc_nulls_first(), "__side").rowsBetween(Window.unboundedPreceding, 0)
+    found = dealt.unionByName(carried, allowMissingColumns=True).withColumn("__pair", F.last("__pair", ignorenulls=True).over(line)).where("__side = 1")
+    meets = F.col("__at").isNotNull()
+    for k in keys:
+        meets &= F.col(k).isNotNull()
+    return found.select("__row.*", F.when(meets, F.col("__pair.below")).alias(below), F.when(meets, F.col("__pair.above")).alias(above))
 
 
 def bracket(targets: DataFrame, values: DataFrame, keys: Sequence[str], at: str, value: str) -> DataFrame:
     """Distinct (``keys``, ``at``) of ``targets`` with ``below``, the largest ``value`` at or below ``at`` of the same key, and
     ``above``, the smallest one beyond it; null where there is none. ``at`` and ``value`` are whole numbers.
 
-    A band join that widens: values are put in bands and each band keeps its least and largest value, so that a target
-    meets one row for each band it looks at, however dense the values are. The first round looks at single numbers; a
-    side that is still open looks at bands sixteen times as wide in the next, which begin where the last ones ended, so
-    the first value met is the nearest. A side beyond the key's range is settled before any round. Rounds are
-    bounded by the width of the numbers (16 for 64 bits); rows of a round are written to the checkpoint folder. Targets with
-    a null key or place, and those of keys without values, are left out.
+    See ``between``. Targets with a null key or place, and those of keys without values, are left out.
     """
-    held = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("bigint").alias("v"))
-    ends = held.groupBy(*keys).agg(F.min("v").alias("least"), F.max("v").alias("most"))
+    held = values.where(F.col(value).isNotNull()).select(*keys, F.col(value).cast("bigint").alias("v")).distinct()
     points = targets.where(F.col(at).isNotNull()).select(*keys, F.col(at).cast("bigint").alias("t")).distinct()
-    none = F.lit(None).cast("bigint")
-    state = points.join(ends, list(keys)).select(
-        *keys, "t", none.alias("below"), none.alias("above"), (F.col("t") >= F.col("least")).alias("down"), (F.col("t") < F.col("most")).alias("up")
-    )
-    state = staged(state, "targets")
-    settled = state.where("NOT down AND NOT up")
-    state = state.where("down OR up")
-    shift = 0
-    bands = held.groupBy(*keys, F.col("v").alias("band")).agg(F.min("v").alias("lo"), F.max("v").alias("hi"))
-    while not state.isEmpty():
-        own = F.shiftright("t", shift)
-        # Below counts the target's own band in the first round only, where a band is a number; later it is known to be searched.
-        steps = F.filter(F.sequence(F.lit(-REACH), F.lit(REACH)), lambda s: F.when(s <= 0, F.col("down") & (F.lit(shift == 0) | (s < 0))).otherwise(F.col("up")))
-        looked = state.select(*keys, "t", F.explode(steps).alias("step")).withColumn("band", own + F.col("step"))
-        met = looked.join(bands, [*keys, "band"]).groupBy(*keys, "t").agg(
-            F.max(F.when(F.col("step") <= 0, F.col("hi"))).alias("found_below"), F.min(F.when(F.col("step") > 0, F.col("lo"))).alias("found_above")
-        )
-        now = staged(state.join(met, [*keys, "t"], "left").select(
-            *keys, "t", F.coalesce("below", "found_below").alias("below"), F.coalesce("above", "found_above").alias("above"),
-            (F.col("down") & F.col("found_below").isNull()).alias("down"), (F.col("up") & F.col("found_above").isNull()).alias("up"),
-        ), "targets")
-        settled = settled.unionByName(now.where("NOT down AND NOT up"))
-        state = now.where("down OR up")
-        shift += _WIDEN
-        bands = bands.groupBy(*keys, F.shiftright("band", _WIDEN).alias("band")).agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"))
-    return settled.select(*keys, F.col("t").alias(at), "below", "above")
+    met = between(points, held, keys, "t", "v", "below", "above").where("below IS NOT NULL OR above IS NOT NULL")
+    return met.select(*keys, F.col("t").alias(at), F.col("below.v").alias("below"), F.col("above.v").alias("above"))
 
 
 def best_snapshot(bills: DataFrame, snapshots: DataFrame, ident: Sequence[str], component: str, amount: str, kwh: str, unit: str, value: str, since: str, scale: int = 4) -> DataFrame:
@@ -67,36 +67,23 @@ def best_snapshot(bills: DataFrame, snapshots: DataFrame, ident: Sequence[str],
     bills stay. ``ident`` names the columns of the bills to keep.
     """
     per = float(10**scale)
-    fixed = F.col(unit) == "fixed_monthly"
     usable = snapshots.where(F.col(unit).isin("cents_per_kwh", "fixed_monthly") & F.col(value).isNotNull() & F.col(since).isNotNull())
     listed = usable.groupBy(F.col(component), F.col(unit), F.round(F.col(value) * per).cast("bigint").alias("v")).agg(F.min(since).alias(since))
-    cents = F.floor(F.col(amount) * 100.0 / F.col(kwh) * per)
-    lump = F.floor(F.col(amount) * per)
-    asks = F.filter(
-        F.array(
-            F.struct(F.lit("cents_per_kwh").alias("__unit"), F.when(F.col(kwh) > 0, cents).alias("__t")),
-            F.struct(F.lit("fixed_monthly").alias("__unit"), lump.alias("__t")),
-        ),
-        lambda a: a["__t"].isNotNull(),
-    )
-    known = bills.where(F.col(component).isNotNull() & F.col(amount).isNotNull()).select(*ident, component, amount, kwh)
-    # Numbered and written once: the number must be the same for both units of a bill.
-    rows = staged(known.withColumn("__bill", F.monotonically_increasing_id()), "bills").select("*", F.inline(asks))
-    places = rows.select(component, F.col("__unit").alias(unit), "__t")
-    near = bracket(places, listed, [component, unit], "__t", "v").withColumnRenamed(unit, "__unit")
-    sides = near.select(component, "__unit", "__t", F.explode(F.array_compact(F.array("below", "above"))).alias("v"))
-    dated = sides.join(listed.withColumnRenamed(unit, "__unit"), [component, "__unit", "v"])
-    # At most two values for each distinct target.
-    choices = dated.groupBy(component, "__unit", "__t").agg(F.collect_list(F.struct("v", since)).alias("__choices"))
-    exact = F.col("__c.v") / per
-    estimate = F.when(F.col("__unit") == "fixed_monthly", exact).otherwise(F.col(kwh) * exact / 100.0)
-    tried = rows.join(choices, [component, "__unit", "__t"]).withColumn("__c", F.explode("__choices"))
-    tried = tried.withColumns({"__estimate": estimate, "__exact": exact})
-    order = F.struct(F.abs(F.col(amount) - F.col("__estimate")).alias("off"), F.col("__c")[since].alias("since"), F.col("__exact").alias("value"))
-    keep = F.struct(F.col("__unit").alias("unit"), F.col("__exact").alias("value"), F.col("__c")[since].alias("since"), F.col("__estimate").alias("estimate"), F.col(amount).alias("amount"))
-    # At most four tries for each bill.
-    best = tried.groupBy(*ident, component, "__bill").agg(F.min_by(keep, order).alias("b"))
+    cents = F.when(F.col(kwh) > 0, F.floor(F.col(amount) * 100.0 / F.col(kwh) * per))
+    asks = {"cents_per_kwh": cents, "fixed_monthly": F.floor(F.col(amount) * per)}
+    rows = bills.where(F.col(component).isNotNull() & F.col(amount).isNotNull()).select(*ident, component, amount, kwh)
+    tries = []
+    for name, place in asks.items():
+        sides = [f"__{side}_{name}" for side in ("below", "above")]
+        rows = between(rows.withColumn("__t", place), listed.where(F.col(unit) == name).select(component, "v", since), [component], "__t", "v", *sides).drop("__t")
+        for side in sides:
+            exact = F.col(f"{side}.v") / per
+            estimate = exact if name == "fixed_monthly" else F.col(kwh) * exact / 100.0
+            order = F.abs(F.col(amount) - estimate).alias("off"), F.col(side)[since].alias("since"), exact.alias("value")
+            tries.append(F.when(F.col(side).isNotNull(), F.struct(*order, F.lit(name).alias("unit"), estimate.alias("estimate"))))
+    # Nulls are passed over.
+    best = rows.select(*ident, component, amount, F.least(*tries).alias("b")).where("b IS NOT NULL")
     return best.select(
         *ident, component, F.col("b.unit").alias(unit), F.col("b.value").alias(value), F.col("b.since").alias(since),
-        F.round("b.estimate", 2).alias("estimate"), (F.col("b.amount") - F.col("b.estimate")).alias("difference"),
+        F.round("b.estimate", 2).alias("estimate"), (F.col(amount) - F.col("b.estimate")).alias("difference"),
     )

@@ -1,6 +1,7 @@
 """Coverage, nearest values, sections and evidence against plain loops."""
 
 import datetime
+import bisect
 import random
 
 import pytest
@@ -69,6 +70,25 @@ def test_nearest_values_equal_full_comparison(spark):
     assert got == want
 
 
+def test_nearest_values_take_one_pass_and_hot_places_are_spread(spark, monkeypatch):
+    written = []
+    monkeypatch.setattr(nearest, "staged", lambda df, label, real=nearest.staged: written.append(real(df, label)) or written[-1])
+    v = spark.range(0, 1000).selectExpr("'a' AS k", "id * id * 1000003 AS v").unionByName(spark.createDataFrame([("b", 5)], "k string, v bigint"))
+    rows = spark.range(0, 4000).selectExpr("id", "IF(id % 2 = 0, 'a', 'b') AS k", "IF(id < 3000, 7, id * 100000) AS t")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        found = nearest.between(rows, v, ["k"], "t", "v", "x", "y").collect()
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    got = {r["id"]: (r["x"] and r["x"]["v"], r["y"] and r["y"]["v"]) for r in found}
+    values = {"a": [i * i * 1000003 for i in range(1000)], "b": [5]}
+    for i in range(4000):
+        own, at = values["ab"[i % 2]], 7 if i < 3000 else i * 100000
+        n = bisect.bisect_right(own, at)
+        assert got[i] == (own[n - 1] if n else None, own[n] if n < len(own) else None)
+    assert len(written) == 1 and written[0].where("__side = 1 AND __at = 7 AND k = 'a'").select("__part").distinct().count() > 1
+
+
 def test_best_snapshot_cases(spark):
     since = [day(i) for i in range(6)]
     snaps = [("x", "cents_per_kwh", 2.0, since[3]), ("x", "cents_per_kwh", 2.0, since[1]), ("x", "cents_per_kwh", 4.0, since[0]), ("x", "fixed_monthly", 31.0, since[2]), ("x", "other", 30.0, since[0]), ("x", "fixed_monthly", None, since[0]), ("y", "cents_per_kwh", 1.0, None)]
