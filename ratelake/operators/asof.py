@@ -36,6 +36,31 @@ def asof_join(left: DataFrame, right: DataFrame, keys: Sequence[str], left_at: s
     return out.where(F.col(right_at).isNotNull()) if inner else out
 
 
+def carried_together(histories: Sequence[tuple[DataFrame, str, Sequence[str]]], keys: Sequence[str], at: str) -> DataFrame:
+    """Every distinct (``keys``, ``at``) of several histories with the columns of each one's last row at or before it.
+
+    A history is a DataFrame, its column of times and its order among rows of one time, of which the last wins. The histories meet by
+    key once, whatever their number: rows of one key and time become one, and each history is carried forward over these. Names
+    must differ but for the keys. Null keys and times are kept, and match nothing.
+    """
+    parts, names = [], [f"__{i}" for i in range(len(histories))]
+    for name, (rows, time, tie) in zip(names, histories, strict=True):
+        own = F.struct(*(c for c in rows.columns if c not in keys))
+        parts.append(rows.select(*keys, F.col(time).alias(at), F.struct(*tie, own.alias("own")).alias(name)))
+    both = parts[0]
+    for part in parts[1:]:
+        both = both.unionByName(part, allowMissingColumns=True)
+    spine = both.repartition(*keys).groupBy(*keys, at).agg(*(F.max(n).alias(n) for n in names))
+    line = Window.partitionBy(*keys).orderBy(F.col(at).asc_nulls_first()).rowsBetween(Window.unboundedPreceding, 0)
+    known = F.col(at).isNotNull()
+    for k in keys:
+        known &= F.col(k).isNotNull()
+    # Rows without a time come first and are not carried.
+    last = {n: F.last(F.when(known, F.col(n)), ignorenulls=True).over(line) for n in names}
+    out = spine.withColumns(last)
+    return out.select(*keys, at, *(F.col(f"{n}.own.{c}").alias(c) for n, (rows, *_) in zip(names, histories, strict=True) for c in rows.columns if c not in keys))
+
+
 def select_version(requests: DataFrame, versions: DataFrame, keys: Sequence[str], at: str, start: str, order: Sequence[str | Column], approved: Column | None = None) -> DataFrame:
     """The version for each request: the latest that began at or before the date, else the earliest of all, else an undated one.
 

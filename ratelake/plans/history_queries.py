@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ratelake.functions.calendar import month_number
-from ratelake.operators.asof import asof_join, coverage_status, select_version
+from ratelake.operators.asof import carried_together, coverage_status, select_version
 from ratelake.operators.compare import band, findings, quartile_outliers, score
 from ratelake.operators.graph import chains
 from ratelake.operators.latest import first_of, keep_latest, union_distinct
@@ -46,8 +46,7 @@ def _timeline(spark: SparkSession, d: str) -> DataFrame:
     base = orders.select(F.col("o_custkey").alias("k"), F.col("day").alias("base_at"), "o_orderkey", F.col("o_totalprice").alias("base"))
     lines = table(spark, d, "lineitem").join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
     rider = lines.groupBy(F.col("o_custkey").alias("k"), F.to_date("l_shipdate").alias("rider_at")).agg(F.max("l_extendedprice").alias("rider"))
-    spine = union_distinct(base.select("k", F.col("base_at").alias("at")), rider.select("k", F.col("rider_at").alias("at")))
-    return asof_join(asof_join(spine, base, ["k"], "at", "base_at", ["o_orderkey"]), rider, ["k"], "at", "rider_at")
+    return carried_together([(base, "base_at", ["o_orderkey"]), (rider, "rider_at", [])], ["k"], "at")
 
 
 @query(f"SELECT k AS custkey, CAST(d AS VARCHAR) AS day, base, rider, round(coalesce(base, 0) + coalesce(rider, 0), 2) AS all_in FROM ({_TIMELINE_SQL})")
