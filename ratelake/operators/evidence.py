@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .latest import first_of
+from .stages import staged
 
 #: A code specific enough to identify a document, lengths of titles that may, and what each kind of evidence
 #: adds to the confidence in an identity.
@@ -101,6 +102,8 @@ def text_lines(docs: DataFrame, key: str, text: str) -> DataFrame:
 
 
 GRAM = 3
+#: Quotes of a document that meet all its lines of fitting length; those of documents with more go by their rarest runs.
+FEW_QUOTES = 8
 
 
 def _grams(text: Column) -> Column:
@@ -114,13 +117,28 @@ def locate_lines(quotes: DataFrame, lines: DataFrame, key: str, ident: str, quot
     distance (edits between the plain forms), for quotes with a line within ``tolerance`` edits a character of the quote, rounded down.
 
     ``lines`` is what ``text_lines`` gives. Of lines as close the first counts. Blank and null quotes match nothing; quotes
-    of one ``key`` and ``ident`` are one. Lines are candidates if they share one of the rarest 3 k + 1 three-letter runs of the quote (within its document),
+    of one ``key`` and ``ident`` are one. Where a document has up to FEW_QUOTES quotes, all its lines of a length in reach are candidates: that is
+    linear in the lines, and explodes nothing. Where it has more, lines are candidates if they share one of the rarest 3 k + 1 three-letter runs of the quote (within its document),
     where k is the edits allowed: k edits break 3 k runs at most, so no match is lost. Quotes with fewer runs than that meet
     the lines of every length in reach. Edit distance is computed for candidates only, and given up beyond k.
     """
     # Of a quote given twice the smaller text counts.
     asked = quotes.where(F.col(key).isNotNull() & F.col(ident).isNotNull()).select(key, ident, plain_line(F.col(quote)).alias("quote")).where("quote <> ''").groupBy(key, ident).agg(F.min("quote").alias("quote"))
     asked = asked.withColumns({"n": F.length("quote"), "k": F.floor(F.length("quote") * tolerance).cast("int")})
+    asked = staged(asked, "quotes")
+    crowded = asked.groupBy(key).agg(F.count("*").alias("quotes")).where(F.col("quotes") > FEW_QUOTES).select(key)
+    close = F.abs(F.length("plain") - F.col("n")) <= F.col("k")
+    tried = lines.join(asked.join(crowded, key, "left_anti"), key).where(close)
+    if not crowded.isEmpty():
+        tried = tried.unionByName(_by_grams(asked.join(crowded, key, "left_semi"), lines, key, ident), allowMissingColumns=True)
+    # The bound of levenshtein is one number for all rows, so lines out of reach are told apart afterwards.
+    tried = tried.withColumn("distance", F.levenshtein("plain", "quote")).where("distance <= k")
+    best = F.min_by(F.struct("line", "start", "size", "distance"), F.struct("distance", "line"))
+    return tried.groupBy(key, ident).agg(best.alias("b")).select(key, ident, "b.*")
+
+
+def _by_grams(asked: DataFrame, lines: DataFrame, key: str, ident: str) -> DataFrame:
+    """Candidates of ``locate_lines`` by rare runs: rows of ``lines`` with ``ident``, quote and k."""
     asked = asked.withColumn("grams", _grams(F.col("quote"))).withColumn("need", F.col("k") * GRAM + 1)
     many = F.size("grams") >= F.col("need")
     near = lines.join(asked.select(key).distinct(), key, "left_semi").withColumn("n_line", F.length("plain"))
@@ -135,8 +153,4 @@ def locate_lines(quotes: DataFrame, lines: DataFrame, key: str, ident: str, quot
     by_gram = chosen.join(grams, [key, "gram"]).where(in_reach).select(key, ident, "line").distinct()
     short = asked.where(~many).select(key, ident, F.explode(F.sequence(F.greatest(F.lit(1), F.col("n") - F.col("k")), F.col("n") + F.col("k"))).alias("n_line"))
     pairs = by_gram.unionByName(short.join(near.select(key, "line", "n_line"), [key, "n_line"]).select(key, ident, "line"))
-    tried = pairs.join(near, [key, "line"]).join(asked.select(key, ident, "quote", "k"), [key, ident])
-    # The bound of levenshtein is one number for all rows, so lines out of reach are told apart afterwards.
-    tried = tried.withColumn("distance", F.levenshtein("plain", "quote")).where("distance <= k")
-    best = F.min_by(F.struct("line", "start", "size", "distance"), F.struct("distance", "line"))
-    return tried.groupBy(key, ident).agg(best.alias("b")).select(key, ident, "b.*")
+    return pairs.join(near.drop("n_line"), [key, "line"]).join(asked.select(key, ident, "quote", "k", "n"), [key, ident])

@@ -250,6 +250,23 @@ def edits(a, b):
     return row[-1]
 
 
+def test_few_quotes_explode_no_runs(spark, monkeypatch):
+    calls = []
+    monkeypatch.setattr(evidence, "_grams", lambda text, real=evidence._grams: calls.append(1) or real(text))
+    lines = evidence.text_lines(spark.createDataFrame([(1, "the first line\nthe second lines\nthe second line")], "doc bigint, text string"), "doc", "text")
+    quotes = [(1, i, "the second lime") for i in range(evidence.FEW_QUOTES + 1)]
+    find = lambda n: evidence.locate_lines(spark.createDataFrame(quotes[:n], "doc bigint, q int, quote string"), lines, "doc", "q", "quote")
+    few = sorted(tuple(r) for r in find(len(quotes) - 1).collect())
+    assert few == [(1, i, 2, 32, 15, 1) for i in range(len(quotes) - 1)] and not calls
+    assert sorted(tuple(r) for r in find(len(quotes)).collect()) == [*few, (1, len(quotes) - 1, 2, 32, 15, 1)] and calls
+
+
+@pytest.mark.parametrize("few", [0, 100])
+def test_lines_equal_brute_force_by_either_way(spark, monkeypatch, few):
+    monkeypatch.setattr(evidence, "FEW_QUOTES", few)
+    test_lines_equal_brute_force_over_all(spark)
+
+
 def test_lines_equal_brute_force_over_all(spark):
     rng = random.Random(8)
     word = lambda: "".join(rng.choice("abcdé") for _ in range(rng.randint(1, 7)))
