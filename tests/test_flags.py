@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -82,6 +83,13 @@ def test_repairs_equal_python_over_whole_texts(spark):
     assert got == want
 
 
+def test_repairs_grow_with_the_text(spark):
+    df = spark.createDataFrame([("Mav and Julv. " * 20000,)], "x string")
+    began = time.time()
+    got = df.select(parsing.repair_scan(F.col("x")).alias("y")).first()["y"]
+    assert got == ("May and July. " * 20000).strip() and time.time() - began < 20
+
+
 @pytest.mark.parametrize(
     "raw, fixed",
     [("Mav 1, Julv 2 and Mave", "May 1, July 2 and Mave"), ("$14.\n00 and 1,\n234.56", "$14.00 and 1,234.56"), ("S0.50 is $ 3.10", "$0.50 is $3.10"), ("12.5? per kWh", "12.5¢ per kWh"), ("0.0067 f!/kWh", "0.0067¢/kWh"), ("1.25 0\nnext", "1.25¢\nnext"), ("(O.50) (l.25) I.5", "(0.50) (1.25) 1.5"), ("a\n■■■───\nb", "a\n\nb"), ("", ""), (None, None)],
