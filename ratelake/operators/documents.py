@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from .latest import top_of
+from .patterns import has_pattern
 from .statuses import first_of_rules
 
 SPANS = "span int, start_page bigint, end_page bigint, doc_type string, leaves array<string>, titles array<string>"
@@ -66,7 +67,7 @@ def marker_points(text: Column, markers: Sequence[tuple[str, int]]) -> Column:
     """Sum of the weights of the patterns that a text has, in any case."""
     total = F.lit(0)
     for pattern, weight in markers:
-        total = total + F.when(text.rlike(f"(?i){pattern}"), weight).otherwise(0)
+        total = total + F.when(has_pattern(text, pattern), weight).otherwise(0)
     return total
 
 

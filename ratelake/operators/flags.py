@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .documents import FINAL, PROPOSED, marker_points
+from .patterns import may_match
 from .statuses import first_of_rules
 
 Marks = Sequence[tuple[str, int]]
@@ -62,8 +63,18 @@ def marked(text: Column, name: str, more: Column | None = None) -> Column:
     return _said(label, F.when(points >= sure, F.least(F.lit(1.0), points / most)).when(points >= maybe, weak).otherwise(0.0))
 
 
+def _gated(text: Column, pattern: str) -> Column:
+    """The text where it has what the pattern requires, else an empty one (null stays): the pattern has nothing to search then."""
+    may = may_match(text, pattern)
+    return text if may is None else F.when(may | text.isNull(), text).otherwise("")
+
+
 def _all(text: Column, pattern: str) -> Column:
-    return F.regexp_extract_all(text, F.lit(f"(?i){pattern}"), F.lit(1))
+    return F.regexp_extract_all(_gated(text, pattern), F.lit(f"(?i){pattern}"), F.lit(1))
+
+
+def _first(text: Column, pattern: str, group: int) -> Column:
+    return F.regexp_extract(_gated(text, pattern), f"(?i){pattern}", group)
 
 
 def leaf_numbers(text: Column, known: Column) -> Column:
@@ -80,12 +91,12 @@ def _found_or_known(found: Column, sure: float, known: Column, less: float, othe
 
 
 def docket_number(text: Column, known: Column) -> Column:
-    return _found_or_known(F.trim(F.regexp_extract(text, f"(?i){DOCKET}", 1)), 0.95, known, 0.7, "unknown")
+    return _found_or_known(F.trim(_first(text, DOCKET, 1)), 0.95, known, 0.7, "unknown")
 
 
 def effective_date(text: Column, known: Column) -> Column:
     """The first date that follows the word effective, as yyyy-mm-dd; days beyond 31 and years outside 1900 to 2099 are none."""
-    parts = F.split(F.translate(F.regexp_extract(text, f"(?i){EFFECTIVE}", 1), ",", " "), r"\s+")
+    parts = F.split(F.translate(_first(text, EFFECTIVE, 1), ",", " "), r"\s+")
     names = F.create_map(*(F.lit(x) for i, m in enumerate(MONTHS, 1) for x in (m, i)), *(F.lit(x) for m in SHORT_MONTHS if m != "may" for x in (m, [n[:3] for n in MONTHS].index(m[:3]) + 1)))
     month = F.try_element_at(names, F.lower(F.get(parts, 0)))
     day, year = F.get(parts, 1).try_cast("int"), F.get(parts, 2).try_cast("int")
@@ -102,7 +113,7 @@ def tariff_family(text: Column, known: Column) -> Column:
 
 def company(text: Column, names: Sequence[tuple[str, str]], known: Column) -> Column:
     """The company (pattern, code) whose name in the text is longest, the first of equals; a ``known`` code of the list where none is named."""
-    lengths = [F.length(F.regexp_extract(text, f"(?i){p}", 0)) for p, _ in names]
+    lengths = [F.length(_first(text, p, 0)) for p, _ in names]
     best = F.greatest(*lengths) if len(lengths) > 1 else lengths[0]
     found = F.coalesce(*(F.when((n == best) & (n > 0), code) for n, (_, code) in zip(lengths, names, strict=True)))
     held = F.when(F.upper(known).isin(*{c for _, c in names}), F.upper(known))

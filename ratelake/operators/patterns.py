@@ -17,6 +17,51 @@ BROADCAST_ROWS = 200_000
 CASES_HOLD, CASES_FAIL, CASES, FALSE_POSITIVES = 0.8, 0.25, 3, 3
 
 
+def required_any(pattern: str) -> list[str]:
+    """Words (ASCII letters and digits, lower case) of which any match of ``pattern`` holds at least one, in whatever case; none if no
+    such words are known."""
+    from re import _constants as c
+    from re import _parser as parser
+
+    def words(tokens: Iterable) -> list[str]:
+        choices, run = [], ""
+        for op, value in tokens:
+            if op is c.LITERAL and chr(value).isascii() and chr(value).isalnum():
+                run += chr(value).lower()
+                continue
+            choices.append([run])
+            run = ""
+            if op is c.SUBPATTERN:
+                choices.append(words(value[3]))
+            elif op is c.BRANCH:
+                each = [words(b) for b in value[1]]
+                choices.append([w for e in each for w in e] if all(each) else [])
+            elif op in (c.MAX_REPEAT, c.MIN_REPEAT, c.POSSESSIVE_REPEAT) and value[0] >= 1:
+                choices.append(words(value[2]))
+        choices.append([run])
+        fit = [ch for ch in choices if ch and all(ch)]
+        # The longer the shortest word, the fewer texts have one.
+        return max(fit, key=lambda ch: (min(map(len, ch)), -len(ch)), default=[])
+
+    return sorted(set(words(parser.parse(pattern))))
+
+
+def may_match(text: Column, pattern: str) -> Column | None:
+    """Whether a text has what ``pattern`` requires, in whatever case: cheaper than the pattern by far. None if nothing is required."""
+    low = F.lower(text)
+    held = None
+    for word in required_any(pattern):
+        has = low.contains(word)
+        held = has if held is None else held | has
+    return held
+
+
+def has_pattern(text: Column, pattern: str) -> Column:
+    """``text.rlike`` of the pattern in any case; the pattern runs only over texts that have what it requires."""
+    may, found = may_match(text, pattern), text.rlike(f"(?i){pattern}")
+    return found if may is None else may & found
+
+
 def required_literal(pattern: str) -> str | None:
     """The longest run of letters and digits (ASCII, lower case) that any match of ``pattern`` holds, in whatever case; '' if
     there is none, None if the pattern cannot be read."""

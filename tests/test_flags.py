@@ -67,6 +67,22 @@ def test_schedule_codes(spark):
     assert got == [("RES-28", "explicit_prefix"), ("EB", "explicit_prefix"), ("R-TOU-CPP", "compound"), ("PG", "known_short"), ("LGS", "known_short")]
 
 
+def test_patterns_run_only_where_their_words_are(spark):
+    from ratelake.operators import documents, patterns
+
+    every = [p for marks in (documents.FINAL, documents.PROPOSED, *(m for m, *_ in flags.BOUNDS.values())) for p, _ in marks]
+    every += [flags.LEAF, flags.DOCKET, flags.EFFECTIVE, flags.PREFIXED, "commission"]
+    assert sum(not patterns.required_any(p) for p in every) <= 2 and patterns.required_any(r"(?:a|[0-9])+x?") == []
+    texts = [r["x"] for r in spark.read.parquet(f"{D}/documents.parquet").select(flag_queries._text().alias("x")).collect()]
+    for p in every:
+        words = patterns.required_any(p)
+        hits = [t for t in texts if re.search(p, t, re.I | re.A)]
+        assert not words or all(any(w in t.lower() for w in words) for t in hits)
+    df = spark.createDataFrame([("K\u212aWH SO ORDERED",), ("",), (None,)], "t string")
+    got = [r["y"] for r in df.select(patterns.has_pattern(F.col("t"), r"so\s+ordered").alias("y")).collect()]
+    assert got == [True, False, None]
+
+
 def python_repair(text):
     step = lambda t, pairs: [t := re.sub(p, r.replace(r"\$", "$").replace("$1", r"\1").replace("$2", r"\2") if r != r"\$$1" else r"$\1", t) for p, r in pairs][-1]
     out = step(text, parsing.SCAN_NOISE)
