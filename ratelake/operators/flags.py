@@ -147,11 +147,15 @@ def schedule_codes(text: Column, title: Column, denied: Sequence[str] = ()) -> C
     def fits(c: Column) -> Column:
         return ~c.isin(*no) & ~c.rlike(r"^R[0-9]+-[0-9]+$") & ~c.rlike("^[0-9]+$") & F.length(c).between(2, LONGEST_CODE) & ((F.length(c) != 2) | c.isin(*two))
 
-    def found(pattern: str, source: str) -> Column:
-        raw = F.regexp_extract_all(text, F.lit(pattern.replace(r"\b", _EDGE)), F.lit(1))
+    def found(pattern: str, source: str, start: str, required: Column) -> Column:
+        # The first edge is the beginning of a word, and is looked for only where the ``start`` of a match stands.
+        exact = f"{start}(?<![A-Za-z0-9_])" + pattern.removeprefix(r"\b").replace(r"\b", _EDGE)
+        raw = F.regexp_extract_all(F.when(required | text.isNull(), text).otherwise(""), F.lit(exact), F.lit(1))
         return F.transform(F.filter(F.transform(raw, lambda c: F.upper(F.trim(c))), fits), lambda c: F.struct(c.alias("code"), F.lit(source).alias("source")))
 
     short = F.array_compact(F.array(*(F.when(F.upper(title).rlike(f"{_EDGE}{c}{_EDGE}"), F.struct(F.lit(c).alias("code"), F.lit("known_short").alias("source"))) for c in SHORT_CODES)))
-    every = F.concat(found(f"(?i){PREFIXED}", "explicit_prefix"), found(COMPOUND, "compound"), short)
+    named = found(PREFIXED, "explicit_prefix", "(?i)(?=[SR])", may_match(text, PREFIXED))
+    dashed = found(COMPOUND, "compound", "(?=[A-Z])", text.contains("-"))
+    every = F.concat(named, dashed, short)
     start = F.array().cast("array<struct<code: string, source: string>>")
     return F.aggregate(every, start, lambda acc, c: F.when(F.exists(acc, lambda x: x["code"] == c["code"]), acc).otherwise(F.array_append(acc, c)))

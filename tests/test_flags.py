@@ -67,6 +67,15 @@ def test_schedule_codes(spark):
     assert got == [("RES-28", "explicit_prefix"), ("EB", "explicit_prefix"), ("R-TOU-CPP", "compound"), ("PG", "known_short"), ("LGS", "known_short")]
 
 
+def test_codes_are_not_searched_without_their_words(spark):
+    docs = spark.createDataFrame([("Rider\nschedule ab-1x (NC) a RES-28 B-1, xA-1 A-1_ \u00e9B-2 schedulee C",), ("none of them",), (None,)], "t string")
+    got = docs.select(flags.schedule_codes(F.col("t"), F.lit("")).alias("c"))
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Contains" in plan or "contains" in plan.lower()
+    found = [None if r["c"] is None else [tuple(x) for x in r["c"]] for r in got.collect()]
+    assert found == [[("AB-1X", "explicit_prefix"), ("RES-28", "compound"), ("B-1", "compound"), ("B-2", "compound")], [], None]
+
+
 def test_patterns_run_only_where_their_words_are(spark):
     from ratelake.operators import documents, patterns
 
