@@ -10,6 +10,28 @@ from pyspark.sql.window import Window
 
 #: Queries, and other rows, that meet in one task; two blocks of 64 numbers take 30 MB.
 QUERY_BLOCK, ROW_BLOCK = 2048, 16384
+#: Queries of a block that are scored at once: scores of 64 queries with a block of rows take 8 MB, of a whole block 268 MB.
+AT_ONCE = 64
+
+
+def block_best(a: pd.DataFrame, b: pd.DataFrame, k: int) -> pd.DataFrame:
+    """query, id and score of the ``k`` rows of a block ``b`` (id, v) nearest to each row of a block ``a`` (id, v), itself left out."""
+    out: dict[str, list] = {"query": [], "id": [], "score": []}
+    for size in sorted({len(v) for v in a["v"]} & {len(v) for v in b["v"]}):
+        x, y = (s[[len(v) == size for v in s["v"]]] for s in (a, b))
+        unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in (np.stack(list(s["v"])).astype(float) for s in (x, y))]
+        asked, ids = x["id"].to_numpy(), y["id"].to_numpy()
+        for at in range(0, len(asked), AT_ONCE):
+            scores = unit[0][at : at + AT_ONCE] @ unit[1].T
+            for own, found in zip(asked[at : at + AT_ONCE], scores, strict=True):
+                row = np.where(ids == own, -np.inf, found)
+                # All rows as near as the k-th, so that ties are settled by id.
+                keep = np.flatnonzero(row >= np.partition(row, -min(k, len(row)))[-min(k, len(row))])
+                keep = keep[np.isfinite(row[keep])]
+                keep = keep[np.lexsort((ids[keep], -row[keep]))][:k]
+                for name, part in zip(out, (np.full(len(keep), own), ids[keep], row[keep]), strict=True):
+                    out[name].append(part)
+    return pd.DataFrame({name: np.concatenate(parts) if parts else [] for name, parts in out.items()})
 
 
 def nearest(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k: int = 11) -> DataFrame:
@@ -30,19 +52,7 @@ def nearest(queries: DataFrame, rows: DataFrame, ident: str, vector: str, k: int
     right = held.withColumn("r", block(n_r)).withColumn("q", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1))))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        for size in sorted({len(v) for v in a["v"]} & {len(v) for v in b["v"]}):
-            x, y = (s[[len(v) == size for v in s["v"]]] for s in (a, b))
-            unit = [m / np.linalg.norm(m, axis=1, keepdims=True) for m in (np.stack(list(s["v"])).astype(float) for s in (x, y))]
-            scores, ids = unit[0] @ unit[1].T, y["id"].to_numpy()
-            for i, own in enumerate(x["id"].to_numpy()):
-                row = np.where(ids == own, -np.inf, scores[i])
-                # All rows as near as the k-th, so that ties are settled by id.
-                keep = np.flatnonzero(row >= np.partition(row, -min(k, len(row)))[-min(k, len(row))])
-                keep = keep[np.isfinite(row[keep])]
-                keep = keep[np.lexsort((ids[keep], -row[keep]))][:k]
-                out.append(pd.DataFrame({"query": own, "id": ids[keep], "score": row[keep]}))
-        return pd.concat(out) if out else pd.DataFrame({"query": [], "id": [], "score": []})
+        return block_best(a, b, k)
 
     found = left.groupBy("q", "r").cogroup(right.groupBy("q", "r")).applyInPandas(best, "query bigint, id bigint, score double")
     place = F.row_number().over(Window.partitionBy("query").orderBy(F.desc("score"), "id"))

@@ -179,3 +179,26 @@ def test_best_families_of_classes_equal_all(spark):
     docs, families = side(120, "d"), side(150, "f")
     every = family_links(docs, families, "d", "f").where("rank <= 3")
     assert sorted(map(tuple, family_links(docs, families, "d", "f", top=3).collect())) == sorted(map(tuple, every.collect()))
+
+
+def test_neighbours_of_full_blocks_need_little_memory():
+    import tracemalloc
+
+    import numpy as np
+    import pandas as pd
+
+    from ratelake.operators import knn
+
+    rng = np.random.default_rng(3)
+    b = pd.DataFrame({"id": np.arange(knn.ROW_BLOCK), "v": list(rng.normal(size=(knn.ROW_BLOCK, 64)))})
+    a = b.iloc[: knn.QUERY_BLOCK]
+    tracemalloc.start()
+    got = knn.block_best(a, b, 11)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 100e6 and len(got) == 11 * knn.QUERY_BLOCK and (got["query"] != got["id"]).all()
+    unit = np.stack(list(b["v"])) / np.linalg.norm(np.stack(list(b["v"])), axis=1, keepdims=True)
+    for q in (0, 63, 64, 2047):
+        scores = unit @ unit[q]
+        scores[q] = -2
+        assert got[got["query"] == q]["id"].tolist() == np.argsort(-scores)[:11].tolist()
