@@ -173,28 +173,23 @@ def build_sections(pages: DataFrame, key: str) -> DataFrame:
     )
     held = one.groupBy(key).agg(F.sort_array(F.collect_list(page)).alias("pages"))
     touches = lambda p, i: (F.get("pages", i - 1)["kind"] == p["kind"]) & (F.get("pages", i - 1)["page"] + 1 == p["page"])
-    begins = F.transform("pages", lambda p, i: F.when(F.coalesce(touches(p, i), F.lit(False)), 0).otherwise(1))
-    # Where each page's span began, and how long it is.
-    since = F.aggregate(
-        "begins", F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("i")),
-        lambda acc, b: F.struct(F.array_append(acc["out"], F.when(b == 1, F.size(acc["out"])).otherwise(acc["i"])).alias("out"), F.when(b == 1, F.size(acc["out"])).otherwise(acc["i"]).alias("i")),
-        lambda acc: acc["out"],
-    )
-    lengths = F.aggregate(
-        "since", F.create_map().cast("map<int, int>"), lambda m, s: F.map_zip_with(m, F.create_map(s, F.lit(1)), lambda k, a, b: F.coalesce(a, F.lit(0)) + F.coalesce(b, F.lit(0)))
-    )
-    placed = held.withColumn("begins", begins).withColumn("since", since).withColumn("lengths", lengths)
+    # Where spans begin; each span's pages are described with its place and length.
+    starts = F.array_compact(F.transform("pages", lambda p, i: F.when(~F.coalesce(touches(p, i), F.lit(False)), i)))
+    placed = held.withColumn("starts", starts)
 
-    def described(p: Column, i: Column) -> Column:
-        after = F.when(F.get("begins", i + 1) == 0, F.get("pages", i + 1))
-        mine = F.get("since", i)
+    def described(i: Column, start: Column, of: Column) -> Column:
+        p, after = F.get("pages", i), F.when(i - start + 1 < of, F.get("pages", i + 1))
         return F.struct(
             p["page"].alias("page"), p["kind"].alias("kind"), p["leaves"].alias("leaves"), p["codes"].alias("codes"), *(p[c].alias(c) for c in (*FLAGS, *DENSITIES)),
-            mine.alias("span"), (i - mine).alias("at"), F.element_at("lengths", mine).alias("of"),
+            start.alias("span"), (i - start).alias("at"), of.alias("of"),
             F.coalesce(after["leaves"], _none()).alias("next_leaves"), F.coalesce(after["codes"], _none()).alias("next_codes"),
         )
 
-    folded = placed.select(key, F.transform("pages", described).alias("pages")).select(key, _merged(_refined(F.col("pages"))).alias("sections"))
+    def span_of(start: Column, j: Column) -> Column:
+        of = F.coalesce(F.get("starts", j + 1), F.size("pages")) - start
+        return _let(of, lambda n: F.transform(F.sequence(start, start + n - 1), lambda i: described(i, start, n)))
+
+    folded = placed.select(key, F.flatten(F.transform("starts", span_of)).alias("pages")).select(key, _merged(_refined(F.col("pages"))).alias("sections"))
     rows = folded.select(key, F.posexplode("sections").alias("section", "s")).withColumn("section_type", section_type(F.col("s")))
     bare = F.col("section_type").isin("cover_letter", "table_of_contents")
     kept = lambda c: F.when(bare, _none()).otherwise(F.array_sort(F.col(f"s.{c}"))).alias(c)

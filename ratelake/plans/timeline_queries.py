@@ -139,10 +139,12 @@ def row_evidence(spark: SparkSession, d: str) -> DataFrame:
 def page_signals(docs: DataFrame) -> DataFrame:
     """Lines of texts as pages, with the signals that sections are built from."""
     c = F.col
-    words = F.split(c("line"), r"[^\p{L}]+")
+    words = c("words")
     of_length = lambda n: F.array_sort(F.array_distinct(F.filter(words, lambda w: F.length(w) == n)))
     share = lambda pattern: F.size(F.regexp_extract_all("line", F.lit(pattern), F.lit(0))) / F.greatest(F.size(words), F.lit(1))
     lines = docs.select("doc_id", F.posexplode(F.split(F.coalesce("text", F.lit("")), "\\n", -1)).alias("page", "line"))
+    # A column of its own: each use of an expression inside functions over arrays would be split anew.
+    lines = lines.withColumn("words", F.split("line", r"[^\p{L}]+"))
     return lines.select(
         "doc_id", "page", F.when(c("page") % 9 < 6, "tariff").otherwise("procedural").alias("kind"), of_length(7).alias("leaves"), of_length(8).alias("codes"),
         (F.length("line") % 3 == 0).alias("header"), (F.length("line") % 4 == 0).alias("heading"), c("line").contains(":").alias("effective"), c("line").contains(";").alias("redline"),

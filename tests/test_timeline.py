@@ -1,8 +1,9 @@
 """Coverage, nearest values, sections and evidence against plain loops."""
 
-import datetime
 import bisect
+import datetime
 import random
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -300,3 +301,15 @@ def test_lines_equal_brute_force_over_all(spark):
             e, n, at, size = min(found)
             want[d, q] = (n, at, size, e)
     assert got == want and len(want) > 80 and any(v[3] for v in want.values())
+
+
+def test_spans_are_not_counted_again_for_each_page(spark):
+    n = 2000
+    none = F.array().cast("array<string>")
+    pages = spark.range(n).select(
+        F.lit(1).alias("doc"), F.col("id").alias("page"), F.concat(F.lit("k"), (F.col("id") % 2).cast("string")).alias("kind"), none.alias("leaves"), none.alias("codes"),
+        *(F.lit(False).alias(f) for f in ("header", "heading", "effective", "redline", "toc", "values")), F.lit(0.0).alias("tariff"), F.lit(0.0).alias("procedural"),
+    )
+    began = time.time()
+    found = sections.build_sections(pages, "doc").agg(F.count("*").alias("n"), F.sum("pages").alias("pages"), F.max("end_page").alias("last")).first()
+    assert tuple(found) == (n, n, n - 1) and time.time() - began < 45
