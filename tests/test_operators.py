@@ -156,3 +156,13 @@ def test_stream_equals_batch(spark, tmp_path):
     key = lambda r: (r["user_id"], r["start"], r["period"], r["kwh"], r["n"])
     assert sorted(map(key, spark.table("periods").where("user_id <> 9").collect())) == sorted(map(key, streams.period_usage(events).collect()))
     assert streams.sessions(events, "2 hours").agg(F.sum("n")).first()[0] == events.count()
+
+
+def test_histories_carried_together_equal_asof_joins(spark):
+    a = spark.createDataFrame([(1, 3, 1, 5.0), (1, 3, 2, None), (1, 9, 3, 7.0), (None, 2, 4, 1.0), (1, None, 5, 2.0)], "k int, a_at int, a_id int, a double")
+    b = spark.createDataFrame([(1, 1, 8), (1, 4, 9), (2, 5, 6), (None, 3, 4)], "k int, b_at int, b int")
+    spine = a.select("k", "a_at").union(b.select("k", "b_at")).distinct().withColumnRenamed("a_at", "at")
+    want = asof.asof_join(asof.asof_join(spine, a, ["k"], "at", "a_at", ["a_id"]), b, ["k"], "at", "b_at")
+    got = asof.carried_together([(a, "a_at", ["a_id"]), (b, "b_at", [])], ["k"], "at")
+    assert got.columns == want.columns and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    assert got._jdf.queryExecution().optimizedPlan().toString().count("RepartitionByExpression") == 1
