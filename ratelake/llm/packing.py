@@ -31,8 +31,8 @@ from . import common
 
 MAX_LEN = 2048
 END_ID = 1
-#: Chunks of text whose ids a worker remembers at most.
-CACHE = 1_250_000
+#: Chunks of text whose ids a worker remembers at most (some 150 bytes each, kept as long as the worker lives).
+CACHE = 600_000
 
 
 class ChunkTokenizer:
@@ -54,11 +54,11 @@ class ChunkTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
-        self.known: dict[str, bytes] = {"": b""}
+        self.recent = common.Recent(CACHE)
 
     def _look_up(self, chunks: list[str]) -> None:
         for c, e in zip(chunks, self.tokenizer.encode_batch_fast(chunks, add_special_tokens=False), strict=True):
-            self.known[c] = array("I", e.ids).tobytes()
+            self.recent.known[c] = array("I", e.ids).tobytes()
 
     def _look_up_words(self, words: list[str]) -> None:
         """Many words of letters in one text each time; the ids with an end-of-word mark tell them apart."""
@@ -71,11 +71,11 @@ class ChunkTokenizer:
                 continue
             raw, a = ids.tobytes(), 0
             for w, b in zip(some, cuts, strict=True):
-                self.known[w] = raw[a * 4 : b * 4]
+                self.recent.known[w] = raw[a * 4 : b * 4]
                 a = b
 
     def _learn(self, chunks: set[str]) -> None:
-        known, split, words, rest = self.known, [], set(), set()
+        known, split, words, rest = self.recent.known, [], set(), set()
         for c in chunks:
             stem = c.rstrip(string.punctuation)
             if stem.isalpha():
@@ -97,14 +97,11 @@ class ChunkTokenizer:
                 if self.folds and "<|" not in text and is_latin(text):
                     text = text.lower()
                 lists.append(text.replace("\n", " ").split(" "))
-            every = set().union(*lists)
-            new = every.difference(self.known)
-            if len(self.known) + len(new) > CACHE:
-                self.known, new = {"": b""}, every - {""}
+            new = self.recent.missing(set().union(*lists))
             if new:
                 self._learn(new)
             for chunks in lists:
-                yield b"".join(map(self.known.__getitem__, chunks))
+                yield b"".join(map(self.recent.known.__getitem__, chunks))
 
 
 def is_latin(text: str) -> bool:

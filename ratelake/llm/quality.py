@@ -27,7 +27,8 @@ HIDDEN = 24
 MAX_TRAIN = 6000
 THRESHOLD = 0.5
 SEED = 11
-CACHE = 400_000
+#: Words whose bucket and shape a task remembers at most.
+CACHE = 100_000
 _WORD = re.compile(r"[^\W\d_]+|\d+|[^\w\s]+|_+")
 
 
@@ -52,17 +53,16 @@ class Words:
     """Bucket and shape of each token of a text."""
 
     def __init__(self) -> None:
-        self.known: dict[str, int] = {}
+        self.recent = common.Recent(CACHE)
 
     def __call__(self, text: str) -> tuple[np.ndarray, np.ndarray]:
         tokens = _WORD.findall(text)
-        new = set(tokens).difference(self.known)
-        if len(self.known) + len(new) > CACHE:
-            self.known, new = {}, set(tokens)
+        new = self.recent.missing(set(tokens))
+        known = self.recent.known
         for t in new:
             bucket = SHAPES + zlib.crc32(t.lower().encode("utf-8", "replace")) % (BUCKETS - SHAPES)
-            self.known[t] = bucket << 8 | shape_of(t)
-        both = np.fromiter(map(self.known.__getitem__, tokens), np.int64, len(tokens))
+            known[t] = bucket << 8 | shape_of(t)
+        both = np.fromiter(map(known.__getitem__, tokens), np.int64, len(tokens))
         words, shapes = both >> 8, both & 255
         shapes[1:] += (words[1:] == words[:-1]) * (SHAPES // 2)
         return words, shapes

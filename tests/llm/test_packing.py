@@ -86,3 +86,30 @@ def test_pieces_equal_the_documents(spark):
 
 def test_empty_table(spark):
     assert packing.pack_documents(spark.createDataFrame([], "doc_id bigint, text string"), PATH).count() == 0
+
+
+def test_rare_words_do_not_fill_a_worker(monkeypatch):
+    """What a worker remembers is bounded, words that keep coming back are learnt once, and ids are those of the tokenizer."""
+    import tracemalloc
+
+    from ratelake.llm import quality
+
+    monkeypatch.setattr(packing, "CACHE", 2000)
+    tokens = packing.ChunkTokenizer(PATH)
+    learnt = []
+    monkeypatch.setattr(tokens, "_learn", lambda chunks, learn=tokens._learn: (learnt.extend(chunks), learn(chunks)))
+    for i in range(40):
+        texts = [f"often  again, {' '.join(f'w{i}x{j}y{k},' for k in range(10))}" for j in range(64)]
+        got = list(tokens(texts))
+        assert len(tokens.recent.known) + len(tokens.recent.older) <= 3500
+        assert got[5] == np.array(tokens.tokenizer.encode(texts[5], add_special_tokens=False).ids, "<u4").tobytes()
+    assert learnt.count("often") == learnt.count("again,") == 1 and len(learnt) > 25_000
+
+    words = quality.Words()
+    tracemalloc.start()
+    letters = str.maketrans("0123456789", "abcdefghij")
+    for i in range(390):
+        words(" ".join(map(str, range(i * 1000, i * 1000 + 1000))).translate(letters))
+    held = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert held < 25e6 and len(words.recent.known) + len(words.recent.older) <= quality.CACHE
