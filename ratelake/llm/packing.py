@@ -33,6 +33,8 @@ MAX_LEN = 2048
 END_ID = 1
 #: Chunks of text whose ids a worker remembers at most (some 150 bytes each, kept as long as the worker lives).
 CACHE = 600_000
+#: The pre-tokens of a tokenizer that leaves a word of letters whole (``byte_letters``).
+LETTERS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
 
 class ChunkTokenizer:
@@ -54,6 +56,8 @@ class ChunkTokenizer:
         vocabulary = self.tokenizer.get_vocab()
         self.ends = np.zeros(max(vocabulary.values()) + 1, bool)
         self.ends[[i for t, i in vocabulary.items() if suffix and t.endswith(suffix)]] = True
+        self.bytes_of = byte_letters(made)
+        self.model = self.tokenizer.model
         self.recent = common.Recent(CACHE)
 
     def _look_up(self, chunks: list[str]) -> None:
@@ -61,7 +65,17 @@ class ChunkTokenizer:
             self.recent.known[c] = array("I", e.ids).tobytes()
 
     def _look_up_words(self, words: list[str]) -> None:
-        """Many words of letters in one text each time; the ids with an end-of-word mark tell them apart."""
+        """Lower-case words of one-byte letters go to the model itself, which is all that is left to do with them; of others, many in one
+        text each time, and the ids with an end-of-word mark tell them apart."""
+        if self.bytes_of is not None:
+            rest, known, letters = [], self.recent.known, self.model.tokenize
+            for w in words:
+                if not w.islower() or not is_latin(w):
+                    rest.append(w)
+                    continue
+                made = letters(w if w.isascii() else w.encode().decode("latin-1").translate(self.bytes_of))
+                known[w] = array("I", [t.id for t in made]).tobytes()
+            words = rest
         for at in range(0, len(words), 64):
             some = words[at : at + 64]
             ids = array("I", self.tokenizer.encode(" ".join(some), add_special_tokens=False).ids)
@@ -92,16 +106,45 @@ class ChunkTokenizer:
 
     def __call__(self, texts: list[str]) -> Iterator[bytes]:
         for at in range(0, len(texts), 64):
-            lists = []
+            met, missed = [], set()
+            known = self.recent.known
             for text in texts[at : at + 64]:
                 if self.folds and "<|" not in text and is_latin(text):
                     text = text.lower()
-                lists.append(text.replace("\n", " ").split(" "))
-            new = self.recent.missing(set().union(*lists))
-            if new:
-                self._learn(new)
-            for chunks in lists:
-                yield b"".join(map(self.recent.known.__getitem__, chunks))
+                chunks = text.replace("\n", " ").split(" ")
+                ids = list(map(known.get, chunks))
+                gaps = [i for i, found in enumerate(ids) if found is None]
+                missed.update([chunks[i] for i in gaps])
+                met.append((chunks, ids, gaps))
+            if missed:
+                # What the texts hold stays in the younger generation when a new one begins.
+                begins = self.recent.full(len(missed))
+                new = self.recent.missing(missed.union(*(chunks for chunks, *_ in met)) if begins else missed)
+                if new:
+                    self._learn(new)
+            known = self.recent.known
+            for chunks, ids, gaps in met:
+                for i in gaps:
+                    ids[i] = known[chunks[i]]
+                yield b"".join(ids)
+
+
+def byte_letters(made: dict) -> dict[int, str] | None:
+    """What stands for each byte (as a Latin-1 character) before the model of the tokenizer ``made`` (its JSON), where all that the tokenizer
+    does with a lower-case, composed word of letters is to write its bytes so and hand it over in one piece; else None."""
+    normal, parts = made["normalizer"] or {"normalizers": []}, made["pre_tokenizer"] or {}
+    steps = [s["type"] for s in normal.get("normalizers", [normal]) if s != {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}]
+    cuts = parts.get("pretokenizers", [])
+    if not set(steps) <= {"NFC", "Lowercase"} or len(cuts) != 2 or made["post_processor"] or made["truncation"] or made["padding"]:
+        return None
+    split, last = cuts
+    if (split["type"], split.get("behavior"), split.get("invert"), split.get("pattern")) != ("Split", "Removed", True, {"Regex": LETTERS}):
+        return None
+    if last["type"] != "ByteLevel" or last["add_prefix_space"] or last["use_regex"] or any(t["content"].isalpha() for t in made["added_tokens"]):
+        return None
+    printed = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
+    others = [b for b in range(256) if b not in printed]
+    return {b: chr(256 + i) for i, b in enumerate(others)}
 
 
 def is_latin(text: str) -> bool:

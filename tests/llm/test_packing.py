@@ -1,3 +1,4 @@
+import json
 import random
 import zlib
 from collections import Counter, defaultdict
@@ -113,3 +114,32 @@ def test_rare_words_do_not_fill_a_worker(monkeypatch):
     held = tracemalloc.get_traced_memory()[0]
     tracemalloc.stop()
     assert held < 25e6 and len(words.recent.known) + len(words.recent.older) <= quality.CACHE
+
+
+def test_rare_words_of_letters_go_to_the_model_alone(monkeypatch):
+    """No pass through normalizer and pre-tokenizer for a word that they leave as it is, and no look-up of words already known."""
+    rng = random.Random(5)
+    letters = [chr(c) for c in range(0x61, 0x100) if chr(c).isalpha()]
+    words = ["".join(rng.choice(letters) for _ in range(rng.randint(1, 12))) for _ in range(3000)]
+    texts = [" ".join(["often", *(w + rng.choice(["", ",", ".", "!?"]) for w in words[at : at + 10])]) for at in range(0, 3000, 10)]
+    tokens = packing.ChunkTokenizer(PATH)
+    tokenizer, read, asked = tokens.tokenizer, [], []
+
+    class Watched:
+        def encode(self, text, **options):
+            read.append(text)
+            return tokenizer.encode(text, **options)
+
+        def encode_batch_fast(self, some, **options):
+            return tokenizer.encode_batch_fast(some, **options)
+
+    monkeypatch.setattr(tokens, "tokenizer", Watched())
+    monkeypatch.setattr(tokens.recent, "missing", lambda keys, missing=tokens.recent.missing: (asked.extend(keys), missing(keys))[1])
+    for text, ids in zip(texts, tokens(texts), strict=True):
+        assert np.frombuffer(ids, "<u4").tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+    assert not read and asked.count("often") == 1
+    made = json.loads(tokenizer.to_str())
+    assert packing.byte_letters(made) is not None
+    for part, change in (("pre_tokenizer", {"type": "Whitespace"}), ("normalizer", {"type": "NFKC"}), ("post_processor", {"type": "ByteLevel"})):
+        assert packing.byte_letters(made | {part: change}) is None
+    assert packing.byte_letters(made | {"normalizer": None}) is not None
