@@ -202,3 +202,30 @@ def test_neighbours_of_full_blocks_need_little_memory():
         scores = unit @ unit[q]
         scores[q] = -2
         assert got[got["query"] == q]["id"].tolist() == np.argsort(-scores)[:11].tolist()
+
+
+def test_folds_count_documents_once_and_only_the_fit_holds_rows_in_memory(spark, monkeypatch):
+    import numpy as np
+    from pyspark.ml.feature import IDF, IDFModel
+
+    from ratelake.plans import text_model
+
+    rng = random.Random(11)
+    words = ["rate", "power", "new", "old", "meter", "tax"]
+    rows = [(i, None if i == 7 else " ".join(rng.choice(words[i % 2 * 2 :]) for _ in range(12)) + f" only{i}", None if i == 9 else i % 2) for i in range(90)]
+    rows += [(90 + i, "rate rare", 2) for i in range(2)]  # a class too small for three folds: learnt in each, judged in none
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, label int")
+    counted, learnt, fit, regress = [], [], IDF.fit, text_model.LogisticRegression.fit
+    monkeypatch.setattr(text_model.IDF, "fit", lambda self, part: (counted.append(part.count()), fit(self, part))[1])
+    monkeypatch.setattr(text_model.LogisticRegression, "fit", lambda self, part: (learnt.append((part.count(), part.storageLevel.useMemory)), regress(self, part))[1])
+    held = spark.sparkContext._jsc.getPersistentRDDs().size()
+    got = text_model.cross_validate(docs).orderBy("fold").collect()
+    assert sum(counted) == 91 and sorted(n for n, _ in learnt) == sorted(91 - r["n"] for r in got) and sum(r["n"] for r in got) == 89
+    assert not any(memory for _, memory in learnt) and spark.sparkContext._jsc.getPersistentRDDs().size() == held
+    assert all(r["accuracy"] > 0.6 for r in got)
+    # Sums over parts weigh as one fit over all of them does.
+    made = text_model.features(docs.where("label IS NOT NULL"))
+    whole: IDFModel = fit(IDF(inputCol="counts", outputCol="w", minDocFreq=text_model.LEAST_DOCUMENTS), made)
+    parts = [text_model.documents_with(made.where(f"doc_id % 3 = {i}")) for i in range(3)]
+    np.testing.assert_allclose(text_model.rarity(parts), whole.idf.toArray(), rtol=1e-14)
+    made.unpersist()
