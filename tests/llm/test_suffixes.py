@@ -72,3 +72,31 @@ def test_long_text_in_pieces(monkeypatch):
     parts = suffixes.stretches(data, 60)
     expand = lambda s: [(g, f + k, f + a) for g, f, n, a in zip(s[0], s[3], s[4], s[5]) for k in range(n)]
     assert expand(whole) == expand(parts)
+
+
+def test_a_digit_with_very_many_classes_is_dealt_to_several_tasks(spark):
+    from pyspark.sql import functions as F
+
+    conf = {
+        "spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "-1", "spark.sql.shuffle.partitions": "8",
+        "spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.adaptive.advisoryPartitionSizeInBytes": "16k",
+        "spark.sql.adaptive.skewJoin.skewedPartitionThresholdInBytes": "16k", "spark.sql.adaptive.skewJoin.skewedPartitionFactor": "1.5",
+    }
+    held = {k: spark.conf.get(k, None) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        # One gram in half of the rows, each stretch of its own; the others in twos, every other pair equal as a whole.
+        gram = F.when(F.col("id") < 20000, F.lit(7)).otherwise(F.floor(F.col("id") / 2) + 100)
+        kind = F.when((F.col("id") >= 20000) & (F.floor(F.col("id") / 2) % 2 == 0), F.floor(F.col("id") / 2)).otherwise(F.col("id"))
+        runs = spark.range(0, 40000, 1, 8).withColumns({"gram": gram, "u1": F.xxhash64(kind), "u2": F.xxhash64(kind, F.lit(1))})
+        runs = runs.selectExpr("gram", "u1", "u2", "id AS row", "0 AS first", "3 AS n", "2 AS at")
+        spans, unlike = suffixes._settle(runs)
+        rows = unlike.collect()
+        assert "skew=true" in unlike._jdf.queryExecution().executedPlan().toString()
+        assert Counter(r["gram"] for r in rows)[7] == 20000 and {r["classes"] for r in rows if r["gram"] == 7} == {20000}
+        assert len(rows) == 30000 and sorted(r["row"] for r in rows if r["gram"] != 7) == [i for i in range(20000, 40000) if i // 2 % 2]
+        assert sorted(r["row"] for r in spans.collect()) == [i for i in range(20000, 40000) if not i // 2 % 2]
+    finally:
+        for k, v in held.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
